@@ -76,6 +76,8 @@ def column(batch: pa.RecordBatch, name: str) -> list:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Every ASCII character but letters and digits.
+SIGNS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -101,11 +103,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(33))
 
 
-def hashed_words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words [^\\x20\\x09-\\x0D]+ of UTF-8 bytes, A-Z lower-cased: starts, ends, hashes, and the lower-cased bytes."""
+def hashed_words(raw: bytes, spaces: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """Words [^\\x20\\x09-\\x0D]+ (or between other `spaces`) of UTF-8 bytes, A-Z lower-cased: starts, ends, hashes, lower-cased bytes.
+
+    For each of `prefixes`, the hashes of the words' first bytes follow.
+    """
     b = np.frombuffer(raw, np.uint8)
     space = np.ones(len(b) + 2, bool)
-    space[1:-1] = _SPACE[b]
+    space[1:-1] = spaces[b]
     edge = np.flatnonzero(space[1:] != space[:-1])
     start, end = edge[::2], edge[1::2]
     low = _LOWER[b]
@@ -114,7 +119,8 @@ def hashed_words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         total = np.zeros(len(b) + 1, np.uint64)
         np.cumsum((low.astype(np.uint64) + np.uint64(1)) * p[: len(b)], out=total[1:])
         h = (total[end] - total[start]) * inverse[start]
-        return start, end, mixed(h + (end - start).astype(np.uint64) * np.uint64(_BASE)), low
+        more = [mixed((total[np.minimum(start + k, end)] - total[start]) * inverse[start] + np.uint64(k)) for k in prefixes]
+        return start, end, mixed(h + (end - start).astype(np.uint64) * np.uint64(_BASE)), low, *more
 
 
 # -- components ----------------------------------------------------------------------------------------------------------
