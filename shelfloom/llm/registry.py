@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .jaccard import op5_ngram_jaccard
 from .licenses import op2_license_scan, op2_sql
 from .packing import op1_packing
 from .pii import op6_pii
@@ -14,7 +15,7 @@ from .toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_license_scan, op6_pii, op9_toxicity, op10_token_files)}
+    return {f.__name__: f for f in (op1_packing, op2_license_scan, op5_ngram_jaccard, op6_pii, op9_toxicity, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
