@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .forest import op3_nearest
+from .hamming import op4_embedding_dedup
 from .jaccard import op5_ngram_jaccard
 from .licenses import op2_license_scan, op2_sql
 from .packing import op1_packing
@@ -15,7 +17,7 @@ from .toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_license_scan, op5_ngram_jaccard, op6_pii, op9_toxicity, op10_token_files)}
+    return {f.__name__: f for f in (op1_packing, op2_license_scan, op3_nearest, op4_embedding_dedup, op5_ngram_jaccard, op6_pii, op9_toxicity, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
