@@ -13,12 +13,13 @@ from .licenses import op2_license_scan, op2_sql
 from .packing import op1_packing
 from .pieces import op8_piece_dropout
 from .pii import op6_pii
+from .pseudo import op7_pseudo_likelihood
 from .tokenfile import op10_token_files
 from .toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_license_scan, op3_nearest, op4_embedding_dedup, op5_ngram_jaccard, op6_pii, op8_piece_dropout, op9_toxicity, op10_token_files)}
+    return {f.__name__: f for f in (op1_packing, op2_license_scan, op3_nearest, op4_embedding_dedup, op5_ngram_jaccard, op6_pii, op7_pseudo_likelihood, op8_piece_dropout, op9_toxicity, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
