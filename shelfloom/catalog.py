@@ -6,14 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import sales
-
-MODULES = (sales,)
+from .plans import registry, sales  # noqa: F401  registers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for m in MODULES for k, (f, _) in m.QUERIES.items()}
+    return {k: f for k, (f, _) in registry.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql for m in MODULES for k, (_, sql) in m.QUERIES.items() if sql}
+    return {k: sql for k, (_, sql) in registry.QUERIES.items() if sql}
