@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import workers_find_library
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {}
 
@@ -15,8 +18,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
         if f.__name__ in QUERIES:
             raise ValueError(f"two queries are named {f.__name__}")
-        QUERIES[f.__name__] = (f, sql)
-        return f
+
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            workers_find_library(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = (run, sql)
+        return run
 
     return keep
 
