@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Z95 = 1.959963984540054
 
@@ -74,12 +75,12 @@ def t_quantile(p: float, df: float) -> float:
     return (low + high) / 2
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or pd.isna(b) else t_two_sided(float(a), float(b)) for a, b in zip(t, df, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sign_p_value(wins: pd.Series, losses: pd.Series) -> pd.Series:
     """Two-sided sign test by exact integers; 1 without a decision."""
     def one(w: int, l: int) -> float:
@@ -89,7 +90,7 @@ def sign_p_value(wins: pd.Series, losses: pd.Series) -> pd.Series:
     return pd.Series([one(int(a), int(b)) for a, b in zip(wins, losses, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def two_sided_normal(z: pd.Series) -> pd.Series:
     return pd.Series([math.erfc(abs(float(v)) / math.sqrt(2)) for v in z], dtype="float64")
 

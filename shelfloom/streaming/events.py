@@ -42,14 +42,19 @@ def recent(events: DataFrame, job: str, n: int) -> DataFrame:
     return events.withColumn("__r", r).where(F.col("__r") <= n).drop("__r")
 
 
+def timed(stream: DataFrame) -> DataFrame:
+    """ts as a timestamp, which watermarks need; times without a zone are taken in the session's."""
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def deduplicated(stream: DataFrame, key: str = "event_id", late: str = "1 hour") -> DataFrame:
     """First arrival of each key within the watermark."""
-    return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+    return timed(stream).withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def windowed_counts(stream: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Events and errors of each window; state for closed windows goes with the watermark."""
-    return stream.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"))
+def windowed_counts(stream: DataFrame, width: str = "1 day") -> DataFrame:
+    """Events and errors of each window of a stream with a watermark on ts; state for closed windows goes with it."""
+    return stream.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"))
 
 
 BREAKER = "site long, state string, failures int, opened_at timestamp"

@@ -1,0 +1,143 @@
+"""Small tables with results worked out by hand."""
+
+from datetime import datetime, timedelta
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from shelfloom.functions import statistics as st
+from shelfloom.functions import text as x
+from shelfloom.operators import tables as op
+from shelfloom.operators.taxonomy import descendants, tree
+from shelfloom.sources import feeds
+from shelfloom.streaming import events as ev
+
+
+def one(spark, column, value):
+    return spark.createDataFrame([(value,)], "v string").select(column("v")).first()[0]
+
+
+@pytest.mark.parametrize(("text", "pounds"), [("16 oz", "1.00"), ("5 lb", "5.00"), ("1 lb 8 oz", "1.50"), ("500 g", "1.10"), ("N/A", None), ("", None), ("invalid", None), (None, None)])
+def test_pounds(spark, text, pounds):
+    assert one(spark, x.pounds, text) == pounds
+
+
+@pytest.mark.parametrize(("text", "name"), [("sm blk collar 5 lbs", "Small Black Collar 5 lb."), ("ACME chkn 10 ounces", "ACME Chicken 10 oz."), ("rug 2x4 feet", "Rug 2 X 4 ft."), ("bag 5.50 lb", "Bag 5.5 lb."), ("", "")])
+def test_product_name(spark, text, name):
+    assert one(spark, x.product_name, text) == name
+
+
+@pytest.mark.parametrize(("text", "valid"), [("036000291452", True), ("0-36000-29145-2", True), ("036000291453", False), ("12", False), ("abc", False), ("", False)])
+def test_upc(spark, text, valid):
+    assert one(spark, x.valid_upc, text) is valid
+
+
+@pytest.mark.parametrize(("url", "plain"), [("HTTPS://Shop.Example.com/a/?utm_source=x&b=2&a=1#top", "https://shop.example.com/a?b=2&a=1"), ("https://x.com", "https://x.com/"), ("not a url", "not a url"), ("", "")])
+def test_url(spark, url, plain):
+    assert one(spark, x.canonical_url, url) == plain
+
+
+def test_lists(spark):
+    assert one(spark, x.pipe_values, " Dog | dog|Cat||") == ["Dog", "Cat"]
+    assert one(spark, x.keyword_list, "a, b;A|c\nb") == "a, b, c"
+    assert one(spark, x.pipe_values, None) == []
+    assert one(spark, x.slug, " Wild  Bird & Seed! ") == "wild-bird-seed"
+    assert one(spark, x.snake, "unitPrice Max") == "unit_price_max"
+    assert one(spark, lambda c: x.truncated(c, 10), "hello wide world") == "hello..."
+
+
+def test_merge_and_upsert(spark):
+    a = spark.createDataFrame([("s1", {"x": 1, "y": 2}), ("s2", {"x": 3})], "sku string, sources map<string,int>")
+    b = spark.createDataFrame([("s1", {"y": 9}), ("s3", {"z": 4})], "sku string, sources map<string,int>")
+    got = {r.sku: r.sources for r in op.merged_sources(a, b, "sku").collect()}
+    assert got == {"s1": {"x": 1, "y": 9}, "s2": {"x": 3}, "s3": {"z": 4}}
+    old, new = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
+    assert sorted(map(tuple, op.upsert(old, new, ["k"]).collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    assert sorted(map(tuple, op.insert_absent(old, new, ["k"]).collect())) == [(1, "a"), (2, "b"), (3, "d")]
+    with pytest.raises(ValueError, match="1 values"):
+        op.strict_persist(new, old, "k")
+    assert op.balanced_slices(old.limit(0), 5, "k").count() == 0
+
+
+def test_tree(spark):
+    nodes = spark.createDataFrame([(1, "a", None), (2, "b", 1), (3, "c", 2), (4, "d", None)], "id int, name string, parent_id int")
+    assert {(r.id, r.depth, tuple(r.names), r.is_leaf) for r in tree(nodes).collect()} == {(1, 1, ("a",), False), (2, 2, ("a", "b"), False), (3, 3, ("a", "b", "c"), True), (4, 1, ("d",), True)}
+    assert {r.id for r in descendants(nodes, 2).collect()} == {2, 3}
+
+
+def test_feeds(spark, tmp_path):
+    (tmp_path / "f.csv").write_text('Item #,Description,Price\nA1," Big ""red"", bowl ",12.5\nB2,Leash\n')
+    assert [tuple(r) for r in feeds.csv(spark, str(tmp_path / "f.csv")).collect()] == [("A1", 'Big "red", bowl', "12.5"), ("B2", "Leash", "")]
+    line = "HD1" + "SKU000000001" + "012345678905" + "Hammer".ljust(33) + "00001299" + "00000850" + "000250"
+    (tmp_path / "f.txt").write_text(f"{line}\nXX\n\n")
+    r = feeds.fixed_width(spark, str(tmp_path / "f.txt"), prefix="HD1").collect()
+    assert [(v.name, v.price, v.cost, v.quantity) for v in r] == [("Hammer", 12.99, 8.5, 250)]
+    rows = spark.createDataFrame([(1, "s1", "Bowl", "red", "$1,200.50", "7 ea"), (2, "s1", "Later", "", "1", "1"), (3, "", "No sku", "", "", "")], "o int, SKU_NO string, DESCRIPTION1 string, DESCRIPTION2 string, PRICE string, QOH string")
+    assert [tuple(v) for v in feeds.register_rows(rows, "o").collect()] == [("s1", "Bowl red", 1200.5, 7)]
+
+
+def test_statistics(spark):
+    assert st.t_two_sided(2.0, 10) == pytest.approx(0.07338803, abs=1e-7)
+    assert st.t_quantile(0.95, 9) == pytest.approx(2.2621572, abs=1e-6)
+    row = spark.createDataFrame([(8, 2)], "w int, l int").select(st.sign_p_value("w", "l")).first()
+    assert row[0] == pytest.approx(0.109375)
+    w, p = st.signed_rank(np.array([1.0, 2.0, -3.0, 0.0, 4.0]))
+    assert w == 3.0 and 0 < p < 1
+
+
+def plain_breaker(rows, threshold, cool):
+    state, failures, opened = "closed", 0, None
+    for at, ok in rows:
+        if state == "open":
+            if (at - opened).total_seconds() < cool:
+                continue
+            state = "half_open"
+        if ok:
+            state, failures, opened = "closed", 0, None
+        else:
+            failures += 1
+            if state == "half_open" or failures >= threshold:
+                state, opened = "open", at
+    return state, failures
+
+
+def test_breaker_batch_and_stream(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    start = datetime(2024, 1, 1)
+    rows = [(int(rng.integers(3)), start + timedelta(minutes=10 * i), i, bool(rng.random() < 0.5)) for i in range(200)]
+    schema = "site long, ts timestamp, event_id long, ok boolean"
+    expected = {s: plain_breaker([(r[1], r[3]) for r in rows if r[0] == s], 3, 3600) for s in range(3)}
+    df = spark.createDataFrame(rows, schema)
+    assert {r.site: (r.state, r.failures) for r in ev.breaker_replay(df).collect()} == expected
+    for k, part in enumerate((rows[:100], rows[100:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    q = ev.circuit_breaker(stream).writeStream.outputMode("update").format("memory").queryName("breaker").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        q.processAllAvailable()
+        got = {r.site: (r.state, r.failures) for r in spark.table("breaker").collect()}
+    finally:
+        q.stop()
+    assert got == expected
+
+
+def test_stream_windows(spark, tmp_path):
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    e.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(e.schema).parquet(str(tmp_path / "in"))
+    q = ev.windowed_counts(ev.deduplicated(stream)).writeStream.outputMode("append").format("memory").queryName("windows").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        q.processAllAvailable()
+        closed = spark.table("windows").agg(F.sum("n")).first()[0]
+    finally:
+        q.stop()
+    assert 0 < closed <= e.count()
+
+
+def test_transitions(spark):
+    rows = spark.createDataFrame([("a", "imported"), ("b", "scraped")], "sku string, status string")
+    ok = spark.createDataFrame([("a", "scraping")], "sku string, to_status string")
+    assert {r.sku: r.status for r in ev.bulk_transition(rows, ok, "sku").collect()} == {"a": "scraping", "b": "scraped"}
+    with pytest.raises(ValueError, match="not allowed"):
+        ev.bulk_transition(rows, spark.createDataFrame([("b", "exporting")], "sku string, to_status string"), "sku")
