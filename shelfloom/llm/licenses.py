@@ -56,7 +56,7 @@ def canonical_lines(text: Column) -> Column:
     for a, b in SPELLINGS:
         t = F.replace(t, F.lit(a), F.lit(b))
     t = F.regexp_replace(t, SIGNS, " ")
-    return F.coalesce(F.filter(F.transform(F.split(t, "\n"), F.trim), lambda x: x != ""), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>"))
 
 
 def known_digests(spark: SparkSession) -> DataFrame:
