@@ -24,7 +24,7 @@ def duck():
 
 def rows(frame):
     names = sorted(frame.columns)
-    plain = lambda v: tuple(v) if hasattr(v, "__len__") and not isinstance(v, str) else None if v != v else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
+    plain = lambda v: tuple(v.tolist() if hasattr(v, "tolist") else v) if hasattr(v, "__len__") and not isinstance(v, str) else None if v != v else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
     return names, sorted(str(tuple(plain(v) for v in r)) for r in frame[names].astype(object).where(frame[names].notna(), None).itertuples(index=False))
 
 

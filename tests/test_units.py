@@ -141,3 +141,25 @@ def test_transitions(spark):
     assert {r.sku: r.status for r in ev.bulk_transition(rows, ok, "sku").collect()} == {"a": "scraping", "b": "scraped"}
     with pytest.raises(ValueError, match="not allowed"):
         ev.bulk_transition(rows, spark.createDataFrame([("b", "exporting")], "sku string, to_status string"), "sku")
+
+
+def test_workflow(spark):
+    from shelfloom.functions import workflow
+
+    html = "<table><tr><th>Brand</th><td> <b>Acme</b> </td></tr><tr><td>Size</td><td>5 lb</td></tr><tr><td>Brand</td><td>Late</td></tr></table>"
+    df = spark.createDataFrame([("a UPC#: BAG: 811048023995 x", html, '{"p": {"tags": ["x", "y"]}}', "2.2 kg"), ("nothing", "", "{}", "heavy"), (None, None, None, None)], "raw string, html string, js string, w string")
+    steps = [
+        {"action": "transform_value", "params": {"field": "raw", "target": "upc", "transformations": [{"type": "regex_extract", "pattern": r"UPC#?:\s*(?:\w+:\s*)?(\d{12})"}]}},
+        {"action": "parse_table", "params": {"field": "html", "target": "specs"}},
+        {"action": "extract_from_json", "params": {"field": "js", "path": "p.tags.1", "target": "tag"}},
+        {"action": "parse_weight", "params": {"field": "w", "target": "grams", "unit": "g"}},
+        {"action": "conditional", "params": {"field": "upc", "condition": "field_exists", "then": [{"action": "combine_fields", "params": {"format": "upc {upc}", "target": "label"}}], "else": [{"action": "combine_fields", "params": {"format": "no code", "target": "label"}}]}},
+    ]
+    got = workflow.run(df, steps).select("upc", "specs", "tag", "grams", "label").collect()
+    assert tuple(got[0]) == ("811048023995", {"Size": "5 lb", "Brand": "Late"}, "y", 2200.0, "upc 811048023995")
+    assert tuple(got[1]) == (None, {}, None, None, "no code") and tuple(got[2])[0] is None and got[2].label == "no code"
+    with pytest.raises(ValueError, match="unknown action"):
+        workflow.run(df, [{"action": "click"}])
+    assert workflow.substituted({"a": "{x} {{y}} {z}"}, {"x": "1", "y": "2"}) == {"a": "1 2 {z}"}
+    assert one(spark, x.title_words, "o'neil foo-bar 2nd") == "O'Neil Foo-Bar 2Nd"
+    assert one(spark, x.variant_tokens, "Crate 36 x 24 inches, 2 packs 5.5 lbs") == ["24x36", "2ct", "5.5lb"]
