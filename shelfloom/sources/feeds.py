@@ -42,9 +42,9 @@ def fixed_width(spark: SparkSession, path: str, layout: tuple = RECORD, prefix:
     return lines.select(*out)
 
 
-def json_pages(spark: SparkSession, path: str, items: str, schema: str) -> DataFrame:
-    """Items of landed pages, a JSON object a file with a list under `items`."""
-    pages = spark.read.schema(f"`{items}` array<struct<{schema}>>").json(path, multiLine=True)
+def json_pages(spark: SparkSession, path: str, items: str, schema: str, lines: bool = False) -> DataFrame:
+    """Items of landed pages, a JSON object a file (or, with lines, a line) with a list under `items`."""
+    pages = spark.read.schema(f"`{items}` array<struct<{schema}>>").json(path, multiLine=not lines)
     return pages.select(F.inline(items))
 
 
