@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import fresh_dir
+
 
 def first_by(df: DataFrame, keys: list[str], *order: Column | str, n: int = 1) -> DataFrame:
     """The first n rows of each key by order. The order has to be total for a defined result."""
@@ -97,9 +99,14 @@ def balanced_slices(df: DataFrame, size: int, *order: Column | str) -> DataFrame
 
 
 def ranked_globally(df: DataFrame, *order: Column | str) -> DataFrame:
-    """Rows with __rank from 0 in a total order, by ranges instead of one window over all rows."""
-    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    local = ranged.withColumn("__local", F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1)
-    counts = local.groupBy("__part").agg(F.count("*").alias("__n"))
+    """Rows with __rank from 0 in a total order, by sorted ranges instead of one window over all rows.
+
+    The ranges are written once to the shared folder: a second run of the same plan could draw other bounds.
+    """
+    spark = df.sparkSession
+    path = fresh_dir(spark, "ranges")
+    df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()).write.parquet(path)
+    own = spark.read.parquet(path).withColumn("__part", F.shiftright("__id", 33)).withColumn("__local", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = own.groupBy("__part").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
-    return local.join(F.broadcast(counts.select("__part", before.alias("__before"))), "__part").withColumn("__rank", F.col("__before") + F.col("__local")).drop("__part", "__local", "__before")
+    return own.join(counts.select("__part", before.alias("__before")), "__part").withColumn("__rank", F.col("__before") + F.col("__local")).drop("__part", "__local", "__before", "__id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.tables import ranked_globally
 from .registry import half_up, money, query, t
 
 DONE = ("F", "O")
@@ -277,9 +278,9 @@ def e47_string_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select event_type, list_sort(list(value))[1 + cast(floor((count(*) - 1) * 0.95) as bigint)] as p95_floor, case when count(*) >= 20 then list_sort(list(value))[1 + cast(floor(count(*) * 0.95) as bigint)] end as p95_index from events group by 1""")
 def e48_floor_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values at floor((n - 1) * 0.95) and, from 20 rows, at floor(n * 0.95) of each group, by rank: no group is collected."""
-    e = t(spark, sf_dir, "events").select("event_type", "value")
-    n = e.groupBy("event_type").agg(F.count("*").alias("n"))
-    r = e.withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy("value")) - 1).join(F.broadcast(n), "event_type")  # a row for each type
+    r = ranked_globally(t(spark, sf_dir, "events").select("event_type", "value"), "event_type", "value")
+    types = r.groupBy("event_type").agg(F.count("*").alias("n"), F.min("__rank").alias("first"))  # a row for each type
+    r = r.join(types, "event_type").withColumn("r", F.col("__rank") - F.col("first"))
     return r.groupBy("event_type").agg(F.max(F.when(F.col("r") == F.floor((F.col("n") - 1) * 0.95), F.col("value"))).alias("p95_floor"), F.max(F.when((F.col("n") >= 20) & (F.col("r") == F.floor(F.col("n") * 0.95)), F.col("value"))).alias("p95_index"))
 
 
