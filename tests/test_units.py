@@ -163,3 +163,20 @@ def test_workflow(spark):
     assert workflow.substituted({"a": "{x} {{y}} {z}"}, {"x": "1", "y": "2"}) == {"a": "1 2 {z}"}
     assert one(spark, x.title_words, "o'neil foo-bar 2nd") == "O'Neil Foo-Bar 2Nd"
     assert one(spark, x.variant_tokens, "Crate 36 x 24 inches, 2 packs 5.5 lbs") == ["24x36", "2ct", "5.5lb"]
+
+
+def test_pages(spark):
+    from shelfloom.operators import pages
+
+    html = """<meta content="Seed Mix" property="og:title"><script type="application/ld+json">{"@graph": [
+      {"@type": "BreadcrumbList", "itemListElement": [{"name": "Home"}, {"item": {"name": "Birds"}}, {"name": "Seed"}, {"name": "Seed"}]},
+      {"@type": ["Product", "Thing"], "name": "Other mix", "image": "//x.com/a.png"},
+      {"@type": "Product", "name": "Acme  Seed Mix", "brand": {"name": "Acme"}, "sku": "00-12", "image": ["https://x.com/b.png", "https://x.com/b.png", "b.png"]},
+      {"@type": "Product", "name": "No image", "sku": "0012"}]}</script><script type="application/ld+json">{broken</script>"""
+    df = spark.createDataFrame([(1, html), (2, "<p>none</p>"), (3, None)], "page_id long, html string")
+    wanted = spark.createDataFrame([(1, "0012", "ACME", "seed mix"), (2, "1", "b", "c")], "page_id long, sku string, brand string, name string")
+    got = pages.products(df, wanted).collect()
+    assert [(r.page_id, r.name, r.brand, r.sku, r.images, r.score) for r in got] == [(1, "Acme Seed Mix", "Acme", "00-12", ["https://x.com/b.png"], 10)]
+    assert got[0].confidence == 0.98
+    assert [tuple(r) for r in pages.breadcrumbs(df).collect()] == [(1, ["Birds", "Seed"])]
+    assert [r[0] for r in df.select(pages.meta(F.col("html"), "og:title")).collect()] == ["Seed Mix", None, None]
