@@ -105,9 +105,9 @@ def r25_seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "part").select("p_partkey").join(lately, "p_partkey", "left_anti").orderBy(F.md5(F.concat(F.col("p_partkey").cast("string"), F.lit("-7"))), "p_partkey").limit(100)
 
 
-@query("""with w as (select p_partkey, list_distinct(string_split(lower(p_name), ' ')) as w from part where p_partkey <= 300) select a.p_partkey as new_id, b.p_partkey as old_id from w a join w b on b.p_partkey < a.p_partkey where len(list_intersect(a.w, b.w)) > 0.6 * len(a.w)""")
+@query("""with w as (select p_partkey, list_distinct(string_split(lower(p_name), ' ')) as w from part) select a.p_partkey, len(list_intersect(a.w, b.w)) * 1.0 / len(a.w) > 0.6 as duplicate from w a join w b on b.p_partkey = a.p_partkey - 1""")
 def r26_duplicate_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of whose words an earlier one has over 60 %, by the words they share."""
-    w = t(spark, sf_dir, "part").where("p_partkey <= 300").select("p_partkey", F.array_distinct(F.split(F.lower("p_name"), " ")).alias("ws")).select("p_partkey", F.size("ws").alias("n"), F.explode("ws").alias("w"))
-    old = w.select(F.col("p_partkey").alias("old_id"), "w")
-    return w.join(old, "w").where("old_id < p_partkey").groupBy(F.col("p_partkey").alias("new_id"), "old_id", "n").agg(F.count("*").alias("c")).where("c > 0.6 * n").select("new_id", "old_id")
+    """Does the text before hold over 60 % of a text's words?"""
+    w = t(spark, sf_dir, "part").select("p_partkey", F.array_distinct(F.split(F.lower("p_name"), " ")).alias("w"))
+    before = w.select((F.col("p_partkey") + 1).alias("p_partkey"), F.col("w").alias("b"))
+    return w.join(before, "p_partkey").select("p_partkey", (F.size(F.array_intersect("w", "b")) / F.size("w") > 0.6).alias("duplicate"))

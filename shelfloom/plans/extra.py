@@ -15,11 +15,11 @@ def d03_group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("grp"), "n_name", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_name")).cast("long").alias("position"))
 
 
-@query("""with s as (select p_type as line, list_sort(list(distinct p_brand)) as siblings, count(*) as n from part group by 1) select p_partkey, list_filter(siblings, lambda b: b <> p_brand) as other_brands, n from part join s on line = p_type where p_partkey <= 600""")
+@query("""with s as (select p_type as line, list_sort(list(distinct p_brand)) as siblings, count(*) as n from part group by 1) select p_partkey, list_filter(siblings, lambda b: b <> p_brand) as other_brands, n from part join s on line = p_type""")
 def d20_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = t(spark, sf_dir, "part")
     s = p.groupBy("p_type").agg(F.sort_array(F.collect_set("p_brand")).alias("siblings"), F.count("*").alias("n"))
-    return p.where("p_partkey <= 600").join(s, "p_type").select("p_partkey", F.array_remove("siblings", F.col("p_brand")).alias("other_brands"), "n")
+    return p.join(s, "p_type").select("p_partkey", F.array_remove("siblings", F.col("p_brand")).alias("other_brands"), "n")
 
 
 @query("select user_id as run, floor(count(*) filter (where event_type <> 'error') * 100.0 / count(*) * 100 + 0.5) / 100 as health from events group by 1")
@@ -116,9 +116,14 @@ def i32_failure_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "documents").select("doc_id", k.alias("failure"))
 
 
-@query("select p_brand, array_to_string(list_sort(list(distinct upper(left(p_type, 1)))), '') as initials from part group by 1")
-def i29_common_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_join(F.sort_array(F.collect_set(F.upper(F.left("p_type", F.lit(1))))), "").alias("initials"))
+@query("""with g as (select string_split(p_type, ' ')[1] as grp, p_size % 3 as k, min(string_split(p_type, ' ')) as a, max(string_split(p_type, ' ')) as b from part group by 1, 2)
+select grp, k, array_to_string(a[1:coalesce(list_max(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[1:i] = b[1:i])), 0)], ' ') as prefix from g""")
+def i29_common_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that all names of a group begin with: those of its least and greatest name, so no group is collected."""
+    w = F.split("p_type", " ")
+    g = t(spark, sf_dir, "part").groupBy(w[0].alias("grp"), (F.col("p_size") % 3).alias("k")).agg(F.min(w).alias("a"), F.max(w).alias("b"))
+    same = F.filter(F.sequence(F.lit(1), F.least(F.size("a"), F.size("b"))), lambda i: F.slice("a", 1, i) == F.slice("b", 1, i))
+    return g.select("grp", "k", F.array_join(F.slice("a", F.lit(1), F.coalesce(F.array_max(same), F.lit(0))), " ").alias("prefix"))
 
 
 @query("""select conv_id, list(role order by turn) as roles, count(*) as turns from conversations group by 1""")

@@ -43,10 +43,10 @@ def a13_register_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.register_rows(rows, "ordinal")
 
 
-@query("select p_partkey as sku, p_name || ' & <' || p_brand || '>' as name, p_retailprice as price from part where p_partkey <= 500")
+@query("select p_partkey as sku, p_name || ' & <' || p_brand || '>' as name, p_retailprice as price from part")
 def b12_xml_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_dir(spark, "xml")
-    rows = t(spark, sf_dir, "part").where("p_partkey <= 500").select(F.col("p_partkey").alias("sku"), F.concat("p_name", F.lit(" & <"), "p_brand", F.lit(">")).alias("name"), F.col("p_retailprice").alias("price"))
+    rows = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("sku"), F.concat("p_name", F.lit(" & <"), "p_brand", F.lit(">")).alias("name"), F.col("p_retailprice").alias("price"))
     rows.write.format("xml").option("rootTag", "Products").option("rowTag", "Product").save(path)
     return feeds.xml_records(spark, path, "Product", "sku bigint, name string, price double")
 

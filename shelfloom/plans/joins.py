@@ -9,18 +9,18 @@ from ..operators import tables as op
 from .registry import half_up, money, query, t
 
 
-@query("""select p_partkey as sku, case when p_size > 40 then p_retailprice + 1 else p_retailprice end as price, p_size > 40 as changed from part where p_partkey <= 1000 or p_size > 40""")
+@query("""select p_partkey as sku, case when p_size > 40 then p_retailprice + 1 else p_retailprice end as price, p_size > 40 as changed from part""")
 def b01_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = t(spark, sf_dir, "part")
-    old = p.where("p_partkey <= 1000").select(F.col("p_partkey").alias("sku"), F.col("p_retailprice").alias("price"), F.lit(False).alias("changed"))
+    old = p.where("p_size <= 45").select(F.col("p_partkey").alias("sku"), F.col("p_retailprice").alias("price"), F.lit(False).alias("changed"))
     new = p.where("p_size > 40").select(F.col("p_partkey").alias("sku"), (F.col("p_retailprice") + 1).alias("price"), F.lit(True).alias("changed"))
     return op.upsert(old, new, ["sku"])
 
 
-@query("select p_partkey as sku, p_partkey > 1000 as added from part where p_partkey <= 1000 or p_size > 40")
+@query("select p_partkey as sku, p_size > 45 as added from part")
 def b02_insert_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = t(spark, sf_dir, "part")
-    return op.insert_absent(p.where("p_partkey <= 1000").select(F.col("p_partkey").alias("sku"), F.lit(False).alias("added")), p.where("p_size > 40").select(F.col("p_partkey").alias("sku"), F.lit(True).alias("added")), ["sku"])
+    return op.insert_absent(p.where("p_size <= 45").select(F.col("p_partkey").alias("sku"), F.lit(False).alias("added")), p.where("p_size > 40").select(F.col("p_partkey").alias("sku"), F.lit(True).alias("added")), ["sku"])
 
 
 @query("""select user_id % 20 as config_id, strftime(ts, '%Y-%m-%d') as metric_date, case when ts >= timestamp '2024-01-10' then count(*) else 0 end as total_runs from events group by 1, 2, ts >= timestamp '2024-01-10'""")
@@ -47,10 +47,10 @@ def b06_partial_persist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with c as (select p_partkey, first_value(p_partkey) over (partition by p_brand, p_type order by p_retailprice, p_partkey) as canonical_id from part)
-select l_orderkey, l_linenumber, canonical_id as l_partkey from lineitem join c on l_partkey = p_partkey where l_orderkey <= 5000""")
+select l_orderkey, l_linenumber, canonical_id as l_partkey from lineitem join c on l_partkey = p_partkey""")
 def b07_repoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = op.canonical_ids(t(spark, sf_dir, "part"), F.concat_ws("|", "p_brand", "p_type"), "p_partkey", "p_retailprice", "p_partkey")
-    return op.repointed(t(spark, sf_dir, "lineitem").where("l_orderkey <= 5000").select("l_orderkey", "l_linenumber", "l_partkey"), ids, "l_partkey")
+    return op.repointed(t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), ids, "l_partkey")
 
 
 @query("select p_partkey, p_brand, p_type from part qualify row_number() over (partition by p_brand, p_type order by p_retailprice desc, p_partkey) = 1")
@@ -169,19 +169,19 @@ def d11_new_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words("p_type").where("token <> ''").distinct().join(known.distinct(), "token", "left_anti")
 
 
-@query("select count(*) filter (where p_partkey <= 1500 and p_size > 10) as kept, count(*) filter (where p_partkey > 1500 and p_size > 10) as added, count(*) filter (where p_partkey <= 1500 and p_size <= 10) as removed from part")
+@query("select count(*) filter (where p_size <= 40 and p_size > 10) as kept, count(*) filter (where p_size > 40 and p_size > 10) as added, count(*) filter (where p_size <= 40 and p_size <= 10) as removed from part")
 def d12_sync_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = t(spark, sf_dir, "part")
-    old, new = p.where("p_partkey <= 1500").select("p_partkey", F.lit(1).alias("o")), p.where("p_size > 10").select("p_partkey", F.lit(1).alias("n"))
+    old, new = p.where("p_size <= 40").select("p_partkey", F.lit(1).alias("o")), p.where("p_size > 10").select("p_partkey", F.lit(1).alias("n"))
     return old.join(new, "p_partkey", "full_outer").agg(F.count_if(F.col("o").isNotNull() & F.col("n").isNotNull()).alias("kept"), F.count_if(F.col("o").isNull()).alias("added"), F.count_if(F.col("n").isNull()).alias("removed"))
 
 
-@query("""select p_partkey as sku, case when p_partkey > 1800 then 'missing' when p_size > 40 or p_size = 1 then 'update' else 'unchanged' end as status,
-case when p_partkey > 1800 then 0 else (case when p_size > 40 then 1 else 0 end) + (case when p_size = 1 then 1 else 0 end) end as n_diffs from part""")
+@query("""select p_partkey as sku, case when p_size = 3 then 'missing' when p_size > 40 or p_size = 1 then 'update' else 'unchanged' end as status,
+case when p_size = 3 then 0 else (case when p_size > 40 then 1 else 0 end) + (case when p_size = 1 then 1 else 0 end) end as n_diffs from part""")
 def d13_sync_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("sku"), F.col("p_retailprice").alias("price"), F.col("p_size").alias("quantity"))
     new = p.select("sku", F.when(F.col("quantity") > 40, F.col("price") + 1).otherwise(F.col("price")).alias("price"), F.when(F.col("quantity") == 1, None).otherwise(F.col("quantity")).alias("quantity"))
-    return op.changes(p.where("sku <= 1800"), new, "sku", ["price", "quantity"]).select("sku", "status", F.size("diffs").alias("n_diffs"))
+    return op.changes(p.where("quantity <> 3"), new, "sku", ["price", "quantity"]).select("sku", "status", F.size("diffs").alias("n_diffs"))
 
 
 @query("select o_orderkey, c_mktsegment from orders left join customer on lower(trim(c_name)) = lower(trim('Customer#' || lpad(cast(o_custkey as varchar), 9, '0')))")
@@ -224,10 +224,10 @@ def d24_queues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", F.when(F.col("back"), "export").otherwise("review").alias("queue"))
 
 
-@query("""with x as (select o_orderkey, o_custkey, (o_custkey * 7 + i) % 1700 as target, i from orders, range(4) r(i) where o_orderkey <= 2000), y as (select *, row_number() over (partition by o_orderkey, target order by i) as rn from x)
+@query("""with x as (select o_orderkey, o_custkey, (o_custkey * 7 + i) % 1700 as target, i from orders, range(4) r(i)), y as (select *, row_number() over (partition by o_orderkey, target order by i) as rn from x)
 select count(*) filter (where rn > 1) as duplicates, count(*) filter (where rn = 1 and target = o_custkey) as self_links, count(*) filter (where rn = 1 and target <> o_custkey and c_custkey is null) as missing, count(*) filter (where rn = 1 and target <> o_custkey and c_custkey is not null) as linked from y left join customer on c_custkey = target""")
 def d25_cross_sell_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = t(spark, sf_dir, "orders").where("o_orderkey <= 2000").select("o_orderkey", "o_custkey", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.col("o_custkey") * 7 + i) % 1700)).alias("i", "target"))
+    o = t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.col("o_custkey") * 7 + i) % 1700)).alias("i", "target"))
     y = o.withColumn("rn", F.row_number().over(Window.partitionBy("o_orderkey", "target").orderBy("i"))).join(t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("target"), F.lit(True).alias("there")), "target", "left")
     own = F.col("rn") == 1
     return y.agg(F.count_if(~own).alias("duplicates"), F.count_if(own & (F.col("target") == F.col("o_custkey"))).alias("self_links"), F.count_if(own & (F.col("target") != F.col("o_custkey")) & F.col("there").isNull()).alias("missing"), F.count_if(own & (F.col("target") != F.col("o_custkey")) & F.col("there").isNotNull()).alias("linked"))
@@ -321,10 +321,10 @@ def g03_due_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "orders").where("o_orderstatus = 'P'").orderBy("o_orderpriority", "o_orderdate", "o_orderkey").limit(25).select("o_orderkey", "o_orderpriority")
 
 
-@query("select l_orderkey, l_linenumber from lineitem where l_orderkey <= 3000 qualify row_number() over (partition by l_orderkey order by case l_returnflag when 'N' then 0 when 'A' then 1 else 2 end, l_quantity desc, l_linenumber) <= 2")
+@query("select l_orderkey, l_linenumber from lineitem qualify row_number() over (partition by l_orderkey order by case l_returnflag when 'N' then 0 when 'A' then 1 else 2 end, l_quantity desc, l_linenumber) <= 2")
 def g05_evidence_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     trust = F.when(F.col("l_returnflag") == "N", 0).when(F.col("l_returnflag") == "A", 1).otherwise(2)
-    return op.first_by(t(spark, sf_dir, "lineitem").where("l_orderkey <= 3000"), ["l_orderkey"], trust, F.desc("l_quantity"), "l_linenumber", n=2).select("l_orderkey", "l_linenumber")
+    return op.first_by(t(spark, sf_dir, "lineitem"), ["l_orderkey"], trust, F.desc("l_quantity"), "l_linenumber", n=2).select("l_orderkey", "l_linenumber")
 
 
 @query("select word, count(*) as count from (select unnest(string_split(p_name, ' ')) as word from part) group by 1 order by 2 desc, 1 limit 15")

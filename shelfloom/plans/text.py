@@ -83,14 +83,14 @@ def m01_token_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "part").select("p_partkey", x.token_text("p_brand").alias("token_text"))
 
 
-@query("""with w as (select p_partkey, unnest(list_distinct(string_split(lower(p_name), ' '))) as w, len(list_distinct(string_split(lower(p_name), ' '))) as n from part where p_partkey <= 400)
-select a.p_partkey as a, b.p_partkey as b, count(*) as common from w a join w b on a.w = b.w and a.p_partkey < b.p_partkey group by a.p_partkey, b.p_partkey, a.n having count(*) >= 0.35 * a.n and count(*) >= 2""")
-def m06_token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of names that share 35 % of the first one's words, two at least, by the words they share."""
-    w = t(spark, sf_dir, "part").where("p_partkey <= 400").select("p_partkey", F.array_distinct(F.split(F.lower("p_name"), " ")).alias("ws")).select("p_partkey", F.size("ws").alias("n"), F.explode("ws").alias("w"))
-    b = w.select(F.col("p_partkey").alias("b"), "w")
-    pairs = w.select(F.col("p_partkey").alias("a"), "n", "w").join(b, "w").where("a < b").groupBy("a", "b", "n").agg(F.count("*").alias("common"))
-    return pairs.where("common >= 0.35 * n and common >= 2").select("a", "b", "common")
+@query("""with w as (select p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') as a, regexp_replace(lower(p_type), '[^a-z0-9]', '', 'g') as b, list_distinct(list_filter(string_split(lower(p_name), ' '), lambda w: length(w) >= 3)) as wa, list_distinct(list_filter(string_split(lower(p_type), ' '), lambda w: length(w) >= 3)) as wb from part)
+select p_partkey, contains(a, b) or contains(b, a) or len(list_intersect(wa, wb)) * 1.0 / greatest(1, len(wa)) >= 0.35 as matched from w""")
+def m06_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Does one name hold the other, or do they share 35 % of the first one's words?"""
+    a, b = x.token_text("p_name"), x.token_text("p_type")
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), " "), lambda w: F.length(w) >= 3))
+    share = F.size(F.array_intersect(words("p_name"), words("p_type"))) / F.greatest(F.lit(1), F.size(words("p_name")))
+    return t(spark, sf_dir, "part").select("p_partkey", (F.contains(a, b) | F.contains(b, a) | (share >= 0.35)).alias("matched"))
 
 
 @query("""with o as (select r_name from region) select distinct on (n_name) n_name, r_name as closest, floor((1 - levenshtein(lower(n_name), lower(r_name)) * 1.0 / greatest(length(n_name), length(r_name))) * 10000 + 0.5) / 10000 as similarity from nation cross join o order by n_name, similarity desc, r_name""")
