@@ -237,8 +237,12 @@ def tagged(raw: bytes, weights: Weights) -> tuple[np.ndarray, np.ndarray, np.nda
     gain = e[:, 1:].max(1) - e[:, 0] + 2 * max(0.0, float((t - t[0, 0]).max()))
     live = np.flatnonzero(np.maximum.reduceat(gain, first) > 0)
     live = live[np.argsort((stop - first)[live], kind="stable")]
-    for i in range(0, len(live), 256):  # lines of similar lengths together
-        own = live[i : i + 256]
+    size_of, i = (stop - first)[live], 0
+    while i < len(live):  # lines of similar lengths together, within a bound of cells
+        j = i + 1
+        while j < len(live) and (j + 1 - i) * size_of[j] <= 400_000:
+            j += 1
+        own, i = live[i:j], j
         padded, size = _padded([e[first[x] : stop[x]] for x in own])
         found = viterbi(padded, size, t)
         for row, x, n in zip(found, own, size, strict=True):
