@@ -14,6 +14,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,19 @@ _UNITS = re.compile(r" *[^ \n]+| +|\n")
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
+class _Numbers(dict):
+    """Unit to number; a new unit gets the next one."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.names: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = n = len(self.names)
+        self.names.append(unit)
+        return n
+
+
 class Pieces:
     def __init__(self, model: str, dropout: float = DROPOUT, draws: int = DRAWS, seed: int = SEED, most_units: int = 600_000) -> None:
         import sentencepiece
@@ -48,6 +62,12 @@ class Pieces:
                 own[t] = i
                 self.bytes[i] = t.replace(MARK, " ").encode()
         self.own, self.size = own, n
+        #: Ids of single characters, -1 - code point without one; the mark itself has none, a blank has the mark's.
+        self.of_char = -1 - np.arange(0x110000, dtype=np.int64)
+        for t, i in own.items():
+            if len(t) == 1 and t != MARK:
+                self.of_char[ord(t)] = i
+        self.of_char[ord(" ")] = own.get(MARK, -1 - ord(" "))
         pairs = [(own[t[:k]] * n + own[t[k:]], i) for t, i in own.items() for k in range(1, len(t)) if t[:k] in own and t[k:] in own]
         pairs.sort()
         self.pair, self.merged = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
@@ -55,8 +75,7 @@ class Pieces:
         self.clear()
 
     def clear(self) -> None:
-        self.units: dict[str, int] = {}
-        self.names: list[str] = []
+        self.units = _Numbers()
         self.known: dict[int, int] = {}
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
         self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
@@ -76,12 +95,14 @@ class Pieces:
 
     def _key(self, units: list[str], draws: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            raw = np.array([zlib.crc32(u.encode()) << 32 | zlib.adler32(u.encode()) for u in units], np.uint64)
+            raws = [u.encode("utf-8", "surrogatepass") for u in units]
+            raw = np.fromiter(map(zlib.crc32, raws), np.uint64, len(raws)) << np.uint64(32) | np.fromiter(map(zlib.adler32, raws), np.uint64, len(raws))
             return mixed(mixed(raw + self.seed) ^ mixed(draws.astype(np.uint64) + _C))
 
-    def _symbols(self, unit: str) -> list[int]:
-        """Ids of single characters, -1 - code point without one."""
-        return [self.own.get(MARK if c == " " else c, -1 - ord(c)) if c != MARK else -1 - ord(c) for c in unit]
+    def _symbols(self, units: list[str]) -> np.ndarray:
+        """Ids of the single characters of units, which have one length."""
+        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        return self.of_char[points].reshape(len(units), -1)
 
     def _spelled(self, symbols: list[int]) -> list[int]:
         out: list[int] = []
@@ -91,7 +112,7 @@ class Pieces:
 
     def agenda(self, unit: str, key: np.uint64) -> list[int]:
         """One unit through a heap of candidate merges."""
-        s = self._symbols(unit)
+        s = self._symbols([unit])[0].tolist()
         n = len(s)
         begin, end, following, before = list(range(n)), list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
         heap: list[tuple] = []
@@ -118,45 +139,65 @@ class Pieces:
             offer(i, following[i])
         return self._spelled([x for x, g in zip(s, gone, strict=True) if not g])
 
-    def merge(self, units: list[str], draws: np.ndarray) -> list[list[int]]:
-        """Pieces of units with their draws."""
+    def merge(self, units: list[str], draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of units with their draws, one after the other, and how many each has."""
         keys = self._key(units, draws)
-        out: list[list[int] | None] = [None] * len(units)
-        by_length: dict[int, list[int]] = {}
-        for k, u in enumerate(units):
-            if len(u) > LONGEST:
-                out[k] = self.agenda(u, keys[k])
-            else:
-                by_length.setdefault(len(u), []).append(k)
-        for size, own in by_length.items():
-            at = np.array(own)
-            s = np.array([self._symbols(units[k]) for k in own], np.int64)
-            begin = np.tile(np.arange(size + 1), (len(own), 1))  # of each symbol, and the end
-            unit = keys[at]
-            new = self._offered(s[:, :-1], s[:, 1:], unit, begin)
-            count = np.full(len(own), size)
-            while len(at):
-                live = (new >= 0).any(1) if size > 1 else np.zeros(len(at), bool)
-                for k in np.flatnonzero(~live):
-                    out[at[k]] = self._spelled(s[k, : count[k]].tolist())
-                at, s, begin, unit, new, count = at[live], s[live], begin[live], unit[live], new[live], count[live]
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # units, their pieces in rows, how many count
+        for k in np.flatnonzero(sizes > LONGEST):
+            own = self.agenda(units[k], keys[k])
+            parts.append((np.array([k]), np.array([own], np.int64), np.array([len(own)])))
+        for size in np.unique(sizes[sizes <= LONGEST]).tolist():
+            at = np.flatnonzero(sizes == size)
+            s = self._symbols([units[k] for k in at.tolist()])
+            parts += self._merged(at, s, keys[at])
+        lengths = np.zeros(len(units), np.int64)
+        for at, rows, count in parts:
+            for r in np.flatnonzero(((rows < 0) & (np.arange(rows.shape[1]) < count[:, None])).any(1)):
+                spelled = self._spelled(rows[r, : count[r]].tolist())
+                parts.append((at[r : r + 1], np.array([spelled], np.int64), np.array([len(spelled)])))
+                count[r] = 0
+            lengths[at] += count
+        starts = np.cumsum(lengths) - lengths
+        flat = np.zeros(int(lengths.sum()), np.int32)
+        for at, rows, count in parts:
+            place = np.arange(rows.shape[1])
+            mine = place < count[:, None]
+            flat[(starts[at][:, None] + place)[mine]] = rows[mine]
+        return flat, lengths
+
+    def _merged(self, at: np.ndarray, s: np.ndarray, unit: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Units of one length, a merge each per round until none is left."""
+        size = s.shape[1]
+        begin = np.tile(np.arange(size + 1), (len(at), 1))  # of each symbol, and the end
+        new = self._offered(s[:, :-1], s[:, 1:], unit, begin)
+        score = np.where(new >= 0, self.score[new], -np.inf)
+        count = np.full(len(at), size)
+        out = []
+        while len(at):
+            live = (new >= 0).any(1)
+            if not live.all():
+                out.append((at[~live], s[~live], count[~live]))
+                at, s, begin, unit, new, score, count = (x[live] for x in (at, s, begin, unit, new, score, count))
                 if not len(at):
                     break
-                j = np.where(new >= 0, self.score[new], -np.inf).argmax(1)
-                row = np.arange(len(at))
-                s[row, j] = new[row, j]
-                width = s.shape[1]
-                s = np.take_along_axis(s, np.minimum(np.arange(width) + (np.arange(width) > j[:, None]), width - 1), 1)
-                begin = np.take_along_axis(begin, np.minimum(np.arange(width + 1) + (np.arange(width + 1) > j[:, None]), width), 1)
-                new = np.take_along_axis(new, np.minimum(np.arange(width - 1) + (np.arange(width - 1) > j[:, None]), width - 2), 1)
-                count -= 1
-                new[np.arange(width - 1) >= count[:, None] - 1] = -1
-                for i in (j - 1, j):  # the new symbol's pairs
-                    ok = np.flatnonzero((i >= 0) & (i < count - 1))
-                    k = i[ok]
-                    found = self._joined(s[ok, k], s[ok, k + 1])
-                    drop = self._passed(unit[ok], begin[ok, k], begin[ok, k + 1], begin[ok, k + 2])
-                    new[ok, k] = np.where(drop, -1, found)
+            j = score.argmax(1)
+            row, width = np.arange(len(at)), s.shape[1]
+            s[row, j] = new[row, j]
+            place = np.arange(width + 1)
+            after = place + (place > j[:, None])
+            s = np.take_along_axis(s, np.minimum(after[:, :width], width - 1), 1)[:, : width - 1]
+            begin = np.take_along_axis(begin, np.minimum(after, width), 1)[:, :width]
+            new = np.take_along_axis(new, np.minimum(after[:, : width - 1], width - 2), 1)[:, : width - 2]
+            score = np.take_along_axis(score, np.minimum(after[:, : width - 1], width - 2), 1)[:, : width - 2]
+            count = count - 1
+            for i in (j - 1, j):  # the new symbol's pairs
+                ok = np.flatnonzero((i >= 0) & (i < width - 2))
+                k = i[ok]
+                found = self._joined(s[ok, k], s[ok, k + 1])
+                drop = self._passed(unit[ok], begin[ok, k], begin[ok, k + 1], begin[ok, k + 2])
+                new[ok, k] = found = np.where(drop, -1, found)
+                score[ok, k] = np.where(found >= 0, self.score[found], -np.inf)
         return out
 
     def _offered(self, left: np.ndarray, right: np.ndarray, unit: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -172,7 +213,7 @@ class Pieces:
         for i, j in text_chunks(texts):
             own = [_UNITS.findall(" " + t) if t else [] for t in texts[i:j]]
             counts = np.array([len(u) for u in own])
-            numbers = np.fromiter((self._number(u) for units in own for u in units), np.int64, int(counts.sum()))
+            numbers = np.fromiter(map(self.units.__getitem__, chain.from_iterable(own)), np.int64, int(counts.sum()))
             with np.errstate(over="ignore"):
                 doc = np.array([(d or 0) & 0xFFFFFFFFFFFFFFFF for d in docs[i:j]], np.uint64)
                 place = np.arange(len(numbers)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -181,9 +222,10 @@ class Pieces:
             at = np.array([self.known.get(x, -1) for x in pair.tolist()], np.int64)
             new = np.flatnonzero(at < 0)
             if len(new):
-                found = self.merge([self.names[x] for x in pair[new] // self.draws], pair[new] % self.draws)
+                names = self.units.names
+                found = self.merge([names[x] for x in (pair[new] // self.draws).tolist()], pair[new] % self.draws)
                 at[new] = np.arange(len(self.known), len(self.known) + len(new))
-                self._add(found, len(self.known))
+                self._add(*found, len(self.known))
                 self.known.update(zip(pair[new].tolist(), at[new].tolist(), strict=True))
             at = at[back]
             lengths = self.length[at]
@@ -195,22 +237,13 @@ class Pieces:
                 self.clear()
         return out
 
-    def _number(self, unit: str) -> int:
-        n = self.units.get(unit)
-        if n is None:
-            n = self.units[unit] = len(self.names)
-            self.names.append(unit)
-        return n
-
-    def _add(self, found: list[list[int]], at: int) -> None:
-        lengths = np.array([len(f) for f in found])
-        flat = np.array([x for f in found for x in f], np.int32)
+    def _add(self, flat: np.ndarray, lengths: np.ndarray, at: int) -> None:
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while at + len(found) > len(self.start):
+        while at + len(lengths) > len(self.start):
             self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        self.start[at : at + len(found)] = self.used + np.cumsum(lengths) - lengths
-        self.length[at : at + len(found)] = lengths
+        self.start[at : at + len(lengths)] = self.used + np.cumsum(lengths) - lengths
+        self.length[at : at + len(lengths)] = lengths
         self.pool[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
 

@@ -324,7 +324,9 @@ def test_pieces(spark, documents, odd):
     assert [rough.decode(x) for x in ids] == texts + ODD
     units = ["▁".replace("▁", " ") + w for w in ("hello", "worthless", "naïve日", "aaaaaaaaaaaa", "x" * 60)]
     draws = np.arange(len(units)) % 3
-    assert rough.merge(units, draws) == [rough.agenda(u, k) for u, k in zip(units, rough._key(units, draws), strict=True)]
+    flat, lengths = rough.merge(units, draws)
+    single = [rough.agenda(u, k) for u, k in zip(units, rough._key(units, draws), strict=True)]
+    assert flat.tolist() == sum(single, []) and lengths.tolist() == list(map(len, single))
     again = pieces.Pieces(path, 0.5, 3, 9)
     assert [x.tolist() for x in again.encode(texts, list(range(len(texts))))] == [x.tolist() for x in again.encode(texts, list(range(len(texts))))]
     rows = pieces.encoded(odd, path)
@@ -401,3 +403,10 @@ def test_pipeline(spark, documents):
         docs = new
     pieces_ = cp.STAGES[-1][1](spark, docs, sf).toPandas()
     check_packing(pieces_, docs.toPandas())
+
+
+def test_pii_of_long_lines():
+    long = "word " * 30_000 + "password=b7db7aa4a5fcc78305 " + "word " * 30_000
+    texts = [long, "a\nb\npassword=aaaabbbbccccdddd1234 end", "plain"]
+    spans = [every for _, every in pii.spans_of(texts, pii.field())]
+    assert [texts[0][a:b] for a, _, b in spans[0]] == ["b7db7aa4a5fcc78305"] and len(spans[1]) == 1 and not spans[2]
