@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import workers_find_library
+from ..session import fresh_dir, shared_root, workers_find_library
 
 #: Rows in an Arrow batch that goes to Python: whole texts are long, so batches are short.
 BATCH_ROWS = 512
@@ -25,23 +23,6 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which the cluster names; in a session without one (tests), a fresh folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: later jobs neither recompute it nor depend on executors."""
     spark = df.sparkSession
@@ -131,7 +112,8 @@ def components(links: DataFrame, rounds: int = 64) -> DataFrame:
     links are cut off by a checkpoint in the shared folder. Null ends and loops are ignored; without links: no rows.
     """
     links = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
-    seen = None
+    mark = lambda: links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    seen = mark()  # stars are settled from the start
     for _ in range(rounds):
         both = links.union(links.select(F.col("b"), F.col("a"))).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -142,8 +124,7 @@ def components(links: DataFrame, rounds: int = 64) -> DataFrame:
             small.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
             .union(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct().checkpoint()
         )
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
+        if (now := mark()) == seen:
             break
         seen = now
     else:

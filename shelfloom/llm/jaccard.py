@@ -129,13 +129,13 @@ def dealt(docs: DataFrame, blocks: int, hot: np.ndarray, words: int, percent: in
             row = np.repeat(np.arange(len(held)), [len(x) for x in held.values()])
             block = (h & np.uint64(blocks - 1)).astype(np.int64)
             order = np.argsort(block, kind="stable")
-            cut = np.searchsorted(block[order], np.arange(blocks + 1))
+            cut = np.searchsorted(block[order], np.arange(blocks + 1))  # one number a block
             about = np.array(meta, np.int64).reshape(-1, 3)
             place = about[:, 0] & (blocks - 1)
             straight = np.array([(k, x) for k, own in direct for x in own.astype(np.int64).tolist()], np.int64).reshape(-1, 2)
             where = straight[:, 0] & (blocks - 1)
             out = []
-            for b in range(blocks):
+            for b in np.unique(np.concatenate([block, place, where])).tolist():
                 own = order[cut[b] : cut[b + 1]]
                 used, local = np.unique(row[own], return_inverse=True)
                 out.append((b, (h[own] >> np.uint64(bits)).astype("<u4").tobytes(), local.astype("<u2").tobytes(), node[used].astype("<i8").tobytes(), about[place == b].astype("<i8").tobytes(), straight[where == b].astype("<i8").tobytes()))
@@ -189,7 +189,7 @@ def shared_entries(rows: pd.DataFrame, blocks: int) -> pd.DataFrame:
     part = node & (blocks - 1)
     order = np.argsort(part, kind="stable")
     cut = np.searchsorted(part[order], np.arange(blocks + 1))
-    out = [(b, packed(node[own], h[own], sets[own]), b"", b"") for b in range(blocks) if len(own := order[cut[b] : cut[b + 1]])]
+    out = [(b, packed(node[own], h[own], sets[own]), b"", b"") for b in np.flatnonzero(np.diff(cut)).tolist() if len(own := order[cut[b] : cut[b + 1]])]
     out.append((int(rows.block.iloc[0]), b"", b"".join(rows.meta), b"".join(rows.direct)))
     return pd.DataFrame(out, columns=["part", "entries", "meta", "direct"])
 
@@ -314,6 +314,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     found = components(product(docs, members, words, percent))
     least = found.join(nodes, "node").groupBy("component").agg(F.min("first_doc").alias("least"))
     named = nodes.join(found.join(least, "component").select("node", "least"), "node", "left").select("node", F.coalesce("least", "first_doc").alias("component_id"))
+    named = saved(named, "named")  # a plain side, so that a node with very many documents can be split
     return docs_sets.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
