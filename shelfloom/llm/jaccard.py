@@ -5,8 +5,8 @@ of A's elements in any common order the first floor(n * (100 - percent) / 100) +
 is by the number of sets that hold an element, rarest first, so most sets' first elements are theirs alone.
 
 1. Sets: each text's distinct shingles as 64-bit hashes; equal sets become one node, named by a digest of the set.
-2. Columns: the incidence, dealt by blocks of n-grams in packed arrays (half of the hash space, or all of a set whose half is
-   too small for the bound); each block counts its columns and returns entries of columns with two sets or more.
+2. Columns: the incidence of all elements, dealt by blocks of n-grams in packed arrays; each block counts its columns and
+   returns entries of columns with two sets or more. The bound needs one order of all elements for both sets of a pair.
 3. First elements: per node, the rarest of the returned entries, as far as the bound goes beyond the elements of its own.
    Nodes sharing one fall in a cluster, by links to the least node of each column. No linked pair is outside a cluster.
 4. Product: each cluster's nodes meet with their whole sets, in blocks of nodes (clusters over a block in pairs of blocks);
@@ -27,8 +27,6 @@ from pyspark.sql import functions as F
 from .common import column, components, hashed_words, mixed, prepared, saved, table, text_chunks
 
 WORDS, PERCENT = 5, 80
-#: Elements below this hash form the half in which first elements are sought.
-HALF = np.uint64(1 << 63)
 #: Nodes, and elements, of a block of the product.
 BLOCK_NODES, BLOCK_ELEMENTS = 1024, 2_000_000
 _FOLD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93], np.uint64)
@@ -147,13 +145,10 @@ def dealt(docs: DataFrame, blocks: int, hot: np.ndarray, words: int, percent: in
                 if node is None or node in held:
                     continue
                 need = int(slack(np.int64(len(own)), percent)) + 1
-                sent = own[: np.searchsorted(own, HALF)]
-                common = np.isin(sent, hot, assume_unique=True)
-                if len(sent) < need:
-                    sent, common = own, np.isin(own, hot, assume_unique=True)
-                rare = sent[~common]
+                common = np.isin(own, hot, assume_unique=True)
+                rare = own[~common]
                 if len(rare) < need:
-                    direct.append((node, sent[common][: need - len(rare)]))
+                    direct.append((node, own[common][: need - len(rare)]))
                 held[node] = rare
                 meta.append((node, len(own), len(rare)))
                 size += len(rare)
@@ -307,7 +302,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     docs_sets = rows.where("column is null").select("doc_id", "node", "n_shingles")
     hot = rows.where("column is not null").groupBy("column").agg(F.sum("held").alias("held")).orderBy(F.desc("held"), "column").limit(MOST_HOT).toPandas()["column"].to_numpy(np.int64).astype(np.uint64)
     total = docs_sets.agg(F.sum("n_shingles")).first()[0] or 0
-    blocks = 1 << max(3, int(np.ceil(np.log2(max(1, total / 2 / block_entries)))))
+    blocks = 1 << max(3, int(np.ceil(np.log2(max(1, total / block_entries)))))
     nodes = docs_sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.max("n_shingles").alias("n_shingles"))
     cluster = clusters(docs, blocks, np.sort(hot), words, percent)
     members = nodes.join(cluster, "node").select(F.col("first_doc").alias("doc_id"), "node", "n_shingles", "cluster")

@@ -225,6 +225,21 @@ def test_jaccard_blocks():
     assert label == {d: expected[d][1] for d in label}
 
 
+def test_jaccard_of_short_pairs_at_the_threshold(spark):
+    # 4 to 36 shingles; the copy lacks so many words of its end that the similarity is just 0.8 or next above
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(1500):
+        n = int(rng.integers(9, 41))
+        own = [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(own[: n - (n - 4) // 5]))]
+    expected = {d: (len(t.split()) - 4, d // 2 * 2) for d, t in rows}
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == expected
+    some = rows[:300]
+    assert {d: expected[d] for d, _ in some} == brute_jaccard(some)
+
+
 def test_jaccard_of_odd_documents(spark, odd):
     got = jaccard.jaccard_components(odd).toPandas()
     assert len(got) == odd.count() and got[got.doc_id == 100].values.tolist() == [[100, 0, 100]]
