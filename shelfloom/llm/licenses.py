@@ -7,6 +7,9 @@ their lines too, since a notice often stands on a line of its own.
 
 from __future__ import annotations
 
+from importlib.resources import files
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +40,71 @@ Permission is granted to anyone to use this software for any purpose, including
 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
+#: Licences whose full texts lie in license_texts, and where their terms end if an appendix follows.
+_TEXTS = (
+    ("Apache-2.0", "Apache-2.0", "APPENDIX: How to apply"), ("GPL-1.0", "GPL-1", "Appendix: How to Apply"), ("GPL-2.0", "GPL-2", "How to Apply These Terms"), ("GPL-3.0", "GPL-3", "How to Apply These Terms"),
+    ("LGPL-2.0", "LGPL-2", "How to Apply These Terms"), ("LGPL-2.1", "LGPL-2.1", "How to Apply These Terms"), ("LGPL-3.0", "LGPL-3", ""), ("MPL-1.1", "MPL-1.1", ""), ("MPL-2.0", "MPL-2.0", ""),
+    ("CC0-1.0", "CC0-1.0", ""), ("GFDL-1.2", "GFDL-1.2", "ADDENDUM: How to use"), ("GFDL-1.3", "GFDL-1.3", "ADDENDUM: How to use"), ("Artistic-1.0-Perl", "Artistic", ""),
+)
+
+
+def _full_texts() -> list[tuple[str, str]]:
+    out = []
+    for name, file, appendix in _TEXTS:
+        text = files(__package__).joinpath("license_texts", f"{file}.txt").read_text("utf-8")
+        out.append((name, text))
+        if appendix and appendix in text:
+            terms = text[: text.rindex(appendix)].rstrip()
+            out.append((name, terms))
+            if terms.endswith("END OF TERMS AND CONDITIONS"):
+                out.append((name, terms.removesuffix("END OF TERMS AND CONDITIONS")))
+    return out
+
+
+def _gnu(short: str, title: str, version: str) -> list[tuple[str, str]]:
+    """Names of a GNU licence's version, alone and with later ones; the canonical form knows no signs."""
+    spelled = dict.fromkeys((version, version.removesuffix(".0")))
+    base = [f"{head} {word}{v}" for head in (title, f"GNU {title}", f"GNU {short}", short) for v in spelled for word in ("", "v", "version ")]
+    base += [f"{head}v{v}" for head in (short, f"GNU {short}") for v in spelled]
+    later = ("or later", "or any later version", "or (at your option) any later version")
+    return [(f"{short}-{version}", x) for x in base] + [(f"{short}-{version}-or-later", f"{x} {y}") for x in base for y in later]
+
+
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+
+
+def _creative_commons(kind: str, version: str) -> list[tuple[str, str]]:
+    ends = ("", *({"3.0": (" Unported",), "4.0": (" International",)}.get(version, ())))
+    heads = (f"CC {kind}", f"Creative Commons {kind}", f"Creative Commons CC {kind}", f"Creative Commons {_CC[kind]}")
+    names = [f"{h} {version}{e}" for h in heads for e in ends]
+    return [(f"CC-{kind}-{version}", x) for x in (*names, f"{names[-1]} (CC {kind} {version})")]
+
+
+#: Names of licences, as notices spell them.
+NAMES = (
+    *(("Apache-2.0", x) for x in ("Apache 2.0", "Apache 2", "Apache v2", "Apache v2.0", "Apache Version 2.0", "Apache License 2.0", "Apache License, Version 2.0", 'Apache License, Version 2.0 (the "License")', "Apache License, Version 2", "Apache License v2.0", "Apache License v2", "Apache Software License 2.0", "Apache Software License, Version 2.0")),
+    *(("MIT", x) for x in ("MIT", "MIT License (MIT)", "Expat")), *(("ISC", x) for x in ("ISC",)), *(("Zlib", x) for x in ("zlib",)), *(("0BSD", x) for x in ("0BSD", "BSD Zero Clause", "Zero-Clause BSD")),
+    *((f"BSD-{n}-Clause", x) for n, w, k in ((2, "Two", "Simplified"), (3, "Three", "New")) for x in (f"BSD {n}-Clause", f"{n}-Clause BSD", f"{w}-Clause BSD", f"{k} BSD", f'BSD {n}-Clause "{k}"')), ("BSD-3-Clause", "Modified BSD"), ("BSD-3-Clause", "Revised BSD"), ("BSD-2-Clause", "FreeBSD"),
+    *_gnu("GPL", "General Public License", "1.0"), *_gnu("GPL", "General Public License", "2.0"), *_gnu("GPL", "General Public License", "3.0"), *_gnu("LGPL", "Library General Public License", "2.0"), *_gnu("LGPL", "Lesser General Public License", "2.1"),
+    *_gnu("LGPL", "Lesser General Public License", "3.0"), *_gnu("AGPL", "Affero General Public License", "3.0"), *_gnu("GFDL", "Free Documentation License", "1.2"), *_gnu("GFDL", "Free Documentation License", "1.3"),
+    *((f"{k}-{v}", x) for k, t, vs in (("MPL", "Mozilla Public License", ("1.1", "2.0")), ("EPL", "Eclipse Public License", ("1.0", "2.0")), ("BSL", "Boost Software License", ("1.0",))) for v in vs for x in (f"{k} {v}", f"{k} v{v}", f"{t} {v}", f"{t} v{v}", f"{t}, Version {v}", f"{t}, v. {v}", f"{t} {v} ({k} {v})")),
+    *(x for v in ("2.0", "2.5", "3.0", "4.0") for k in _CC for x in _creative_commons(k, v)),
+    *(("CC0-1.0", x) for x in ("CC0", "CC0 1.0", "CC0 1.0 Universal", "CC0 1.0 Universal (CC0 1.0) Public Domain Dedication", "Creative Commons Zero", "Creative Commons Zero v1.0 Universal", "Creative Commons CC0", "Creative Commons CC0 1.0", "Creative Commons CC0 1.0 Universal")),
+    ("Unlicense", "Unlicense"), ("Artistic-2.0", "Artistic License 2.0"), ("WTFPL", "WTFPL"),
+)
+SUBJECTS = ("work", "program", "software", "file", "project", "code", "library", "package", "document", "content", "dataset")
+LEADS = tuple(f"{x} under" for x in ("Licensed", "Released", "Distributed", "Permission is hereby granted", *(f"This {a} is licensed" for a in SUBJECTS)))
+_IDS = tuple(dict.fromkeys(i for i, _ in NAMES))
+#: Identifiers of SPDX lines.
+SPDX = tuple((i, i) for i in _IDS) + tuple((i, f"{i}-only") for i in _IDS if i.startswith(("GPL", "LGPL", "AGPL", "GFDL")) and "later" not in i)
+
+
+def notices() -> list[tuple[str, str]]:
+    """Every lead-in with every name, with and without an article and the word license; and SPDX lines."""
+    named = dict.fromkeys((i, f"{a}{x}{z}") for i, x in NAMES for a in ("", "the ", *(["a "] if x.startswith("Creative") else [])) for z in ("", " license") if not (z and ("License" in x or "later" in x)))
+    return [(i, f"{lead} {x}.") for lead, (i, x) in product(LEADS, named)] + [(i, f"SPDX-License-Identifier: {x}") for i, x in SPDX]
+
+
 #: Known licences and notices: fixed values.
 KNOWN = (
     ("MIT", _MIT), ("MIT", "MIT License\n" + _MIT), ("MIT", "The MIT License (MIT)\n" + _MIT), ("ISC", _ISC), ("ISC", "ISC License\n" + _ISC), ("0BSD", _ZERO), ("0BSD", "Zero-Clause BSD\n" + _ZERO),
@@ -46,6 +114,7 @@ KNOWN = (
     ("MIT", "Permission is hereby granted under the MIT License."), ("MIT", "Licensed under the MIT License."), ("MIT", "Released under the MIT License."), ("MIT", "SPDX-License-Identifier: MIT"),
     ("GPL-3.0", "This program is licensed under the GNU General Public License, version 3."), ("GPL-3.0", "Licensed under the GNU General Public License, version 3."), ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-NC-4.0", "This work is licensed under CC BY-NC 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("CC0-1.0", "Licensed under CC0 1.0."),
+    *_full_texts(), *notices(),
 )
 
 
@@ -60,9 +129,11 @@ def canonical_lines(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession) -> DataFrame:
-    """license_id, digest, size (characters of the canonical text) of the known licences: a few dozen rows."""
-    rows = F.inline(F.array(*(F.struct(F.lit(a).alias("license_id"), F.lit(b).alias("text")) for a, b in KNOWN)))
-    known = spark.range(1).select(rows).select("license_id", F.array_join(canonical_lines(F.col("text")), " ").alias("t"))
+    """license_id, digest, size (characters of the canonical text) of the known licences: a fixed list of some tens of thousands of short rows, of the same size for any input."""
+    # one literal for all; the separators are in no text
+    rows = F.explode(F.split(F.lit("\x1e".join(f"{a}\x1f{b}" for a, b in KNOWN)), "\x1e"))
+    pair = spark.range(1).select(rows.alias("pair")).select(F.split("pair", "\x1f").alias("pair"))
+    known = pair.select(F.col("pair")[0].alias("license_id"), F.array_join(canonical_lines(F.col("pair")[1]), " ").alias("t"))
     return known.select("license_id", F.sha2("t", 256).alias("digest"), F.length("t").alias("size")).distinct()
 
 

@@ -109,6 +109,21 @@ def test_licenses(spark, odd):
     assert licenses.license_scan(odd, known).count() == 0
 
 
+def test_license_notices(spark):
+    notices = [
+        ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("GPL-3.0", "Released under GPLv3"), ("GPL-2.0-or-later", "This program is licensed under the GNU General Public License v2.0 or later."),
+        ("LGPL-2.1", "This library is licensed under the LGPL-2.1 license."), ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."), ("Apache-2.0", "This project is licensed under the Apache License 2.0"),
+        ("MIT", "This file is licensed under the MIT licence."), ("MPL-2.0", "This software is licensed under the Mozilla Public License, v. 2.0."), ("BSD-3-Clause", "This code is licensed under the BSD 3-Clause License"),
+        ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."), ("CC-BY-SA-3.0", "This content is licensed under CC BY-SA 3.0"), ("CC0-1.0", "Released under CC0 1.0 Universal."),
+        ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"), ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"), ("CC-BY-4.0", "SPDX-License-Identifier: CC-BY-4.0"),
+    ]
+    texts = [(n, t) for n, t in licenses.KNOWN if len(t) > 5000]
+    assert {n for n, _ in texts} >= {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0"}
+    docs = [(k, "Some prose.\n" + t + "\nMore prose.") for k, (_, t) in enumerate(notices)] + [(1000 + k, t.upper()) for k, (_, t) in enumerate(texts)]
+    got = {tuple(r)[:3] for r in licenses.license_scan(spark.createDataFrame(docs, "doc_id long, text string"), licenses.known_digests(spark)).collect()}
+    assert got == {(k, n, False) for k, (n, _) in enumerate(notices)} | {(1000 + k, n, True) for k, (n, _) in enumerate(texts)}
+
+
 def vectors(rng, n=600, d=16):
     x = rng.standard_normal((n, d))
     x[100:150] = x[0] + 0.01 * rng.standard_normal((50, d))
