@@ -3,7 +3,7 @@
 Words fall into classes: the most frequent words of the corpus have one each, the others share the rest by hash. The network
 sees the classes of the words before and after a place and predicts the class of the word there:
 h = tanh(b + sum over offsets k of E_k[class at k]), log-probabilities = log softmax(O h + c). It is trained in numpy on every
-document: each task takes gradient steps over its own documents from the common weights, and the tasks' weights are averaged
+document and place: each task takes gradient steps over its own documents from the common weights, and the tasks' weights are averaged
 by their numbers of words, for a few rounds. A document's score is the sum of the log-probabilities of all its words.
 """
 
@@ -22,7 +22,7 @@ from .common import column, hashed_words, mixed, prepared, saved, table, text_ch
 
 #: Words before and after, classes, classes that rare words share, units of the hidden layer; no word stands at class 0.
 WINDOW, CLASSES, SHARED, HIDDEN = 2, 256, 64, 16
-ROUNDS, STRIDE, BATCH, RATE = 2, 16, 512, 0.3
+ROUNDS, STRIDE, BATCH, RATE = 2, 1, 512, 0.3
 _PARTS = 8
 
 
@@ -82,6 +82,7 @@ def hidden(x: np.ndarray, e: np.ndarray, b: np.ndarray) -> np.ndarray:
 def trained(weights: np.ndarray, x: np.ndarray, y: np.ndarray, rate: float) -> np.ndarray:
     """Weights after one pass of gradient steps over examples."""
     e, b, o, c = (w.astype(np.float32) for w in split(weights))
+    unit = np.arange(HIDDEN)
     for i in range(0, len(y), BATCH):
         xs, ys = x[i : i + BATCH], y[i : i + BATCH]
         h = hidden(xs, e, b)
@@ -92,8 +93,9 @@ def trained(weights: np.ndarray, x: np.ndarray, y: np.ndarray, rate: float) -> n
         o -= np.float32(rate * 16 / len(ys)) * (h.T @ p)
         c -= np.float32(rate * 16 / len(ys)) * p.sum(0)
         b -= np.float32(rate / len(ys)) * dh.sum(0)
+        step = (np.float32(rate * 16 / len(ys)) * dh).reshape(-1)
         for k in range(2 * WINDOW):
-            np.subtract.at(e[k], xs[:, k], np.float32(rate * 16 / len(ys)) * dh)
+            e[k] -= np.bincount((xs[:, k, None] * HIDDEN + unit).reshape(-1), step, CLASSES * HIDDEN).reshape(CLASSES, HIDDEN).astype(np.float32)
         np.clip(o, -3, 3, out=o)
     return np.concatenate([w.reshape(-1) for w in (e, b, o, c)]).astype(np.float64)
 
@@ -130,7 +132,7 @@ def shares(number: np.ndarray, n: np.ndarray, total: int) -> np.ndarray:
 
 
 def fit(docs: DataFrame, known: np.ndarray, number: np.ndarray, bias: np.ndarray, rounds: int = ROUNDS, stride: int = STRIDE) -> np.ndarray:
-    """Weights trained on every document, at one in `stride` of its places (another in each round)."""
+    """Weights trained on every document, at every place, or at one in `stride` of its places (another in each round)."""
     weights = fresh()
     weights[-CLASSES:] = bias
     for r in range(rounds):

@@ -342,6 +342,23 @@ def test_pseudo_likelihood(spark, documents, odd):
     assert pseudo.pseudo_likelihood(odd.limit(0)).count() == 0
 
 
+def test_pseudo_likelihood_trains_at_every_place(spark, documents):
+    top, total = pseudo.vocabulary(documents)
+    h = top["hash"].to_numpy(np.int64).astype(np.uint64)
+    o = np.argsort(h)
+    known, number, n = h[o], (1 + pseudo.SHARED + np.arange(len(h)))[o], top["n"].to_numpy()[o]
+    bias = pseudo.shares(number, n, total)
+    weights = pseudo.fit(documents, known, number, bias)  # as the query does
+    assert np.allclose(weights, pseudo.fit(documents, known, number, bias, stride=1))
+    plain = pseudo.fresh() * 0
+    plain[-pseudo.CLASSES :] = bias
+    rng = np.random.default_rng(1)
+    d = documents.toPandas()
+    mixed = spark.createDataFrame(pd.DataFrame({"doc_id": d.doc_id, "text": [" ".join(rng.permutation((t or "").split())) for t in d.text]}))
+    whole = lambda w, df: pseudo.scored(df, w, known, number).agg(F.sum("score")).first()[0]
+    assert whole(weights, documents) > max(whole(plain, documents), whole(weights, mixed))
+
+
 def test_pieces(spark, documents, odd):
     import sentencepiece
 
