@@ -2,10 +2,13 @@
 
 A text, with a blank before it, is cut at the ends of runs of blanks and at line ends, which no merge crosses. In each unit
 the agenda holds the adjacent pairs whose union is a piece, best score first and leftmost among equals; a pair whose keyed
-hash falls below the dropout is passed over for good. The key is the seed, the unit, the occurrence's draw (one of a few per
-unit, by a hash of document and place) and the pair's place, so an encoding depends on nothing but the seed and the document,
-and equal units with equal draws are merged once. Units are merged together with numpy, a merge each per round, which is the
-agenda's order in every unit. Characters without a piece, and the mark that stands for a blank, become byte pieces.
+hash falls below the dropout is passed over for good. The key is of the seed, the document and the occurrence's place in it, so
+an encoding depends on nothing but these and the text, and a unit has as many segmentations as its occurrences draw.
+
+Occurrences of a unit walk together as long as their draws agree: a state is a unit's symbols and its pairs passed over, each
+step takes the best pair of every state, asks the hash of each of its occurrences, and parts those that merge from those
+that pass. Nothing is kept from one block of texts to the next, so memory is bounded by the block. Characters without a piece,
+and the mark that stands for a blank, become byte pieces.
 """
 
 from __future__ import annotations
@@ -23,28 +26,23 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import column, mixed, prepared, table, text_chunks
 
 MARK = "▁"
-DROPOUT, DRAWS, SEED = 0.1, 4, 2024
+DROPOUT, SEED = 0.1, 2024
+#: Characters of texts that are encoded together, at least, unless they end.
+BLOCK = 1 << 22
 #: Longer units go through the agenda one by one.
 LONGEST = 48
 _UNITS = re.compile(r" *[^ \n]+| +|\n")
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
-class _Numbers(dict):
-    """Unit to number; a new unit gets the next one."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.names: list[str] = []
-
-    def __missing__(self, unit: str) -> int:
-        self[unit] = n = len(self.names)
-        self.names.append(unit)
-        return n
+def _place(begin: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number of the pair of symbols [begin, middle) and [middle, end)."""
+    with np.errstate(over="ignore"):
+        return begin.astype(np.uint64) * _A + middle.astype(np.uint64) * _B + end.astype(np.uint64) * _C
 
 
 class Pieces:
-    def __init__(self, model: str, dropout: float = DROPOUT, draws: int = DRAWS, seed: int = SEED, most_units: int = 600_000) -> None:
+    def __init__(self, model: str, dropout: float = DROPOUT, seed: int = SEED) -> None:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -71,14 +69,7 @@ class Pieces:
         pairs = [(own[t[:k]] * n + own[t[k:]], i) for t, i in own.items() for k in range(1, len(t)) if t[:k] in own and t[k:] in own]
         pairs.sort()
         self.pair, self.merged = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
-        self.dropout, self.draws, self.seed, self.most_units = dropout, draws, np.uint64(seed), most_units
-        self.clear()
-
-    def clear(self) -> None:
-        self.units = _Numbers()
-        self.known: dict[int, int] = {}
-        self.pool, self.used = np.zeros(1 << 16, np.int32), 0
-        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.least, self.seed = np.uint64(min(int(dropout * 2.0**64), 2**64 - 1)), np.uint64(seed)
 
     # -- merging -------------------------------------------------------------------------------------------------------
 
@@ -88,16 +79,15 @@ class Pieces:
         at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
         return np.where(self.pair[at] == key, self.merged[at], -1)
 
-    def _passed(self, unit: np.ndarray, begin: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def _passed(self, key: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """Is the pair, given by `_place`, passed over by the occurrence of this key?"""
         with np.errstate(over="ignore"):
-            h = mixed(unit + begin.astype(np.uint64) * _A + middle.astype(np.uint64) * _B + end.astype(np.uint64) * _C)
-        return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53 < self.dropout
+            return mixed(key + pair) < self.least
 
-    def _key(self, units: list[str], draws: np.ndarray) -> np.ndarray:
+    def keys(self, docs: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Keys of occurrences: of the seed, the document's number and the place in the document."""
         with np.errstate(over="ignore"):
-            raws = [u.encode("utf-8", "surrogatepass") for u in units]
-            raw = np.fromiter(map(zlib.crc32, raws), np.uint64, len(raws)) << np.uint64(32) | np.fromiter(map(zlib.adler32, raws), np.uint64, len(raws))
-            return mixed(mixed(raw + self.seed) ^ mixed(draws.astype(np.uint64) + _C))
+            return mixed(mixed(docs + self.seed) + places.astype(np.uint64) * _A)
 
     def _symbols(self, units: list[str]) -> np.ndarray:
         """Ids of the single characters of units, which have one length."""
@@ -121,7 +111,7 @@ class Pieces:
             if i < 0 or j >= n:
                 return
             new = int(self._joined(np.array([s[i]]), np.array([s[j]]))[0])
-            if new >= 0 and not self._passed(np.array([key]), *(np.array([x]) for x in (begin[i], begin[j], end[j])))[0]:
+            if new >= 0 and not self._passed(np.array([key]), _place(*(np.array([x]) for x in (begin[i], begin[j], end[j]))))[0]:
                 heapq.heappush(heap, (-float(self.score[new]), i, j, end[i], end[j], new))
 
         for i in range(n - 1):
@@ -139,114 +129,109 @@ class Pieces:
             offer(i, following[i])
         return self._spelled([x for x, g in zip(s, gone, strict=True) if not g])
 
-    def merge(self, units: list[str], draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces of units with their draws, one after the other, and how many each has."""
-        keys = self._key(units, draws)
+    def merge(self, units: list[str], unit: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of occurrences, one after the other, and how many each has. unit: the number of each occurrence's unit."""
         sizes = np.fromiter(map(len, units), np.int64, len(units))
-        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # units, their pieces in rows, how many count
-        for k in np.flatnonzero(sizes > LONGEST):
-            own = self.agenda(units[k], keys[k])
-            parts.append((np.array([k]), np.array([own], np.int64), np.array([len(own)])))
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # occurrences, their rows, rows of symbols, how many of a row count
+        own = sizes[unit]
+        for k in np.flatnonzero(own > LONGEST):
+            found = self.agenda(units[unit[k]], keys[k])
+            done.append((np.array([k]), np.zeros(1, np.int64), np.array([found], np.int64), np.array([len(found)])))
+        by = np.argsort(own, kind="stable")
         for size in np.unique(sizes[sizes <= LONGEST]).tolist():
-            at = np.flatnonzero(sizes == size)
-            s = self._symbols([units[k] for k in at.tolist()])
-            parts += self._merged(at, s, keys[at])
-        lengths = np.zeros(len(units), np.int64)
-        for at, rows, count in parts:
-            for r in np.flatnonzero(((rows < 0) & (np.arange(rows.shape[1]) < count[:, None])).any(1)):
-                spelled = self._spelled(rows[r, : count[r]].tolist())
-                parts.append((at[r : r + 1], np.array([spelled], np.int64), np.array([len(spelled)])))
-                count[r] = 0
-            lengths[at] += count
-        starts = np.cumsum(lengths) - lengths
-        flat = np.zeros(int(lengths.sum()), np.int32)
-        for at, rows, count in parts:
-            place = np.arange(rows.shape[1])
-            mine = place < count[:, None]
-            flat[(starts[at][:, None] + place)[mine]] = rows[mine]
-        return flat, lengths
-
-    def _merged(self, at: np.ndarray, s: np.ndarray, unit: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Units of one length, a merge each per round until none is left."""
-        size = s.shape[1]
-        begin = np.tile(np.arange(size + 1), (len(at), 1))  # of each symbol, and the end
-        new = self._offered(s[:, :-1], s[:, 1:], unit, begin)
+            occ = by[np.searchsorted(own[by], size) : np.searchsorted(own[by], size, side="right")]
+            names, row = np.unique(unit[occ], return_inverse=True)
+            self._walk(self._symbols([units[k] for k in names.tolist()]), occ, row, keys[occ], done)
+        pool, start, length, of, at, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(len(unit), np.int64), 0, 0
+        for occ, row, symbols, count in done:
+            mine = np.arange(symbols.shape[1]) < count[:, None]
+            odd = np.flatnonzero((mine & (symbols < 0)).any(1)).tolist()
+            spelled = [self._spelled(symbols[r, : count[r]].tolist()) for r in odd]
+            mine[odd] = False
+            size = mine.sum(1)
+            first = at + np.cumsum(size) - size
+            pool.append(symbols[mine])
+            at += len(pool[-1])
+            for r, x in zip(odd, spelled, strict=True):
+                first[r], size[r] = at, len(x)
+                pool.append(np.array(x, np.int64))
+                at += len(x)
+            start.append(first)
+            length.append(size)
+            of[occ] = n + row
+            n += len(size)
+        first, lengths = np.concatenate(start)[of], np.concatenate(length)[of]
+        shift = first - (np.cumsum(lengths) - lengths)
+        return np.concatenate(pool)[np.repeat(shift, lengths) + np.arange(int(lengths.sum()))].astype(np.int32), lengths
+
+    def _walk(self, s: np.ndarray, occ: np.ndarray, row: np.ndarray, keys: np.ndarray, done: list) -> None:
+        """Occurrences of units of one length to their ends. s: symbols of the units; row: the number of each occurrence's unit there."""
+        begin = np.tile(np.arange(s.shape[1] + 1), (len(s), 1))  # of each symbol, and the end
+        new = self._joined(s[:, :-1], s[:, 1:])
         score = np.where(new >= 0, self.score[new], -np.inf)
-        count = np.full(len(at), size)
-        out = []
-        while len(at):
-            live = (new >= 0).any(1)
+        count = np.full(len(s), s.shape[1])
+        while len(s):
+            at = np.arange(len(s))
+            best = score.argmax(1) if score.shape[1] else np.zeros(len(s), np.int64)
+            live = score[at, best] > -np.inf if score.shape[1] else np.zeros(len(s), bool)
             if not live.all():
-                out.append((at[~live], s[~live], count[~live]))
-                at, s, begin, unit, new, score, count = (x[live] for x in (at, s, begin, unit, new, score, count))
-                if not len(at):
-                    break
-            j = score.argmax(1)
-            row, width = np.arange(len(at)), s.shape[1]
-            s[row, j] = new[row, j]
-            place = np.arange(width + 1)
-            after = place + (place > j[:, None])
-            s = np.take_along_axis(s, np.minimum(after[:, :width], width - 1), 1)[:, : width - 1]
-            begin = np.take_along_axis(begin, np.minimum(after, width), 1)[:, :width]
-            new = np.take_along_axis(new, np.minimum(after[:, : width - 1], width - 2), 1)[:, : width - 2]
-            score = np.take_along_axis(score, np.minimum(after[:, : width - 1], width - 2), 1)[:, : width - 2]
-            count = count - 1
-            for i in (j - 1, j):  # the new symbol's pairs
-                ok = np.flatnonzero((i >= 0) & (i < width - 2))
-                k = i[ok]
-                found = self._joined(s[ok, k], s[ok, k + 1])
-                drop = self._passed(unit[ok], begin[ok, k], begin[ok, k + 1], begin[ok, k + 2])
-                new[ok, k] = found = np.where(drop, -1, found)
-                score[ok, k] = np.where(found >= 0, self.score[found], -np.inf)
-        return out
-
-    def _offered(self, left: np.ndarray, right: np.ndarray, unit: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        new = self._joined(left, right)
-        drop = self._passed(unit[:, None], begin[:, :-2], begin[:, 1:-1], begin[:, 2:])
-        return np.where(drop, -1, new)
+                out, number = ~live[row], np.cumsum(~live) - 1
+                done.append((occ[out], number[row[out]], s[~live], count[~live]))
+                row = (np.cumsum(live) - 1)[row[~out]]
+                occ, keys = occ[~out], keys[~out]
+                s, begin, new, score, count, best = (x[live] for x in (s, begin, new, score, count, best))
+                at = at[: len(s)]
+                if not len(s):
+                    return
+            passed = self._passed(keys, _place(begin[at, best], begin[at, best + 1], begin[at, best + 2])[row])
+            stay, go = (np.bincount(row[x], minlength=len(s)) > 0 for x in (passed, ~passed))
+            row = np.where(passed, (np.cumsum(stay) - 1)[row], (stay.sum() + np.cumsum(go) - 1)[row])
+            j, i = best[go], np.flatnonzero(stay)
+            left = [x[i] for x in (s, begin, new, score, count)]
+            left[2][np.arange(len(i)), best[i]] = -1
+            left[3][np.arange(len(i)), best[i]] = -np.inf
+            merged = self._merged(*(x[go] for x in (s, begin, new, score, count)), j)
+            s, begin, new, score, count = (np.concatenate(x) for x in zip(left, merged, strict=True))
+            wide = int(count.max())
+            s, begin, new, score = s[:, :wide], begin[:, : wide + 1], new[:, : wide - 1], score[:, : wide - 1]
+
+    def _merged(self, s: np.ndarray, begin: np.ndarray, new: np.ndarray, score: np.ndarray, count: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
+        """States after the pair j of each has become one symbol."""
+        at, width = np.arange(len(s)), s.shape[1]
+        s[at, j] = new[at, j]
+        place = np.arange(width + 1)
+        after = place + (place > j[:, None])
+        s = np.take_along_axis(s, np.minimum(after[:, :width], width - 1), 1)
+        begin = np.take_along_axis(begin, np.minimum(after, width), 1)
+        pairs = np.minimum(after[:, : width - 1], width - 2)
+        new, score, count = np.take_along_axis(new, pairs, 1), np.take_along_axis(score, pairs, 1), count - 1
+        score[at, np.minimum(count - 1, width - 2)] = -np.inf
+        for i in (j - 1, j):  # the new symbol's pairs
+            ok = np.flatnonzero((i >= 0) & (i < count - 1))
+            k = i[ok]
+            found = self._joined(s[ok, k], s[ok, k + 1])
+            new[ok, k] = found
+            score[ok, k] = np.where(found >= 0, self.score[found], -np.inf)
+        return s, begin, new, score, count
 
     # -- texts ---------------------------------------------------------------------------------------------------------
 
     def encode(self, texts: list[str], docs: list[int | None]) -> list[np.ndarray]:
-        """Ids of each text. docs: numbers that vary the draws. An empty text has none."""
+        """Ids of each text. docs: numbers that go into the keys. An empty text has none."""
         out: list[np.ndarray] = []
-        for i, j in text_chunks(texts):
+        for i, j in text_chunks(texts, BLOCK):
             own = [_UNITS.findall(" " + t) if t else [] for t in texts[i:j]]
             counts = np.array([len(u) for u in own])
-            numbers = np.fromiter(map(self.units.__getitem__, chain.from_iterable(own)), np.int64, int(counts.sum()))
-            with np.errstate(over="ignore"):
-                doc = np.array([(d or 0) & 0xFFFFFFFFFFFFFFFF for d in docs[i:j]], np.uint64)
-                place = np.arange(len(numbers)) - np.repeat(np.cumsum(counts) - counts, counts)
-                draw = (mixed(np.repeat(mixed(doc + self.seed), counts) + place.astype(np.uint64) * _A) % np.uint64(self.draws)).astype(np.int64)
-            pair, back = np.unique(numbers * self.draws + draw, return_inverse=True)
-            at = np.array([self.known.get(x, -1) for x in pair.tolist()], np.int64)
-            new = np.flatnonzero(at < 0)
-            if len(new):
-                names = self.units.names
-                found = self.merge([names[x] for x in (pair[new] // self.draws).tolist()], pair[new] % self.draws)
-                at[new] = np.arange(len(self.known), len(self.known) + len(new))
-                self._add(*found, len(self.known))
-                self.known.update(zip(pair[new].tolist(), at[new].tolist(), strict=True))
-            at = at[back]
-            lengths = self.length[at]
-            ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
-            flat = self.pool[np.repeat(self.start[at] - ends[:-1], lengths) + np.arange(ends[-1])]
-            cut = ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+            flat_units = list(chain.from_iterable(own))
+            number = {u: k for k, u in enumerate(dict.fromkeys(flat_units))}
+            unit = np.fromiter(map(number.__getitem__, flat_units), np.int64, len(flat_units))
+            doc = np.array([(d or 0) & 0xFFFFFFFFFFFFFFFF for d in docs[i:j]], np.uint64)
+            place = np.arange(len(unit)) - np.repeat(np.cumsum(counts) - counts, counts)
+            flat, lengths = self.merge(list(number), unit, self.keys(np.repeat(doc, counts), place))
+            cut = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
             out += [flat[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-            if len(self.known) > self.most_units:
-                self.clear()
         return out
 
-    def _add(self, flat: np.ndarray, lengths: np.ndarray, at: int) -> None:
-        while self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while at + len(lengths) > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        self.start[at : at + len(lengths)] = self.used + np.cumsum(lengths) - lengths
-        self.length[at : at + len(lengths)] = lengths
-        self.pool[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-
     def decode(self, ids: np.ndarray) -> str:
         """The text that ids encode."""
         raw = b"".join(map(self.bytes.__getitem__, ids.tolist()))
@@ -263,21 +248,37 @@ def pieces(*args) -> Pieces:
     return _MODELS[args]
 
 
-def encoded(docs: DataFrame, model: str, dropout: float = DROPOUT, draws: int = DRAWS, seed: int = SEED) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32 (little-endian unsigned 32-bit), lossless (do they decode to the text), ids of every row. A null text is empty and has no pieces."""
+def encoded(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
+    """doc_id, n_pieces, ids_crc32 (little-endian unsigned 32-bit), lossless (do they decode to the text), ids of every row.
+
+    A null text is empty and has no pieces; a null doc_id counts as 0 in the keys; rows with one doc_id and text have the
+    same ids; texts of any length are whole; other columns are ignored; no rows give none.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pieces(model, dropout, draws, seed)
-        for batch in batches:
-            texts, docs_ = [t or "" for t in column(batch, "text")], column(batch, "doc_id")
-            ids = own.encode(texts, docs_)
+        own = pieces(model, dropout, seed)
+        ids_of, texts, size = [], [], 0
+
+        def block() -> pa.RecordBatch:
+            ids = own.encode(texts, ids_of)
             ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
             flat = np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(np.diff(ends), pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
-                pa.array([own.decode(x) == t for x, t in zip(ids, texts, strict=True)]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
+            return pa.RecordBatch.from_arrays([
+                pa.array(ids_of, pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
+                pa.array([own.decode(x) == t for x, t in zip(ids, texts, strict=True)], pa.bool_()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
             ], names=["doc_id", "n_pieces", "ids_crc32", "lossless", "ids"])
 
+        for batch in batches:
+            ids_of += column(batch, "doc_id")
+            new = [t or "" for t in column(batch, "text")]
+            texts += new
+            size += sum(map(len, new))
+            if size >= BLOCK:
+                yield block()
+                ids_of, texts, size = [], [], 0
+        if texts:
+            yield block()
+
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(encode, "doc_id long, n_pieces long, ids_crc32 long, lossless boolean, ids array<int>")
 
 
