@@ -105,6 +105,17 @@ def hashed_words(raw: bytes, spaces: np.ndarray = _SPACE, prefixes: tuple[int, .
 # -- components ----------------------------------------------------------------------------------------------------------
 
 
+def attached(rows: DataFrame, own: DataFrame, total: int) -> DataFrame:
+    """rows (u, v) with m of own (u, m, n), where n is u's number of rows and total that of all.
+
+    A u with a 256th of all rows would land in one task of a join, so such ones (256 at most) are broadcast.
+    """
+    hot = own.where(F.col("n") >= max(1000, total // 256)).select("u", F.col("m").alias("__m"))
+    marked = rows.join(F.broadcast(hot), "u", "left")
+    rest = marked.where("__m is null").drop("__m").join(own.select("u", "m"), "u")
+    return marked.where("__m is not null").select("u", "v", F.col("__m").alias("m")).union(rest.select("u", "v", "m"))
+
+
 def components(links: DataFrame, rounds: int = 64) -> DataFrame:
     """Connected components of links (a, b): rows (node, component), component the smallest node reachable.
 
@@ -116,10 +127,10 @@ def components(links: DataFrame, rounds: int = 64) -> DataFrame:
     seen = mark()  # stars are settled from the start
     for _ in range(rounds):
         both = links.union(links.select(F.col("b"), F.col("a"))).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = attached(both.where("v > u"), least, 2 * seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = attached(large, low, 2 * seen[0])
         links = (
             small.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
             .union(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct().checkpoint()

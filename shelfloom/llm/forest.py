@@ -67,14 +67,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float =
 
     Scores are inner products of original vectors in double precision; ties go to the smaller vec_id; a query (query_id,
     embedding) never finds the row of its own id. Unusable vectors (null, zero, or with null or non-finite components) and
-    rows without an id take no part, as rows or as queries. Fewer candidates than k give fewer rows. `share`: of the sum
+    rows without an id take no part, as rows or as queries; repeated rows count once; other columns are ignored; no rows give
+    none; vectors of several dimensions are an error. Fewer candidates than k give fewer rows. `share`: of the sum
     over trees of their ranges, in units of the shard's rows; more gives more recall.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(usable("embedding") & F.col("vec_id").isNotNull()).distinct()
     by = Window.partitionBy("embedding").orderBy("vec_id")
     own = saved(rows.withColumn("n", F.row_number().over(by)).where(F.col("n") <= k + 1).groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "vectors")
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(usable("embedding") & F.col("query_id").isNotNull()).distinct()
-    count, longest = own.agg(F.count("*"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))).first()
+    count, longest, *wide = own.agg(F.count("*"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)), F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    wide += asked.agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    if len({n for n in wide if n}) > 1:
+        raise ValueError(f"vectors of several dimensions: {sorted({n for n in wide if n})}")
     shards, blocks = max(1, -(-count // shard)), max(1, -(-asked.count() // block))
     longest = float(np.sqrt(longest or 0.0))
     a = own.withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

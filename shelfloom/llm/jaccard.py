@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, components, hashed_words, mixed, prepared, saved, table, text_chunks
+from .common import attached, column, components, hashed_words, mixed, prepared, saved, table, text_chunks
 
 WORDS, PERCENT = 5, 80
 #: Nodes, and elements, of a block of the product.
@@ -207,8 +207,9 @@ def clusters(docs: DataFrame, blocks: int, hot: np.ndarray, words: int, percent:
     """(node, cluster): nodes that share a first element, directly or through others; nodes without company are left out."""
     entries = dealt(docs, blocks, hot, words, percent).groupBy("block").applyInPandas(lambda rows: shared_entries(rows, blocks), "part int, entries binary, meta binary, direct binary")
     first = saved(entries.groupBy("part").applyInPandas(lambda rows: first_elements(rows, percent), "node long, col long"), "first")
-    least = first.groupBy("col").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("col", "least")
-    links = first.join(least, "col").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    entries = first.select(F.col("col").alias("u"), F.col("node").alias("v"))
+    least = entries.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).where("n > 1")
+    links = attached(entries, least, entries.count()).where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
     return components(links).withColumnRenamed("component", "cluster")
 
 
@@ -295,8 +296,9 @@ def product(docs: DataFrame, members: DataFrame, words: int, percent: int, block
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_entries: int = 1_500_000) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every row of docs (doc_id, text).
 
-    Null and empty texts have no shingles and link with nothing. Rows with one doc_id share a component. A row without a
-    doc_id keeps its count and has no component. Other columns are ignored; no rows give no rows.
+    Null and empty texts have no shingles and link with nothing. Rows are judged each by its own text: rows of one doc_id with
+    different texts can lie in different components. A row without a doc_id keeps its count and has no component. Texts of
+    any length are whole; other columns are ignored; no rows give no rows.
     """
     rows = saved(with_sets(docs, words), "sets")
     docs_sets = rows.where("column is null").select("doc_id", "node", "n_shingles")

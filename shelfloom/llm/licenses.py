@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from .common import prepared, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ’‘“”–—", "abcdefghijklmnopqrstuvwxyz''\"\"--"
-COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
+#: A line that begins with a copyright sign, or with the word and holds a year or a sign; not a line of terms about a copyright notice.
+COPYRIGHT = r"(^|\n)[ \t]*(\(c\)|©|copyright[ \t]+by |copyright[^\n]*([0-9]{4}|\(c\)|©))[^\n]*"
 #: Equivalent spellings: fixed values, applied in this order.
 SPELLINGS = (
     ("licence", "license"), ("sub-license", "sublicense"), ("sub license", "sublicense"), ("non-commercial", "noncommercial"), ("copyright holder", "copyright owner"),
@@ -118,6 +119,10 @@ KNOWN = (
 )
 
 
+#: Rows of known digests (some hundred bytes each) that may be broadcast.
+BROADCAST = 200_000
+
+
 def canonical_lines(text: Column) -> Column:
     """Canonical lines of a text, without empty ones; a null text has none."""
     t = F.translate(text, UPPER, LOWER)
@@ -141,15 +146,18 @@ def license_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """A row for each document and known licence that its whole text or one of its lines equals in canonical form.
 
     doc_id, license_id, whole (does the whole text equal it), n_lines (lines that do). Documents without a known licence,
-    and null or empty texts, give no row. Rows with the same doc_id count together. Only lines as long as a known notice are
-    hashed, and `known` is joined by digest.
+    and null or empty texts, give no row. Rows with the same doc_id (or none) count together, each repeated row once more; an
+    empty table gives no rows; texts of any length are whole; other columns are ignored. Only texts and lines no longer than
+    the longest known one are hashed. `known` is broadcast if it has at most BROADCAST rows, else joined by digest.
     """
-    span = known.agg(F.max("size").alias("m")).first()[0] or 0
+    span, rows = known.agg(F.max("size"), F.count("*")).first()
+    span = span or 0
     lines = docs.select("doc_id", canonical_lines(F.col("text")).alias("lines"))
     whole = F.struct(F.lit(True).alias("whole"), F.array_join("lines", " ").alias("t"))
     single = F.transform(F.filter("lines", lambda x: F.length(x) <= span), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("t")))
     units = lines.select("doc_id", F.explode(F.concat(F.array(whole), single)).alias("u")).select("doc_id", "u.whole", F.col("u.t").alias("t")).where(F.length("t") <= span)
-    hit = units.select("doc_id", "whole", F.sha2("t", 256).alias("digest")).join(F.broadcast(known.select("license_id", "digest")), "digest")
+    ids = known.select("license_id", "digest")
+    hit = units.select("doc_id", "whole", F.sha2("t", 256).alias("digest")).join(F.broadcast(ids) if rows <= BROADCAST else ids, "digest")
     return hit.groupBy("doc_id", "license_id").agg(F.max("whole").alias("whole"), F.sum((~F.col("whole")).cast("long")).alias("n_lines"))
 
 

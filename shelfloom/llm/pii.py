@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -121,15 +123,15 @@ FEATURES = 26
 Weights = tuple[np.ndarray, np.ndarray]
 
 
-def labelled() -> list[tuple[list[str], list[int]]]:
-    """The small labelled table: lines of tokens and their labels, from patterns with fixed pseudo-random fillings."""
-    rng = np.random.default_rng(11)
+def labelled(rng: np.random.Generator | None = None, lines: int = 480) -> list[tuple[list[str], list[int]]]:
+    """The small labelled table: lines of tokens and their labels, from patterns with fixed pseudo-random fillings; others for held-out lines."""
+    rng = rng or np.random.default_rng(11)
     draw = lambda chars, n: "".join(rng.choice(list(chars), n))
     hexa, digit, alnum = "0123456789abcdef", "0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
     word = lambda: draw("abcdefghijklmnoprstuéöñ", int(rng.integers(2, 11)))
     plain = lambda: [[word(), word().capitalize(), word() + ".", word() + ",", draw(digit, int(rng.integers(1, 6))), f"{word()}={word()}", f"{word()}-{word()}", draw(digit, 4) + "-" + draw(digit, 2) + "-" + draw(digit, 2), word().upper(), "=", "the", "key", "token", "number", "id:", f"{word()}{rng.integers(9)}", "1,000.50", f"v{rng.integers(9)}.{rng.integers(9)}"][i] for i in rng.integers(0, 18, int(rng.integers(0, 6)))]
     rows = []
-    for i in range(480):
+    for i in range(lines):
         kind = i % 12
         cue = ["password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "key"][int(rng.integers(8))]
         value = draw(hexa if i % 2 else alnum, int(rng.integers(16, 44)))
@@ -281,11 +283,11 @@ def spans_of(texts: list[str], weights: Weights) -> Iterator[tuple[list[tuple[in
         for text, raw, more in zip(texts[i:j], raws, field_spans(raws, weights), strict=True):
             base = base_spans(text)
             found = list(base)
-            for a, k, b in more:
-                if len(raw) != len(text):
-                    a, b = len(raw[:a].decode()), len(raw[:b].decode())
-                if not any(a < y and x < b for x, _, y in base):
-                    found.append((a, k, b))
+            if more and len(raw) != len(text):  # from bytes to code points
+                point = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)]).tolist()
+                more = [(point[a], k, point[b]) for a, k, b in more]
+            starts, reach = [x for x, _, _ in base], [0, *accumulate((y for _, _, y in base), max)]
+            found += [(a, k, b) for a, k, b in more if reach[bisect_left(starts, b)] <= a]  # none that a pattern's span meets
             yield base, sorted(found)
 
 
@@ -294,7 +296,11 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """doc_id, the numbers of pattern spans by kind, base_sha256 and spans, for every document; a null text is empty."""
+    """doc_id, the numbers of pattern spans by kind, base_sha256 and spans, of every row.
+
+    A null text is empty; spans of one start are listed by kind; equal rows have equal results; texts of any length are
+    whole; other columns are ignored; no rows give none.
+    """
     weights = field()
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,18 +11,21 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SIGNS, column, hashed_words, prepared, table, text_chunks
+from .common import SIGNS, column, hashed_words, prepared, saved, table, text_chunks
 
 #: A word's features are itself and its first bytes, numbered by so many bits of their hashes.
 PREFIXES, BITS = (4, 6), 20
 PER_WORD = 1 + len(PREFIXES)
 #: Bound of the labelled rows that the weights are fitted on, taken in the order of a hash of doc_id.
 MOST_ROWS = 8000
+#: Columns that scoring adds.
+ADDED = ("score", "predicted", "offending", "offending_score")
 _STOP = np.isin(np.arange(256), [ord(c) for c in ".!?\n"])
 
 
@@ -51,31 +54,25 @@ def softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
-def fitted(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: int = 1200, batch: int = 128, rate: float = 0.05, l2: float = 1e-4, seed: int = 7) -> Model:
-    """docs: features and sentence numbers of each. Only features that the toxic documents hold clearly more often get a weight."""
+def telling(counts: pd.DataFrame, pos: int, neg: int) -> np.ndarray:
+    """Features that toxic documents hold clearly more often. counts: feature, a (toxic documents that hold it), b (others)."""
+    a, b = counts["a"].to_numpy(), counts["b"].to_numpy()
+    share = (a + b) / (pos + neg)
+    z = (a / pos - b / neg) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / pos + 1 / neg))
+    return np.sort(counts["feature"].to_numpy()[(a >= max(3, 0.01 * pos)) & (z > 4.5) & (a / pos > 3 * b / neg)])
+
+
+def fitted(short: list[tuple[int, np.ndarray, np.ndarray]], labels: np.ndarray, used: np.ndarray, steps: int = 1200, batch: int = 128, rate: float = 0.05, l2: float = 1e-4, seed: int = 7) -> Model:
+    """short: of each document the number of its sentences, and of its words' features in `used` their places there and their sentences."""
     weights = np.zeros(1 << BITS, np.float32)
     bias = -5.0
     toxic = labels == 1
-    if not toxic.any() or toxic.all():
-        return Model(weights, bias)
-    a, b = (np.bincount(np.concatenate([np.unique(f) for (f, _), t in zip(docs, toxic, strict=True) if t == k]), minlength=1 << BITS) for k in (True, False))
-    pos, neg = toxic.sum(), (~toxic).sum()
-    share = (a + b) / len(docs)
-    z = (a / pos - b / neg) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / pos + 1 / neg))
-    used = np.flatnonzero((a >= max(3, 0.01 * pos)) & (z > 4.5) & (a / pos > 3 * b / neg))
-    number = np.full(1 << BITS, -1)
-    number[used] = np.arange(len(used))
-    short = []  # of each document: sentences, and the places and sentences of features with a weight
-    for f, s in docs:
-        n = number[f]
-        hit = n >= 0
-        short.append((int(s[-1]) + 1 if len(s) else 0, n[hit], np.broadcast_to(s, n.shape)[hit]))
     w, m, v = (np.zeros(len(used) + 1) for _ in range(3))  # the last is the bias
     w[-1] = bias
     rng, order = np.random.default_rng(seed), np.zeros(0, np.int64)
     for step in range(1, steps + 1):
         if len(order) < batch:
-            order = np.concatenate([order, rng.permutation(len(docs))])
+            order = np.concatenate([order, rng.permutation(len(short))])
         own, order = order[:batch], order[batch:]
         sizes = np.array([short[k][0] for k in own])
         shift = np.cumsum(sizes) - sizes
@@ -94,28 +91,53 @@ def fitted(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps:
 
 
 def learned(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model:
-    """The model of at most most_rows labelled documents; only their features reach the driver. labels: doc_id, label."""
-    rows = labels.where("doc_id is not null and label is not null").select(F.col("doc_id").cast("long"), F.col("label").cast("int"))
+    """The model of at most most_rows labelled documents. labels: doc_id, label.
+
+    Features are counted and chosen on Spark; the driver gets the chosen ones' places in the documents, and no text. Rows
+    without a doc_id or a label are left out; of several texts of one doc_id the least counts; without toxic or without
+    other documents no text is toxic.
+    """
+    rows = labels.where("doc_id is not null and label is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most_rows)
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id")  # broadcast: most_rows short rows
+    found = saved(found.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "labelled")
+    sizes = found.agg(F.count(F.when(F.col("label") == 1, 1)), F.count(F.when(F.col("label") != 1, 1))).first()
+    if not min(sizes):
+        return Model(np.zeros(1 << BITS, np.float32), -5.0)
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: tuple[list[np.ndarray], ...] = ([], [])
+            for t, y in zip(column(batch, "text"), column(batch, "label"), strict=True):
+                held[int(y == 1)].append(np.unique(sentences([t or ""])[0]))
+            both = [np.unique(np.concatenate([*h, np.zeros(0, np.int32)]), return_counts=True) for h in held]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([both[1][0], both[0][0]]).astype(np.int32)), *(pa.array(np.concatenate([both[1][1] * (k == 1), both[0][1] * (k == 0)]).astype(np.int64)) for k in (1, 0))], names=["feature", "a", "b"])
+
+    counts = found.select("label", "text").mapInArrow(count, "feature int, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a >= 3")
+    used = telling(counts.where(F.col("a") >= 0.01 * sizes[0]).where(F.col("a") * sizes[1] > 3 * F.col("b") * sizes[0]).toPandas(), *sizes)
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = np.full(1 << BITS, -1, np.int32)
+        number[used] = np.arange(len(used))
         for batch in batches:
             out = []
             for t in column(batch, "text"):
-                w, s, *_ = sentences([t or ""])
-                out.append((w.astype("<i4").tobytes(), s.astype("<i4").tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "label")] + [pa.array(c, pa.binary()) for c in zip(*out, strict=True)] if out else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.binary(), pa.binary())], names=["doc_id", "label", "w", "s"])
+                f, s, *_ = sentences([t or ""])
+                n = number[f]
+                hit = n >= 0
+                out.append((int(s[-1]) + 1 if len(s) else 0, n[hit].astype("<i4").tobytes(), np.broadcast_to(s, n.shape)[hit].astype("<i4").tobytes()))
+            size, w, s = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "label")] + [pa.array(size, pa.int32()), pa.array(w, pa.binary()), pa.array(s, pa.binary())], names=["doc_id", "label", "size", "w", "s"])
 
-    found = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(rows), "doc_id").select("doc_id", "label", "text")
-    got = found.mapInArrow(words, "doc_id long, label int, w binary, s binary").limit(most_rows).toPandas().sort_values(["doc_id", "label", "w"])
-    parts = [(np.frombuffer(w, "<i4").reshape(PER_WORD, -1), np.frombuffer(s, "<i4")) for w, s in zip(got.w, got.s, strict=True)]
-    return fitted(parts, got.label.to_numpy())
+    got = found.mapInArrow(shorten, "doc_id long, label int, size int, w binary, s binary").toPandas().sort_values(["doc_id", "label", "size", "w", "s"])
+    short = [(n, np.frombuffer(w, "<i4").astype(np.int64), np.frombuffer(s, "<i4")) for n, w, s in zip(got["size"], got.w, got.s, strict=True)]
+    return fitted(short, got.label.to_numpy(), used)
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """docs with score, predicted, offending (the worst sentence of a predicted document) and offending_score; columns of docs with these names go. Null and empty texts score 0."""
     weights, bias = model
-    docs = docs.drop("score", "predicted", "offending", "offending_score")
+    docs = docs.drop(*ADDED)
     names = docs.columns
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +159,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(names))] + more, names=[f.name for f in out])
 
     out = T.StructType(list(docs.schema))
-    for name, kind in (("score", T.DoubleType()), ("predicted", T.IntegerType()), ("offending", T.StringType()), ("offending_score", T.DoubleType())):
+    for name, kind in zip(ADDED, (T.DoubleType(), T.IntegerType(), T.StringType(), T.DoubleType()), strict=True):
         out = out.add(name, kind)
     return docs.mapInArrow(score, out)
 

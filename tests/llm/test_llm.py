@@ -162,6 +162,65 @@ def test_nearest(spark):
     assert forest.nearest(df.limit(0), df.limit(0).select(F.col("vec_id").alias("query_id"), "embedding")).count() == 0
 
 
+def test_nearest_reads_little_of_clustered_vectors(spark):
+    rng = np.random.default_rng(21)
+    centre = rng.standard_normal((200, 32))
+    x = np.repeat(centre, 20, axis=0) + 0.15 * rng.standard_normal((4000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    f = forest.Forest(x, 1.0)
+    hit = read = 0
+    for q, own in zip(range(0, 4000, 40), f.candidates(x[::40], int(0.3 * len(x))), strict=True):
+        best = np.lexsort((np.arange(4000), -(x @ x[q])))[1:21]
+        hit += np.isin(best, own).sum()
+        read += len(own)
+    assert hit / 2000 >= 0.9 and read / 100 / 4000 < 0.3
+    with pytest.raises(ValueError, match="several dimensions"):
+        rows = spark.createDataFrame([(1, [1.0, 2.0], 1, ""), (2, [1.0], 1, "")], VEC)
+        forest.nearest(rows, rows.select(F.col("vec_id").alias("query_id"), "embedding"))
+
+
+def test_queries_on_embeddings(spark):
+    sf = "/root/testdata/sf0.01"
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
+    good = {r.vec_id: np.array(r.embedding, float) for r in e.itertuples() if usable(r.embedding)}
+    ids, x = np.array(sorted(good)), np.stack([good[i] for i in sorted(good)])
+    got = registry.queries()["op3_nearest"](spark, sf).toPandas()
+    hit = total = 0
+    for q in [i for i in ids.tolist() if i % 20 == 0]:
+        own = got[got.query_id == q].sort_values("rank")
+        score = (x * good[q]).sum(1)
+        best = [i for i in ids[np.lexsort((ids, -score))].tolist() if i != q][:20]
+        assert np.allclose(own.score, [(good[v] * good[q]).sum() for v in own.vec_id], rtol=0, atol=1e-12)
+        hit, total = hit + len(set(best) & set(own.vec_id)), total + len(best)
+    assert hit >= 0.9 * total
+    links = registry.queries()["op4_embedding_dedup"](spark, sf).toPandas().set_index("vec_id")
+    label = dict(zip(e.vec_id, e.label, strict=True))
+    n = x / np.linalg.norm(x, axis=1, keepdims=True)
+    same = np.array([label[i] for i in ids.tolist()])
+    expected = ((n @ n.T >= 0.98) & (same[:, None] == same[None, :])).sum(1) - 1
+    assert len(links) == len(e) and links.n_links[ids].tolist() == expected.tolist()
+
+
+def test_hamming_tables_at_scale(spark):
+    # 20,000 vectors in two labels; a third of them one group of near copies, pairs just above the threshold elsewhere
+    rng = np.random.default_rng(22)
+    x = rng.standard_normal((20_000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:3000] = x[0] + 0.01 * rng.standard_normal((3000, 24))
+    for k in range(4000, 6000, 2):
+        side = rng.standard_normal(24)
+        side -= side @ x[k] * x[k]
+        x[k + 1] = 0.981 * x[k] + np.sqrt(1 - 0.981**2) * side / np.linalg.norm(side)
+    label = (np.arange(20_000) // 2) % 2
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(20_000), "embedding": x.tolist(), "label": label}), "vec_id long, embedding array<double>, label int")
+    got = hamming.linked_vectors(df, block=512).toPandas().set_index("vec_id").sort_index()
+    n = x / np.sqrt((x * x).sum(1))[:, None]
+    for own in (0, 1):
+        at = np.flatnonzero(label == own)
+        expected = np.concatenate([(n[at[i : i + 500]] @ n[at].T >= 0.98).sum(1) - 1 for i in range(0, len(at), 500)])
+        assert (got.n_links.to_numpy()[at] == expected).mean() > 0.999 and abs(got.n_links.to_numpy()[at].sum() - expected.sum()) <= 0.002 * expected.sum()
+
+
 def test_embedding_dedup(spark):
     rows = vectors(np.random.default_rng(5))
     got = hamming.linked_vectors(spark.createDataFrame(rows, VEC), block=32).toPandas().set_index("vec_id")
@@ -184,6 +243,11 @@ def test_embedding_dedup(spark):
     assert {i: got.n_links[i] for i in parent} == {i: links[i] for i in parent}
     assert {i: got.component_id[i] for i in parent} == {i: top(i) for i in parent}
     assert (got.kept == (got.index == got.component_id)).all()
+    twice = spark.createDataFrame([*rows, rows[0], rows[0], (None, rows[0][1], 1, "x"), (1, rows[3][1], 2, "other vector")], VEC)
+    again = hamming.linked_vectors(twice).toPandas()
+    assert len(again) == len(rows) + 4 and (again[again.vec_id == 0].n_links == links[0] + (2 if rows[0][2] is not None else 0)).all() and again.vec_id.isna().sum() == 1
+    with pytest.raises(ValueError, match="several dimensions"):
+        hamming.linked_vectors(spark.createDataFrame([(1, [1.0, 2.0], 1, ""), (2, [1.0], 1, "")], VEC))
     assert hamming.linked_vectors(spark.createDataFrame([], VEC)).count() == 0
 
 
@@ -318,45 +382,72 @@ def test_viterbi_and_skipping():
     assert wrong <= 0.01 * sum(len(y) for _, y in held)
 
 
-def test_pseudo_likelihood(spark, documents, odd):
-    got = pseudo.pseudo_likelihood(documents.union(documents.withColumn("doc_id", F.col("doc_id") + 1000))).toPandas()
-    words = [len((t or "").split()) for t in documents.toPandas().text]
-    assert sorted(got[got.doc_id < 1000].n_words) == sorted(words) and (got.score <= 0).all()
-    # shuffled words of the same documents score lower on the whole
-    rng = np.random.default_rng(1)
-    d = documents.toPandas()
-    mixed = spark.createDataFrame(pd.DataFrame({"doc_id": d.doc_id, "text": [" ".join(rng.permutation((t or "").split())) for t in d.text]}))
-    top, total = pseudo.vocabulary(documents)
-    h = top["hash"].to_numpy(np.int64).astype(np.uint64)
-    o = np.argsort(h)
-    known, number, n = h[o], (1 + pseudo.SHARED + np.arange(len(h)))[o], top["n"].to_numpy()[o]
-    bias = pseudo.shares(number, n, total)
-    weights = pseudo.fit(documents, known, number, bias, stride=1)
-    plain = pseudo.fresh() * 0
-    plain[-pseudo.CLASSES :] = bias
-    whole = lambda w, df: pseudo.scored(df, w, known, number).agg(F.sum("score")).first()[0]
-    assert whole(weights, documents) > whole(plain, documents)
-    assert whole(weights, documents) > whole(weights, mixed)
-    rows = pseudo.pseudo_likelihood(odd).toPandas()
-    assert len(rows) == odd.count() and rows[rows.doc_id == 100].score.tolist() == [0.0]
-    assert pseudo.pseudo_likelihood(odd.limit(0)).count() == 0
+def literal_scores(docs, weights, counts):
+    """Each text's sum of log P(group) P(class | group) P(word | class), word by word."""
+    e, b, og, cg, om, cm = pseudo.split(weights)
+    order = sorted(counts, key=lambda h: (-counts[h], int(np.array([h], np.uint64).astype(np.int64)[0])))
+    own = {h: 1 + pseudo.SHARED + k for k, h in enumerate(order[: pseudo.CLASSES - 1 - pseudo.SHARED])}
+    number = lambda h: own.get(h, 1 + h % pseudo.SHARED)
+    total, kinds = defaultdict(int), defaultdict(int)
+    for h, n in counts.items():
+        total[number(h)] += n
+        kinds[number(h)] += 1
+    log_softmax = lambda z, k: float(z[k] - np.log(np.exp(z.astype(float)).sum()))
+    out = []
+    for t in docs:
+        h = pseudo.words([t or ""])[0].tolist()
+        c, s = [number(x) for x in h], 0.0
+        for i, x in enumerate(h):
+            z = b.copy()
+            for n, k in enumerate([*range(-pseudo.WINDOW, 0), *range(1, pseudo.WINDOW + 1)]):
+                z = z + e[n][c[i + k] if 0 <= i + k < len(c) else 0]
+            z = np.tanh(z)
+            g, m = divmod(c[i], pseudo.MEMBERS)
+            s += log_softmax(z @ og + cg, g) + log_softmax(z @ om[g] + cm[g], m)
+            if x not in own:
+                s += np.log((counts[x] + 0.5) / (total[c[i]] + 0.5 * (kinds[c[i]] + 1)))
+        out.append(s)
+    return out
+
+
+def test_pseudo_likelihood_equals_the_literal_sum(spark, documents, monkeypatch):
+    monkeypatch.setattr(pseudo, "FREQUENT", 600)  # so that most words are joined, not sent
+    docs = documents.where("length(text) < 4000").limit(40)
+    counts = pseudo.counted(docs)
+    vocab = pseudo.vocabulary(counts)
+    rows = pseudo.classed(docs, vocab)
+    weights = pseudo.fit(rows, vocab.prior)
+    got = {r.doc_id: r for r in pseudo.scored(rows, weights, counts, vocab).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    held = defaultdict(int)
+    for t in texts.values():
+        for h in pseudo.words([t or ""])[0].tolist():
+            held[h] += 1
+    assert {r["hash"] & (2**64 - 1): r.n for r in counts.collect()} == dict(held)
+    for (d, t), s in zip(texts.items(), literal_scores(texts.values(), weights, held), strict=True):
+        assert got[d].n_words == len((t or "").split()) and abs(got[d].score - s) < 1e-3 * max(1, abs(s))
 
 
-def test_pseudo_likelihood_trains_at_every_place(spark, documents):
-    top, total = pseudo.vocabulary(documents)
-    h = top["hash"].to_numpy(np.int64).astype(np.uint64)
-    o = np.argsort(h)
-    known, number, n = h[o], (1 + pseudo.SHARED + np.arange(len(h)))[o], top["n"].to_numpy()[o]
-    bias = pseudo.shares(number, n, total)
-    weights = pseudo.fit(documents, known, number, bias)  # as the query does
-    assert np.allclose(weights, pseudo.fit(documents, known, number, bias, stride=1))
-    plain = pseudo.fresh() * 0
-    plain[-pseudo.CLASSES :] = bias
+def test_pseudo_likelihood(spark, documents, odd):
+    got = registry.queries()["op7_pseudo_likelihood"](spark, SF).toPandas()
+    assert sorted(got.n_words) == sorted(len(t.split()) if (t := r.text or "") else 0 for r in documents.collect()) and (got.score <= 0).all()
+    # training raises the whole score over the classes' shares, and words in a random order score lower
+    counts = pseudo.counted(documents)
+    vocab = pseudo.vocabulary(counts)
+    rows = pseudo.classed(documents, vocab)
+    weights = pseudo.fit(rows, vocab.prior)
     rng = np.random.default_rng(1)
     d = documents.toPandas()
     mixed = spark.createDataFrame(pd.DataFrame({"doc_id": d.doc_id, "text": [" ".join(rng.permutation((t or "").split())) for t in d.text]}))
-    whole = lambda w, df: pseudo.scored(df, w, known, number).agg(F.sum("score")).first()[0]
-    assert whole(weights, documents) > max(whole(plain, documents), whole(weights, mixed))
+    whole = lambda w, r: pseudo.scored(r, w, counts, vocab).agg(F.sum("score")).first()[0]
+    assert whole(weights, rows) > max(whole(pseudo.fresh(vocab.prior), rows), whole(weights, pseudo.classed(mixed, vocab)))
+    # a text of words that the corpus lacks scores lower than one of its words
+    other = pseudo.classed(spark.createDataFrame([(1, "zzqx vvkw qqqj xxzy"), (2, d.text.dropna().iloc[0][:40])], "doc_id long, text string"), vocab)
+    means = {r.doc_id: r.mean_score for r in pseudo.scored(other, weights, counts, vocab).collect()}
+    assert means[1] < means[2]
+    result = pseudo.pseudo_likelihood(odd).toPandas()
+    assert len(result) == odd.count() and result[result.doc_id == 100].score.tolist() == [0.0] and np.ptp(result[result.doc_id == 2].score) < 1e-4
+    assert pseudo.pseudo_likelihood(odd.limit(0)).count() == 0
 
 
 def test_pieces(spark, documents, odd):
@@ -364,22 +455,27 @@ def test_pieces(spark, documents, odd):
 
     path = P.path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    plain, texts = pieces.Pieces(path, 0.0, 1, 1), [t or "" for t in documents.toPandas().text[:60]] + [t for t in ODD if "▁" not in t]
+    plain, texts = pieces.Pieces(path, 0.0, 1), [t or "" for t in documents.toPandas().text[:60]] + [t for t in ODD if "▁" not in t]
     assert [x.tolist() for x in plain.encode(texts, list(range(len(texts))))] == [sp.encode(t) for t in texts]
-    rough = pieces.Pieces(path, 0.5, 3, 9, most_units=50)
+    rough = pieces.Pieces(path, 0.5, 9)
     ids = rough.encode(texts + ODD, [None] + list(range(len(texts) + len(ODD) - 1)))
     assert [rough.decode(x) for x in ids] == texts + ODD
-    units = ["▁".replace("▁", " ") + w for w in ("hello", "worthless", "naïve日", "aaaaaaaaaaaa", "x" * 60)]
-    draws = np.arange(len(units)) % 3
-    flat, lengths = rough.merge(units, draws)
-    single = [rough.agenda(u, k) for u, k in zip(units, rough._key(units, draws), strict=True)]
+    # many occurrences together give what the agenda gives for each, and they vary
+    units = ["▁".replace("▁", " ") + w for w in ("hello", "worthless", "naïve日", "aaaaaaaaaaaa", "x" * 60, "internationalisation")] * 40
+    keys = rough.keys(np.zeros(len(units), np.uint64), np.arange(len(units)))
+    names = list(dict.fromkeys(units))
+    flat, lengths = rough.merge(names, np.array([names.index(u) for u in units]), keys)
+    single = [rough.agenda(u, k) for u, k in zip(units, keys, strict=True)]
     assert flat.tolist() == sum(single, []) and lengths.tolist() == list(map(len, single))
-    again = pieces.Pieces(path, 0.5, 3, 9)
-    assert [x.tolist() for x in again.encode(texts, list(range(len(texts))))] == [x.tolist() for x in again.encode(texts, list(range(len(texts))))]
+    assert len({tuple(x) for x, u in zip(single, units, strict=True) if u == " internationalisation"}) > 20
+    again = pieces.Pieces(path, 0.5, 9)
+    assert [x.tolist() for x in again.encode(texts[:9], list(range(9)))] == [x.tolist() for x in rough.encode(texts, list(range(len(texts))))[:9]]
     rows = pieces.encoded(odd, path)
-    assert rows.where("not lossless").count() == 0 and rows.count() == odd.count()
+    assert rows.where("not lossless").count() == 0 and rows.count() == odd.count() and pieces.encoded(odd.limit(0), path).count() == 0
     back = {r.doc_id: r.text for r in pieces.decoded(rows, path).collect()}
     assert back[100] == "" and back[4] == ODD[4]
+    got = registry.queries()["op8_piece_dropout"](spark, SF).toPandas()
+    assert len(got) == documents.count() and got.lossless.all()
 
 
 def test_toxicity(spark, odd):
@@ -407,6 +503,18 @@ def test_toxicity_held_out(spark):
     assert (got.predicted == got.toxic).mean() > 0.96
 
 
+def test_toxicity_of_odd_labels(spark):
+    rows = [(i, "you scum. fine day" if i % 4 == 0 else f"fine day w{i}", 1.5) for i in range(400)] + [(0, "you scum too", 2.5), (None, "you scum", 3.5), (None, None, None)] + [(1, "word. " * 40_000, 0.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)] * 2 + [(None, 1), (3, None)], "doc_id long, label int")
+    model = toxicity.learned(docs, labels)
+    got = toxicity.scored(docs, model)
+    assert got.columns == ["doc_id", "text", "score", "predicted", "offending", "offending_score"] and got.count() == len(rows)
+    assert {bool(r.predicted) for r in got.collect() if r.text and "scum" in r.text} == {True} and not [r for r in got.collect() if r.predicted and "scum" not in r.text]
+    for few in (labels.where("label = 1"), labels.where("label = 0"), labels.limit(0)):
+        assert toxicity.scored(docs, toxicity.learned(docs, few)).where("predicted = 1").count() == 0
+
+
 def test_token_files(spark, documents, odd, tmp_path):
     path = P.path("word_bpe_49k.json")
     for n, df in enumerate((documents, odd)):
@@ -418,6 +526,12 @@ def test_token_files(spark, documents, odd, tmp_path):
         assert sorted(got.ids) == sorted(x.tobytes() for x in own)
         assert got.start.tolist() == [0, *got.n_tokens.cumsum().tolist()[:-1]]
         assert got.doc_id.dropna().is_monotonic_increasing
+    hot = spark.createDataFrame([(7 if i % 3 else None, f"text number {i} of one id") for i in range(900)] + [(i, "x") for i in range(20)], "doc_id long, text string")
+    manifest = tokenfile.write_token_files(hot, f"file://{tmp_path}/hot", path, "word", shard_chars=1000)
+    assert manifest.count() > 15 and manifest.agg(F.max("n_docs")).first()[0] < 200  # rows of one id, and without one, are split
+    got = tokenfile.read_token_files(spark, f"file://{tmp_path}/hot").toPandas().sort_values("start")
+    assert got.start.tolist() == [0, *got.n_tokens.cumsum().tolist()[:-1]] and got.doc_id.isna().tolist() == sorted(got.doc_id.isna(), reverse=True) and got.doc_id.dropna().is_monotonic_increasing
+    assert tokenfile.read_token_files(spark, f"file://{tmp_path}/hot", [7]).count() == 601
     some = tokenfile.read_token_files(spark, f"file://{tmp_path}/0", [3, 77]).toPandas().sort_values("doc_id")
     assert some.doc_id.tolist() == [3, 77]
     file = next((tmp_path / "0").glob("*.ztok"))
@@ -452,6 +566,74 @@ def test_pipeline(spark, documents):
     check_packing(pieces_, docs.toPandas())
 
 
+def test_near_copies_by_row(spark):
+    import corpus_pipeline as cp
+
+    a, b = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(1, a, "x", 0.777, 3), (1, a, "x", 0.777, 3), (3, b, "y", 0.5, 4), (3, a + " more", "y", 0.5, 4), (None, a, "z", None, 5), (None, b.replace("v3 ", "u3 "), "z", None, 5), (9, "", "e", 1.0, 0), (9, None, "e", 1.0, 0), (5, "alone in the world with its own words", "f", 0.1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, score double, component_id int")
+    kept = cp.drop_near_copies(spark, docs, SF)
+    key = lambda r: tuple(map(str, r))
+    assert kept.columns == docs.columns and sorted(map(key, kept.collect())) == sorted(map(key, [rows[0], rows[2], *rows[6:]]))
+    assert cp.drop_near_copies(spark, docs.limit(0), SF).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark, documents):
+    import corpus_pipeline as cp
+
+    docs = documents.withColumn("score", F.lit(0.777)).withColumn("offending", F.lit("mine")).withColumn("spans", F.col("doc_id"))
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and {tuple(r) for r in out.select("score", "offending").distinct().collect()} == {(0.777, "mine")}, name
+        assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_components_with_a_hub(spark):
+    links = spark.range(5000).select(F.when(F.col("id") % 2 == 0, F.lit(10**6)).otherwise(F.col("id") - 1).alias("a"), F.col("id").alias("b"))
+    got = common.components(links)
+    assert {r.component for r in got.select("component").distinct().collect()} == {0} and got.count() == 5001
+
+
+def literal_base(text):
+    """The base spans as the contract says, by the patterns as they stand."""
+    import hashlib
+    import re
+
+    out = []
+    for kind, p in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(p, text):
+            digits = [int(c) for c in m[0] if c in "0123456789"]
+            double = [d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(digits[::-1])]
+            if {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else 0, "card": 12 <= len(digits) <= 19 and sum(double) % 10 == 0, "phone": 9 <= len(digits) <= 15}[kind]:
+                out.append((m.start(), ("email", "ip", "card", "phone").index(kind), kind, m.end()))
+    out.sort()
+    return [sum(k == n for _, n, _, _ in out) for k in range(4)] + [hashlib.sha256(",".join(f"{k}:{a}:{z}" for a, _, k, z in out).encode()).hexdigest()], {f"{k}:{a}:{z}" for a, _, k, z in out}
+
+
+def test_pii_query_equals_the_patterns(spark, documents, odd):
+    for rows, df in ((registry.queries()["op6_pii"](spark, SF), documents), (pii.found(odd), odd)):
+        texts = sorted((str(r.doc_id), r.text or "") for r in df.select("doc_id", "text").collect())
+        got = sorted(((str(r[0]), *r[1:]) for r in rows.collect()), key=lambda r: (r[0], r[-2]))
+        by = defaultdict(list)
+        for d, t in texts:
+            by[d].append(literal_base(t))
+        assert len(got) == len(texts)
+        for r in got:
+            match = [x for x in by[r[0]] if x[0] == list(r[1:6])]
+            assert match and match[0][1] <= set(r[6].split(","))
+
+
+def test_field_on_lines_it_was_not_trained_on():
+    weights = pii.field()
+    rng = np.random.default_rng(99)
+    wrong = total = found = spans = 0
+    for toks, y in pii.labelled(rng, 600):
+        got = pii.tagged(" ".join(toks).encode(), weights)[2]
+        wrong, total = wrong + (got != np.array(y)).sum(), total + len(y)
+        spans, found = spans + any(y), found + (any(y) and bool((got[np.array(y) > 0] > 0).all()))
+    assert wrong <= 0.02 * total and found >= 0.95 * spans
+
+
 def test_pii_of_long_lines():
     long = "word " * 30_000 + "password=b7db7aa4a5fcc78305 " + "word " * 30_000
     texts = [long, "a\nb\npassword=aaaabbbbccccdddd1234 end", "plain"]
