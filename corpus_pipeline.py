@@ -13,17 +13,27 @@ from shelfloom.llm import common, jaccard, packing, pii, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, fitted on the labelled ones among docs, does not predict as toxic."""
+    """Documents that the toxicity model, fitted on the labelled ones among docs, does not predict as toxic; their columns stay, whatever their names."""
     common.prepared(spark)
     model = toxicity.learned(docs, toxicity.training_labels(spark, sf_dir))
-    return toxicity.scored(docs, model).where("predicted = 0").select(*docs.columns)
+    aside = {c: f"__own_{c}" for c in docs.columns if c in toxicity.ADDED}
+    kept = toxicity.scored(docs.withColumnsRenamed(aside), model).where("predicted = 0")
+    return kept.select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each component of the n-gram join; documents without an id stay."""
+    """One row of each component of the n-gram join: the one of smallest doc_id (rows without one last, then the first row).
+
+    Rows are judged each by its own text, so a doc_id on rows with different texts keeps one of each, and repeated rows leave
+    one. Rows without words stay.
+    """
     common.prepared(spark)
-    groups = jaccard.jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    rows = common.saved(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = common.saved(jaccard.jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("component_id").alias("u"), F.col("doc_id").alias("v")), "found")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
+    least = rows.select("doc_id", F.col("__row").alias("v"), "__row").join(found, "v").groupBy("u").agg(F.min(place).alias("k"), F.count("*").alias("n")).where("n > 1")
+    gone = common.attached(found, least.select("u", F.col("k.__row").alias("m"), "n"), found.count()).where("v <> m").select(F.col("v").alias("__row"))
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
