@@ -30,7 +30,7 @@ from .common import column, hashed_words, prepared, saved, table, text_chunks
 WINDOW, HIDDEN, GROUPS, MEMBERS, SHARED = 2, 16, 16, 32, 64
 CLASSES = GROUPS * MEMBERS
 ROUNDS, BATCH, RATE = 2, 2048, 4.8
-#: Words, at most, whose counts are sent to the tasks. Each of the others holds less than a 262,144th of all words, so a join by word is even.
+#: Words, at most, whose counts are sent to the tasks. Each of the others holds a small share of all words, so a join by word is even.
 FREQUENT = 1 << 18
 #: Added to the count of each word, and of one unseen word a class.
 SMOOTH = 0.5
@@ -196,7 +196,12 @@ def counted(docs: DataFrame) -> DataFrame:
 
 def vocabulary(counts: DataFrame) -> Words:
     """Classes and shares from the counts of all words."""
-    top = counts.orderBy(F.desc("n"), "hash").limit(FREQUENT).toPandas()
+    # a histogram of some hundred steps finds the least count of a frequent word, so no task sorts or sends more than those
+    step = F.floor(F.log2("n") * 16).cast("int")
+    steps = counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).toPandas()
+    steps = steps[steps["words"].cumsum() <= FREQUENT]
+    top = counts.where(step >= int(steps["step"].min())).toPandas() if len(steps) else counts.limit(0).toPandas()
+    top = top.sort_values(["n", "hash"], ascending=[False, True])
     by = counts.groupBy(F.pmod("hash", F.lit(SHARED)).cast("int").alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).toPandas()
     h, n = top["hash"].to_numpy(np.int64).astype(np.uint64), top["n"].to_numpy(np.int64)
     number = 1 + (h % np.uint64(SHARED)).astype(np.int64)
