@@ -121,7 +121,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, kind: str, end
             close()
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.int32(), pa.string(), *[pa.int64()] * 4), strict=True)], names=["shard", "file", "n_docs", "n_ids", "first_id", "last_id"])
 
-    own = frames.repartition(int(shards), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "h", "n_ids", "crc32")
+    own = frames.repartitionById(int(shards), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "h", "n_ids", "crc32")
     manifest = own.drop("h").mapInArrow(write, MANIFEST)
     manifest.write.parquet(f"{path}/manifest")
     return docs.sparkSession.read.schema(manifest.schema).parquet(f"{path}/manifest")
