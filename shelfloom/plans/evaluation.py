@@ -103,11 +103,3 @@ def r25_seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drawn by a seeded hash, without what was drawn lately."""
     lately = t(spark, sf_dir, "lineitem").where("l_quantity = 50").select(F.col("l_partkey").alias("p_partkey")).distinct()
     return t(spark, sf_dir, "part").select("p_partkey").join(lately, "p_partkey", "left_anti").orderBy(F.md5(F.concat(F.col("p_partkey").cast("string"), F.lit("-7"))), "p_partkey").limit(100)
-
-
-@query("""with w as (select p_partkey, list_distinct(string_split(lower(p_name), ' ')) as w from part) select a.p_partkey, len(list_intersect(a.w, b.w)) * 1.0 / len(a.w) > 0.6 as duplicate from w a join w b on b.p_partkey = a.p_partkey - 1""")
-def r26_duplicate_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Does the text before hold over 60 % of a text's words?"""
-    w = t(spark, sf_dir, "part").select("p_partkey", F.array_distinct(F.split(F.lower("p_name"), " ")).alias("w"))
-    before = w.select((F.col("p_partkey") + 1).alias("p_partkey"), F.col("w").alias("b"))
-    return w.join(before, "p_partkey").select("p_partkey", (F.size(F.array_intersect("w", "b")) / F.size("w") > 0.6).alias("duplicate"))

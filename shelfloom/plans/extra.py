@@ -132,24 +132,12 @@ def g09_ordered_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", F.transform("x", lambda v: v["role"]).alias("roles"), "turns")
 
 
-@query("select o_custkey % 20 as job, count(*) as chunks, cast(ceil(count(*) / 25.0) as bigint) as slices, cast(ceil(count(*) / 25.0) * 3 as bigint) as units from orders group by 1")
-def o08_chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slices of 25 for three site groups: units of work of each job."""
-    slices = F.ceil(F.count("*") / 25)
-    return t(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 20).alias("job")).agg(F.count("*").alias("chunks"), slices.alias("slices"), (slices * 3).alias("units"))
-
-
 @query("select c_custkey as key, c_custkey % 10 = 3 or c_acctbal < 0 as refresh from customer")
 def o11_refresh_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys to fetch again: stale ones and a fixed tenth of the rest, drawn by key instead of at random."""
     return t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), ((F.col("c_custkey") % 10 == 3) | (F.col("c_acctbal") < 0)).alias("refresh"))
 
 
-@query("select p_partkey, p_size > 25 and p_brand is not null as brand_ok, floor(abs(length(p_name) - 20) * 1.0 / 20 * 100 + 0.5) / 100 as off_median from part")
-def p07_format_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "part").select("p_partkey", ((F.col("p_size") > 25) & F.col("p_brand").isNotNull()).alias("brand_ok"), half_up(F.abs(F.length("p_name") - 20) / 20).alias("off_median"))
-
-
 @query("""with d as (select p_brand, p_size, count(*) as n, max(count(*)) over (partition by p_brand) as most from part group by 1, 2), w as (select p_brand, case when count(*) = 1 then min(p_size) end as size from d where n = most group by 1)
 select p.p_partkey, w.size as dominant from part p join w on p.p_brand = w.p_brand where w.size is not null and p.p_size <> w.size""")
 def p06_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,9 +153,9 @@ def g10_last_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("event_id", F.row_number().over(Window.orderBy(F.desc("ts"), F.desc("event_id"))).cast("long").alias("ts_rank"))
 
 
-@query("select o_orderkey, o_orderstatus from orders where o_orderstatus = 'O' and o_custkey % 2 = 0 order by o_orderdate desc, o_orderkey limit 500")
+@query("select o_orderkey, o_orderstatus from orders where o_orderstatus = 'O' and o_orderpriority <> '1-URGENT' order by o_orderdate desc, o_orderkey limit 500")
 def g13_order_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "orders").where("o_orderstatus = 'O' and o_custkey % 2 = 0").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(500).select("o_orderkey", "o_orderstatus")
+    return t(spark, sf_dir, "orders").where("o_orderstatus = 'O' and o_orderpriority <> '1-URGENT'").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(500).select("o_orderkey", "o_orderstatus")
 
 
 @query("select s_suppkey, case when acc >= 0.5 then 'high' when acc >= 0.2 then 'medium' when acc > 0 then 'low' else 'untested' end as tier, row_number() over (order by case when acc >= 0.5 then 0 when acc >= 0.2 then 1 when acc > 0 then 2 else 3 end, acc desc, s_suppkey) as place from (select s_suppkey, s_acctbal / 10000 as acc from supplier) order by place limit 40")
@@ -232,15 +232,6 @@ def n03_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("page_id", x.collapsed(F.regexp_replace("h", "<[^>]+>", " ")).alias("heading"))
 
 
-@query("""with o as (select user_id, event_id % 2 as arm, value from events), a as (select user_id, avg(value) filter (where arm = 0) as a, avg(value) filter (where arm = 1) as b from o group by 1) select count(*) filter (where a is not null and b is not null) as pairs, count(*) filter (where a is null or b is null) as unmatched, count(*) filter (where b > a) as better from a""")
-def d17_paired_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = t(spark, sf_dir, "events").groupBy("user_id", (F.col("event_id") % 2).alias("arm")).agg(F.avg("value").alias("v"))
-    a, b = o.where("arm = 0").select("user_id", F.col("v").alias("a")), o.where("arm = 1").select("user_id", F.col("v").alias("b"))
-    j = a.join(b, "user_id", "full_outer")
-    both = F.col("a").isNotNull() & F.col("b").isNotNull()
-    return j.agg(F.count_if(both).alias("pairs"), F.count_if(~both).alias("unmatched"), F.count_if(F.col("b") > F.col("a")).alias("better"))
-
-
 @query("""with r as (select p_brand, p_partkey, first_value(p_retailprice) over (partition by p_brand order by p_partkey) as lead_price, p_size from part) select p_partkey, case when p_size > 40 then lead_price else null end as inherited from r""")
 def d21_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of a cohort's first member, for members without one of their own."""

@@ -81,20 +81,6 @@ def c23_future_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "orders").where("o_orderstatus = 'O'").join(l, F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", "l_linenumber", F.date_format("l_shipdate", "yyyy-MM-dd").alias("arrival"))
 
 
-@query("""with w as (select p_brand, count(*) as n, count(*) filter (where p_size > 25) as wins from part group by 1) select p_brand, floor((wins + 0.0) / n * 1000 + 0.5) / 1000 as rate, case when n < 3 then 0.5 else floor((wins + 0.0) / n * 1000 + 0.5) / 1000 end as history, case when n < 3 then 0.0 when wins * 1.0 / n >= 0.55 then 1.0 when wins * 1.0 / n <= 0.45 then -1.0 else 0.0 end::double as bonus from w""")
-def m14_success_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Success rates as of a snapshot; groups seen less than three times stand at one half."""
-    w = t(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.count_if(F.col("p_size") > 25).alias("wins"))
-    rate = F.col("wins") / F.col("n")
-    return w.select("p_brand", half_up(rate, 3).alias("rate"), F.when(F.col("n") < 3, 0.5).otherwise(half_up(rate, 3)).alias("history"), F.when(F.col("n") < 3, 0.0).when(rate >= 0.55, 1.0).when(rate <= 0.45, -1.0).otherwise(0.0).alias("bonus"))
-
-
-@query("""select page_id, case when regexp_matches(url, '/(category|collections|search|c)(/|$)') then 'category' when regexp_matches(url, '/(product|products|p|item)/') then 'product' when regexp_matches(url, '^[a-z]+://[^/]+/?$') then 'root' else 'other' end as shape from pages""")
-def m10_url_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = F.col("url")
-    return t(spark, sf_dir, "pages").select("page_id", F.when(u.rlike("/(category|collections|search|c)(/|$)"), "category").when(u.rlike("/(product|products|p|item)/"), "product").when(u.rlike("^[a-z]+://[^/]+/?$"), "root").otherwise("other").alias("shape"))
-
-
 @query("""with q as (select o_custkey as job_id, o_orderkey as chunk_id, o_orderdate as created_at, o_orderstatus as s, o_orderkey % 4 as attempts from orders) select chunk_id from q where s = 'O' and attempts < 3 order by created_at, chunk_id limit 1""")
 def o06_job_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The oldest eligible job; the claim itself is the scheduler's work."""

@@ -57,7 +57,7 @@ def i28_sku_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with p as (select page_id, regexp_extract(url, '^([A-Za-z]+)://', 1) as s, regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1) as h, regexp_replace(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '/+$', '') as path,
-list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda q: q <> '' and not starts_with(lower(q), 'utm_') and lower(string_split(q, '=')[1]) not in ('gclid','fbclid','msclkid','ref','ref_','srsltid')) as q from pages)
+list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda q: q <> '' and not starts_with(lower(q), 'utm_') and lower(string_split(q, '=')[1]) not in ('fbclid','gclid','ref','srsltid')) as q from pages)
 select page_id, lower(s) || '://' || lower(h) || case when path = '' then '/' else path end || case when len(q) = 0 then '' else '?' || array_to_string(q, '&') end as url from p""")
 def i42_canonical_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "pages").select("page_id", x.canonical_url("url").alias("url"))

@@ -52,17 +52,6 @@ def xml_records(spark: SparkSession, path: str, tag: str, schema: str) -> DataFr
     return spark.read.schema(schema).format("xml").option("rowTag", tag).load(path)
 
 
-def workbook(spark: SparkSession, path: str) -> DataFrame:
-    """The first sheet as text columns. Needs openpyxl, which reads a workbook as one stream; workbooks are bounded by their format."""
-    try:
-        import openpyxl  # noqa: F401
-        import pandas as pd
-    except ImportError as e:
-        raise ImportError("reading a workbook needs openpyxl") from e
-    frame = pd.read_excel(path, dtype=str).fillna("")
-    return spark.createDataFrame(frame, ", ".join(f"`{c}` string" for c in frame.columns))
-
-
 def first_of(df: DataFrame, names: tuple[str, ...]) -> Column:
     """The first of the columns that are there and not empty."""
     there = [F.nullif(F.trim(F.col(n)), F.lit("")) for n in names if n in df.columns]

@@ -180,3 +180,28 @@ def test_pages(spark):
     assert got[0].confidence == 0.98
     assert [tuple(r) for r in pages.breadcrumbs(df).collect()] == [(1, ["Birds", "Seed"])]
     assert [r[0] for r in df.select(pages.meta(F.col("html"), "og:title")).collect()] == ["Seed Mix", None, None]
+
+
+def test_trees_of_any_depth(spark):
+    chain = spark.createDataFrame([(i, f"n{i}", i - 1 if i else None) for i in range(300)], "id int, name string, parent_id int")
+    got = {r.id: r for r in tree(chain).collect()}
+    assert len(got) == 300 and got[299].depth == 300 and got[299].path == list(range(300)) and [i for i, r in got.items() if r.is_leaf] == [299]
+    with pytest.raises(ValueError, match="cycle"):
+        tree(spark.createDataFrame([(1, "a", None), (2, "b", 3), (3, "c", 2)], "id int, name string, parent_id int"))
+    assert tree(chain.limit(0)).count() == 0 and {r.id for r in descendants(chain, 295).collect()} == set(range(295, 300))
+
+
+def test_paired_keys_have_to_be_equal(spark):
+    from shelfloom.plans.search import paired
+
+    a, b = spark.createDataFrame([(1, 2), (2, 3)], "k int, a int"), spark.createDataFrame([(1, 5), (2, 6)], "k int, b int")
+    assert paired(a, b, ["k"]).count() == 2
+    with pytest.raises(ValueError, match="1 keys are on one side only"):
+        paired(a, b.where("k = 1"), ["k"])
+    with pytest.raises(ValueError, match="1 are repeated"):
+        paired(a.union(a.where("k = 1")), b, ["k"])
+
+
+@pytest.mark.parametrize(("text", "name"), [("5.567lb bag", "5.57 lb. Bag"), ('rope 2.50 gallons in 4"', "Rope 2.5 gal. In 4 in."), ("tank 10 LITERS", "Tank 10 L"), ("mulch 2 cu ft", "Mulch 2 cf."), ("", "")])
+def test_units_in_names(spark, text, name):
+    assert one(spark, x.product_name, text) == name
