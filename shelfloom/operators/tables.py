@@ -48,9 +48,13 @@ def partial_persist(incoming: DataFrame, known: DataFrame, key: str) -> tuple[Da
 
 
 def canonical_ids(df: DataFrame, key: Column, id_col: str, *order: Column | str) -> DataFrame:
-    """id and canonical_id: the id that comes first among the rows of equal key."""
+    """id and canonical_id: the id that comes first, in ascending order, among the rows of equal key.
+
+    The first of each key is a partial aggregate, so a key with very many rows is not sorted in one task.
+    """
     own = df.withColumn("__key", key)
-    return own.select(id_col, F.first_value(id_col).over(Window.partitionBy("__key").orderBy(*order)).alias("canonical_id"))
+    first = own.groupBy("__key").agg(F.min_by(id_col, F.struct(*order)).alias("canonical_id")).withColumnRenamed("__key", "__first")
+    return own.join(first, F.col("__key").eqNullSafe(F.col("__first"))).select(id_col, "canonical_id")
 
 
 def repointed(df: DataFrame, ids: DataFrame, fk: str) -> DataFrame:
@@ -98,6 +102,21 @@ def balanced_slices(df: DataFrame, size: int, *order: Column | str) -> DataFrame
     return ranked.withColumn("slice_index", own.cast("long")).drop("__rank")
 
 
+def ranked_within(df: DataFrame, key: str, *order: Column | str) -> DataFrame:
+    """Rows with __rank from 0 within each key, in a total order, without a task that holds a whole key. Rows without the key are left out."""
+    ranked = ranked_globally(df.where(F.col(key).isNotNull()), key, *order)
+    first = ranked.groupBy(key).agg(F.min("__rank").alias("__least"))
+    return ranked.join(first, key).withColumn("__rank", F.col("__rank") - F.col("__least")).drop("__least")
+
+
+def medians(df: DataFrame, key: str, value: str) -> DataFrame:
+    """key, median: the mean of the middle two values of each key, nulls aside, by rank."""
+    ranked = ranked_within(df.where(F.col(value).isNotNull()).select(key, value), key, value)
+    own = ranked.join(ranked.groupBy(key).agg(F.count("*").alias("__n")), key)
+    middle = (F.col("__rank") == F.floor((F.col("__n") - 1) / 2)) | (F.col("__rank") == F.floor(F.col("__n") / 2))
+    return own.where(middle).groupBy(key).agg(F.avg(value).alias("median"))
+
+
 def ranked_globally(df: DataFrame, *order: Column | str) -> DataFrame:
     """Rows with __rank from 0 in a total order, by sorted ranges instead of one window over all rows.
 

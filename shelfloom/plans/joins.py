@@ -104,7 +104,7 @@ select p_partkey, canonical as p_brand from part join r using (p_brand)""")
 def b23_brand_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = t(spark, sf_dir, "part").select("p_partkey", "p_brand")
     used = p.groupBy("p_brand").count()
-    ids = op.canonical_ids(used, F.regexp_replace(F.lower("p_brand"), "[^a-z]", ""), "p_brand", F.desc("count"), "p_brand")
+    ids = op.canonical_ids(used, F.regexp_replace(F.lower("p_brand"), "[^a-z]", ""), "p_brand", -F.col("count"), "p_brand")
     return op.repointed(p, ids, "p_brand").select("p_partkey", "p_brand")
 
 
@@ -240,8 +240,8 @@ def f01_canonical_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select p_partkey, row_number() over (partition by p_brand order by case when p_size > 25 then 0 else 1 end, p_partkey) as dup_rank from part")
 def f02_duplicate_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("p_brand").orderBy(F.when(F.col("p_size") > 25, 0).otherwise(1), "p_partkey")
-    return t(spark, sf_dir, "part").select("p_partkey", F.row_number().over(w).cast("long").alias("dup_rank"))
+    p = t(spark, sf_dir, "part").select("p_partkey", "p_brand", F.when(F.col("p_size") > 25, 0).otherwise(1).alias("k"))
+    return op.ranked_within(p, "p_brand", "k", "p_partkey").select("p_partkey", (F.col("__rank") + 1).alias("dup_rank"))
 
 
 @query("select event_id, json_extract_string(props, '$.k') as key from events qualify row_number() over (partition by json_extract_string(props, '$.k') order by ts, event_id) = 1")
@@ -289,8 +289,8 @@ def f10_balanced_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select p_partkey, p_brand || '::' || cast((row_number() over (partition by p_brand order by p_partkey) + 9) // 10 as varchar) as chunk from part")
 def f11_fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
-    return t(spark, sf_dir, "part").select("p_partkey", F.concat("p_brand", F.lit("::"), F.ceil(r / 10).cast("string")).alias("chunk"))
+    r = op.ranked_within(t(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_brand", "p_partkey")
+    return r.select("p_partkey", F.concat("p_brand", F.lit("::"), F.floor(F.col("__rank") / 10 + 1).cast("string")).alias("chunk"))
 
 
 @query("""with x as (select user_id, value, row_number() over (partition by user_id order by ts desc, event_id desc) as r, lead(value) over (partition by user_id order by ts desc, event_id desc) as before from events)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.tables import ranked_globally
+from ..operators.tables import medians, ranked_globally
 from .registry import half_up, money, query, t
 
 DONE = ("F", "O")
@@ -229,7 +229,7 @@ def e33_dominant_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select p_brand, median(p_retailprice) as median_price from part group by 1")
 def e34_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "part").groupBy("p_brand").agg(F.median("p_retailprice").alias("median_price"))
+    return medians(t(spark, sf_dir, "part"), "p_brand", "p_retailprice").withColumnRenamed("median", "median_price")
 
 
 @query("select event_type, count(*) as count, floor(count(*) * 1000.0 / (select count(*) from events) + 0.5) / 10 as percent, count(*) * 10 > (select count(*) from events) as critical from events group by 1")
@@ -287,7 +287,7 @@ def e48_floor_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select p_brand, floor(avg(p_retailprice) * 10000 + 0.5) / 10000 as mean, min(p_retailprice) as least, max(p_retailprice) as most, median(p_retailprice) as median, floor(stddev_samp(p_retailprice) * 10000 + 0.5) / 10000 as stdev from part group by 1")
 def e50_benchmark_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("p_retailprice")
-    return t(spark, sf_dir, "part").groupBy("p_brand").agg(half_up(F.avg(p), 4).alias("mean"), F.min(p).alias("least"), F.max(p).alias("most"), F.median(p).alias("median"), half_up(F.stddev_samp(p), 4).alias("stdev"))
+    return t(spark, sf_dir, "part").groupBy("p_brand").agg(half_up(F.avg(p), 4).alias("mean"), F.min(p).alias("least"), F.max(p).alias("most"), half_up(F.stddev_samp(p), 4).alias("stdev")).join(medians(t(spark, sf_dir, "part"), "p_brand", "p_retailprice"), "p_brand")
 
 
 @query("""select b as bucket, coalesce(n, 0)::bigint as count from (values ('0-20'),('20-40'),('40-60'),('60-80'),('80-100')) v(b) left join (
