@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import evaluation, events, extra, feeds, joins, more, registry, rules, sales, search, text  # noqa: F401  register their queries
+from .plans import evaluation, events, extra, feeds, joins, more, registry, rules, sales, search, stores, text  # noqa: F401  register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
