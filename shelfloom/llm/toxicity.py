@@ -103,7 +103,7 @@ def learned(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> M
     found = saved(found.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "labelled")
     sizes = found.agg(F.count(F.when(F.col("label") == 1, 1)), F.count(F.when(F.col("label") != 1, 1))).first()
     if not min(sizes):
-        return Model(np.zeros(1 << BITS, np.float32), -5.0)
+        return Model(np.zeros(1 << BITS, np.float32), -np.inf)  # every score is 0
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
