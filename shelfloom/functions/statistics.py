@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.tables import ranked_within
+
 Z95 = 1.959963984540054
 
 
@@ -50,7 +51,7 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
         return 1 - incomplete_beta(b, a, 1 - x)
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
     f, c, d = 1.0, 1.0, 0.0
-    for i in range(400):
+    for i in range(400 + 20 * math.isqrt(int(a + b))):
         m = i // 2
         step = 1.0 if i == 0 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         d = 1 / (1 + step * d if abs(1 + step * d) > 1e-300 else 1e-300)
@@ -80,14 +81,25 @@ def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or pd.isna(b) else t_two_sided(float(a), float(b)) for a, b in zip(t, df, strict=True)], dtype="float64")
 
 
+def sign_two_sided(wins: int, losses: int) -> float:
+    """Two-sided sign test: twice the smaller tail of a fair coin, by exact integers up to 1,000 trials, beyond them as an incomplete beta function, whose work hardly grows with the trials."""
+    n, k = wins + losses, min(wins, losses)
+    if n <= 1000:
+        return min(1.0, 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n) if n else 1.0
+    return min(1.0, 2 * incomplete_beta(n - k, k + 1, 0.5))
+
+
 @F.pandas_udf(T.DoubleType())
 def sign_p_value(wins: pd.Series, losses: pd.Series) -> pd.Series:
-    """Two-sided sign test by exact integers; 1 without a decision."""
-    def one(w: int, l: int) -> float:
-        n = w + l
-        return min(1.0, 2 * sum(math.comb(n, k) for k in range(min(w, l) + 1)) / 2**n) if n else 1.0
+    """Two-sided sign test; 1 without a decision."""
+    return pd.Series([sign_two_sided(int(a), int(b)) for a, b in zip(wins, losses, strict=True)], dtype="float64")
 
-    return pd.Series([one(int(a), int(b)) for a, b in zip(wins, losses, strict=True)], dtype="float64")
+
+@F.pandas_udf(T.DoubleType())
+def t_margin(df: pd.Series) -> pd.Series:
+    """How many standard errors a 95 % interval of a mean reaches to each side; null without a degree of freedom."""
+    known = {v: t_quantile(0.95, float(v)) for v in df.dropna().unique() if v > 0}
+    return pd.Series([known.get(v) for v in df], dtype="float64")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -102,14 +114,15 @@ def paired_t(pairs: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
     return s.select(*keys, "n", "mean_diff", F.when(F.col("sd") > 0, F.col("mean_diff") / (F.col("sd") / F.sqrt("n"))).alias("t"), F.when(F.col("sd") > 0, F.col("mean_diff") / F.col("sd")).alias("d"))
 
 
-def signed_rank(differences: np.ndarray) -> tuple[float, float]:
-    """Wilcoxon's W (the smaller rank sum) and its two-sided normal p-value; zeros are left out, ties share ranks."""
-    x = differences[differences != 0]
-    n = len(x)
-    if not n:
-        return 0.0, 1.0
-    value, back, count = np.unique(np.abs(x), return_inverse=True, return_counts=True)
-    rank = (np.cumsum(count) - (count - 1) / 2)[back]
-    w = float(min(rank[x > 0].sum(), rank[x < 0].sum()))
-    var = n * (n + 1) * (2 * n + 1) / 24 - float((count**3 - count).sum()) / 48
-    return w, math.erfc(abs((w - n * (n + 1) / 4) / math.sqrt(var)) / math.sqrt(2)) if var > 0 else 1.0
+def signed_rank(pairs: DataFrame, difference: str, key: str) -> DataFrame:
+    """key, n, w, z of Wilcoxon's test for each key: zeros are left out, ties share ranks, w is the smaller sum of ranks, z its normal score (null without variance).
+
+    Ranks come from sorted ranges, so no task holds a whole key; ties are counted before ranks are summed.
+    """
+    d = pairs.where(F.col(difference) != 0).select(key, F.abs(difference).alias("size"), (F.col(difference) > 0).cast("long").alias("up"))
+    # the mean rank of a tie does not depend on the order within it, so any number splits a tie of many rows
+    ties = ranked_within(d.withColumn("any", F.monotonically_increasing_id()), key, "size", "any").groupBy(key, "size").agg((F.avg("__rank") + 1).alias("rank"), F.sum("up").alias("up"), F.count("*").alias("c"))
+    sums = ties.groupBy(key).agg(F.sum("c").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("above"), F.sum(F.col("rank") * (F.col("c") - F.col("up"))).alias("below"), F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("tied"))
+    n, w = F.col("n"), F.least("above", "below")
+    var = n * (n + 1) * (2 * n + 1) / 24 - F.col("tied") / 48
+    return sums.select(key, "n", w.alias("w"), F.when(var > 0, (w - n * (n + 1) / 4) / F.sqrt(var)).alias("z"))

@@ -81,10 +81,10 @@ def c23_future_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "orders").where("o_orderstatus = 'O'").join(l, F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", "l_linenumber", F.date_format("l_shipdate", "yyyy-MM-dd").alias("arrival"))
 
 
-@query("""with q as (select o_custkey as job_id, o_orderkey as chunk_id, o_orderdate as created_at, o_orderstatus as s, o_orderkey % 4 as attempts from orders) select chunk_id from q where s = 'O' and attempts < 3 order by created_at, chunk_id limit 1""")
+@query("""with q as (select o_custkey as job_id, o_orderkey as chunk_id, o_orderdate as created_at, o_orderstatus as s, o_orderpriority as p from orders) select chunk_id from q where s = 'O' and p <> '5-LOW' order by created_at, chunk_id limit 1""")
 def o06_job_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The oldest eligible job; the claim itself is the scheduler's work."""
-    return t(spark, sf_dir, "orders").where("o_orderstatus = 'O' and o_orderkey % 4 < 3").orderBy("o_orderdate", "o_orderkey").limit(1).select(F.col("o_orderkey").alias("chunk_id"))
+    return t(spark, sf_dir, "orders").where("o_orderstatus = 'O' and o_orderpriority <> '5-LOW'").orderBy("o_orderdate", "o_orderkey").limit(1).select(F.col("o_orderkey").alias("chunk_id"))
 
 
 @query("""select user_id % 13 as site, floor((0.7 * count(*) filter (where event_type <> 'error') / count(*) + 0.3 * least(1, count(*) / 50.0)) * 10000 + 0.5) / 10000 as health from events group by 1""")

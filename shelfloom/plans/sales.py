@@ -178,10 +178,10 @@ def e24_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select r as rating, coalesce(n, 0)::bigint as count, floor(coalesce(n, 0) * 1000.0 / (select count(*) from part) + 0.5) / 10 as percent from (select unnest([5,4,3,2,1]) as r)
-left join (select p_size % 5 + 1 as k, count(*) n from part where p_size % 11 <> 0 group by 1) on r = k""")
+left join (select p_size % 5 + 1 as k, count(*) n from part where p_retailprice >= 910 group by 1) on r = k""")
 def e25_rating_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = t(spark, sf_dir, "part")
-    counts = p.where("p_size % 11 <> 0").groupBy((F.col("p_size") % 5 + 1).alias("rating")).count()
+    counts = p.where("p_retailprice >= 910").groupBy((F.col("p_size") % 5 + 1).alias("rating")).count()
     every, total = spark.range(1).select(F.explode(F.sequence(F.lit(5), F.lit(1), F.lit(-1))).alias("rating")), p.agg(F.count("*").alias("total"))
     return every.join(counts, "rating", "left").join(total).select("rating", F.coalesce("count", F.lit(0)).alias("count"), half_up(F.coalesce("count", F.lit(0)) * 100 / F.col("total"), 1).alias("percent"))
 

@@ -29,10 +29,10 @@ def a20_key_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.upsert(last(e.where(F.col("at.ts") < middle)), last(e.where(F.col("at.ts") >= middle)), ["key"]).select("key", "value")
 
 
-@query("select event_id as request, row_number() over (order by case when event_type = 'click' then 1 else 0 end, ts, event_id) as place from events where event_type <> 'error' and user_id < 20")
+@query("select event_id as request, row_number() over (order by case when event_type = 'click' then 1 else 0 end, ts, event_id) as place from events where event_type <> 'error'")
 def a21_request_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A queue as of a moment: handled requests are gone, reclaimed ones stand at the tail, the rest in the order of arrival."""
-    q = t(spark, sf_dir, "events").where("event_type <> 'error' and user_id < 20").select("event_id", "ts", F.when(F.col("event_type") == "click", 1).otherwise(0).alias("reclaimed"))
+    q = t(spark, sf_dir, "events").where("event_type <> 'error'").select("event_id", "ts", F.when(F.col("event_type") == "click", 1).otherwise(0).alias("reclaimed"))
     return op.ranked_globally(q, "reclaimed", "ts", "event_id").select(F.col("event_id").alias("request"), (F.col("__rank") + 1).alias("place"))
 
 

@@ -27,13 +27,14 @@ def allowed(old, new):
     return (old == new) | F.concat(old, F.lit(">"), new).isin(*pairs)
 
 
-def bulk_transition(rows: DataFrame, moves: DataFrame, key: str) -> DataFrame:
-    """rows with the statuses of moves (key, to_status) if all are allowed; else an error. rows: key, status."""
+def bulk_transition(rows: DataFrame, moves: DataFrame, key: str, reset: tuple[str, ...] = ()) -> DataFrame:
+    """rows with the statuses of moves (key, to_status) if all are allowed; else an error. rows: key, status. Columns of `reset` are emptied where a status moves."""
     both = rows.join(moves, key, "left")
     bad = both.where(F.col("to_status").isNotNull() & ~allowed(F.col("status"), F.col("to_status"))).count()
     if bad:
         raise ValueError(f"{bad} transitions are not allowed; nothing changes")
-    return both.withColumn("status", F.coalesce("to_status", "status")).drop("to_status")
+    kept = {c: F.when(F.col("to_status").isNull(), F.col(c)) for c in reset}
+    return both.withColumns(kept | {"status": F.coalesce("to_status", "status")}).drop("to_status")
 
 
 def recent(events: DataFrame, job: str, n: int) -> DataFrame:

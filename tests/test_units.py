@@ -82,8 +82,45 @@ def test_statistics(spark):
     assert st.t_quantile(0.95, 9) == pytest.approx(2.2621572, abs=1e-6)
     row = spark.createDataFrame([(8, 2)], "w int, l int").select(st.sign_p_value("w", "l")).first()
     assert row[0] == pytest.approx(0.109375)
-    w, p = st.signed_rank(np.array([1.0, 2.0, -3.0, 0.0, 4.0]))
-    assert w == 3.0 and 0 < p < 1
+    import math
+
+    for w, l in ((0, 0), (5, 5), (1, 9), (300, 240)):
+        exact = min(1.0, 2 * sum(math.comb(w + l, k) for k in range(min(w, l) + 1)) / 2 ** (w + l)) if w + l else 1.0
+        assert st.sign_two_sided(w, l) == pytest.approx(exact, rel=1e-9)
+        if w + l:
+            assert min(1.0, 2 * st.incomplete_beta(max(w, l), min(w, l) + 1, 0.5)) == pytest.approx(exact, rel=1e-9)
+    assert 0 < st.sign_two_sided(500_600, 499_400) < 1
+    pairs = spark.createDataFrame([("a", v) for v in (1.0, 2.0, -3.0, 0.0, 4.0)] + [("b", v) for v in (1.0, -1.0, 1.0, 2.0)] + [("c", 0.0)], "k string, d double")
+    got = {r.k: (r.n, r.w, r.z) for r in st.signed_rank(pairs, "d", "k").collect()}
+    assert got["a"][:2] == (4, 3.0) and got["a"][2] == pytest.approx((3 - 5) / math.sqrt(7.5))
+    assert got["b"][:2] == (4, 2.0) and got["b"][2] == pytest.approx((2 - 5) / math.sqrt(7.5 - 24 / 48))
+    assert "c" not in got
+
+
+def test_t_interval(spark):
+    """Ten differences of mean 1: 2.262157 standard errors to each side; none with one row."""
+    df = spark.createDataFrame([(9.0,), (29.0,), (0.0,), (None,)], "df double")
+    margins = [r[0] for r in df.select(st.t_margin("df")).collect()]
+    assert margins[:2] == [pytest.approx(2.2621572, abs=1e-6), pytest.approx(2.0452296, abs=1e-6)] and margins[2:] == [None, None]
+
+
+def test_payloads(spark):
+    from shelfloom.functions import payload as pl
+
+    rows = ['{"a":{"ERROR":1,"b":[{"message":2,"c":"ü"}]}}', "not json", None, '"x"', '{"Hero":{"x":{"y":{"z":{"u":{"v":{"deep":"/i.png"}}}}}},"p":" /k.png "}']
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "i int, v string").orderBy("i")
+    assert [r[0] for r in df.select(pl.without_keys(F.col("v"))).collect()][:4] == ['{"a":{"b":[{"c":"ü"}]}}', None, None, '"x"']
+    assert [r[0] for r in df.select(pl.image_candidates(F.col("v"))).collect()] == [[], [], [], [], ["/k.png"]]
+    many = spark.createDataFrame([("[" + ",".join(f'"/{i}.png"' for i in range(30)) + "]",)], "v string")
+    assert many.select(F.size(pl.image_candidates(F.col("v")))).first()[0] == 24
+
+
+def test_bulk_transition_resets(spark):
+    rows = spark.createDataFrame([("a", "scraped", 1), ("b", "scraped", 2)], "sku string, status string, result int")
+    moves = spark.createDataFrame([("a", "imported")], "sku string, to_status string")
+    assert sorted(map(tuple, ev.bulk_transition(rows, moves, "sku", ("result",)).select("sku", "status", "result").collect())) == [("a", "imported", None), ("b", "scraped", 2)]
+    with pytest.raises(ValueError, match="nothing changes"):
+        ev.bulk_transition(rows, spark.createDataFrame([("a", "imported"), ("b", "exporting")], "sku string, to_status string"), "sku", ("result",))
 
 
 def plain_breaker(rows, threshold, cool):
