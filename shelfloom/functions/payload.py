@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Keys that only tell how a value was come by: fixed values.
-DIAGNOSTIC_KEYS = ("error", "errors", "message", "cost_usd", "llm_cost", "total_cost", "scraped_at", "_scraped_at")
+DIAGNOSTIC_KEYS = ("error", "errors", "message", "cost_usd", "total_cost", "scraped_at", "_scraped_at")
 #: Keys of payloads that hold no data of the product: fixed values.
 STAMPS = ("scraped_at", "_scraped_at")
 _IMAGE_KEY = re.compile("image|img|photo|picture|thumbnail|gallery|hero", re.IGNORECASE)

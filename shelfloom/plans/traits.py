@@ -166,7 +166,7 @@ def i44_image_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select p_partkey, '{"title":"' || p_name || '","sources":[{"brand":"' || p_brand || '"},{"size":{"n":' || p_size || '}}]}' as payload from part""")
 def l05_without_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads without the keys that only tell how they were come by, at any depth."""
-    raw = F.concat(F.lit('{"title":"'), "p_name", F.lit('","Error":null,"sources":[{"brand":"'), "p_brand", F.lit('","LLM_cost":0.1},{"scraped_at":"x","size":{"n":'), F.col("p_size").cast("string"), F.lit(',"message":"m"}}]}'))
+    raw = F.concat(F.lit('{"title":"'), "p_name", F.lit('","Error":null,"sources":[{"brand":"'), "p_brand", F.lit('","Cost_USD":0.1},{"scraped_at":"x","size":{"n":'), F.col("p_size").cast("string"), F.lit(',"message":"m"}}]}'))
     return t(spark, sf_dir, "part").select("p_partkey", pl.without_keys(raw).alias("payload"))
 
 
