@@ -303,9 +303,11 @@ def f12_consecutive_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("user_id").agg(down.alias("drops"), ((F.count("*") == 4) & (down == 4)).alias("alert"))
 
 
-@query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 20 offset 40")
+@query("select o_orderkey, o_totalprice, (select count(*) from orders) as total from orders order by o_totalprice desc, o_orderkey limit 20 offset 40")
 def g01_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(40).limit(20)
+    """One page of an ordered table, with the number of all its rows."""
+    o = t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return o.orderBy(F.desc("o_totalprice"), "o_orderkey").offset(40).limit(20).crossJoin(o.agg(F.count("*").alias("total")))  # one row
 
 
 @query("""select * from (select * from (select 'order' as type, o_orderkey as id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as moment from orders order by o_orderdate desc, o_orderkey limit 10) union all select * from (select 'event', event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') from events order by ts desc, event_id limit 10)) order by moment desc, type, id limit 10""")

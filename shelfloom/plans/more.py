@@ -41,23 +41,29 @@ def m03_variant_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "part").select("p_partkey", F.element_at(x.variant_tokens(name), 1).alias("variant"))
 
 
-@query("select p_partkey, (p_size // 10) <> ((p_size + 3) // 10) as conflict from part")
+@query("select p_partkey, (p_size // 10) = ((p_size + 3) // 10) as overlap, (p_size // 10) <> ((p_size + 3) // 10) or p_size > 25 as conflict from part")
 def m04_variant_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = lambda n: x.variant_tokens(F.concat(F.floor(n / 10).cast("string"), F.lit(" lbs")))
-    return t(spark, sf_dir, "part").select("p_partkey", (~F.arrays_overlap(size(F.col("p_size")), size(F.col("p_size") + 3))).alias("conflict"))
+    n = F.col("p_size")
+    a = x.variant_tokens(F.concat(F.floor(n / 10).cast("string"), F.lit(" lbs, 3 pack")))
+    b = x.variant_tokens(F.concat(F.floor((n + 3) / 10).cast("string"), F.lit(" pounds, 2x4"), F.when(n > 25, " 4 count").otherwise("")))
+    own = t(spark, sf_dir, "part").select("p_partkey", a.alias("a"), b.alias("b"))
+    return own.select("p_partkey", F.arrays_overlap("a", "b").alias("overlap"), x.variants_conflict(F.col("a"), F.col("b")).alias("conflict"))
 
 
-@query("select p_partkey, contains(regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g'), regexp_replace(lower(string_split(p_name, ' ')[1]), '[^a-z0-9]', '', 'g')) as matched from part")
+@query("select p_partkey, p_size > 10 or p_type = 'PROMO' as matched from part")
 def m05_brand_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = x.token_text("p_name"), x.token_text(F.element_at(F.split("p_name", " "), 1))
-    return t(spark, sf_dir, "part").select("p_partkey", (F.contains(a, b) | F.contains(b, a)).alias("matched"))
+    """A brand is matched by a candidate's brand that holds it or is held by it, or by the address's host."""
+    found = F.when(F.col("p_size") > 10, F.concat(F.upper("p_brand"), F.lit("® Inc"))).otherwise("")
+    host = F.when(F.col("p_type") == "PROMO", F.concat(F.lit("www."), x.token_text("p_brand"), F.lit("-shop.com"))).otherwise("www.shop.com")
+    return t(spark, sf_dir, "part").select("p_partkey", x.brand_matches(F.col("p_brand"), found, host).alias("matched"))
 
 
-@query("""with d as (select lang as cohort, regexp_extract(source, '[a-z]+', 0) || cast(doc_id % 3 as varchar) as domain, count(*) as n from documents group by 1, 2)
-select cohort, domain, n from d qualify row_number() over (partition by cohort order by n desc, domain) = 1""")
+@query("""with d as (select user_id as cohort, event_type as domain, count(*) as n from events group by 1, 2)
+select cohort, domain, n from d where n >= 6 qualify row_number() over (partition by cohort order by n desc, domain) = 1""")
 def m18_dominant_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = t(spark, sf_dir, "documents").groupBy(F.col("lang").alias("cohort"), F.concat(F.regexp_extract("source", "[a-z]+", 0), (F.col("doc_id") % 3).cast("string")).alias("domain")).agg(F.count("*").alias("n"))
-    return op.first_by(d, ["cohort"], F.desc("n"), "domain")
+    """Each cohort's most frequent domain, if it came at least six times; ties to the smaller name."""
+    d = t(spark, sf_dir, "events").groupBy(F.col("user_id").alias("cohort"), F.col("event_type").alias("domain")).agg(F.count("*").alias("n"))
+    return op.first_by(d.where("n >= 6"), ["cohort"], F.desc("n"), "domain")
 
 
 @query("""select p_partkey, round((case when p_size > 25 then 5 else 0 end + case when contains(lower(p_name), 'a') then 3 else 0 end + least(4, len(string_split(p_name, ' '))) - case when p_retailprice > 1500 then 2 else 0 end)::double, 2) as score, row_number() over (partition by p_brand order by (case when p_size > 25 then 5 else 0 end + case when contains(lower(p_name), 'a') then 3 else 0 end + least(4, len(string_split(p_name, ' '))) - case when p_retailprice > 1500 then 2 else 0 end) desc, p_partkey) as rank from part""")
@@ -173,6 +179,12 @@ def i30_sku_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "part").select("p_partkey", x.sku_class(code).alias("class"))
 
 
+@query("select event_id, case when hour(ts) < 6 then 'night' when hour(ts) < 12 then 'morning' when hour(ts) < 18 then 'afternoon' else 'evening' end as bucket from events")
+def i30_hour_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.hour("ts")
+    return t(spark, sf_dir, "events").select("event_id", F.when(h < 6, "night").when(h < 12, "morning").when(h < 18, "afternoon").otherwise("evening").alias("bucket"))
+
+
 @query("""select doc_id, case when regexp_matches(text, '(^|\\n)[-*•] ') then 'bullet' else 'prose' end as structure, cast(len(regexp_extract_all(text, '[.!?]+')) as int) as sentences, cast(len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda w: w <> '')) as int) as words from documents""")
 def i33_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = t(spark, sf_dir, "documents")

@@ -253,6 +253,21 @@ def e38_failure_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy((F.col("user_id") % 11).alias("site")).agg(F.count("*").alias("failures"), half_up(F.avg(F.get_json_object("props", "$.k").cast("double"))).alias("avg_retries"), F.max_by("event_id", F.struct("value", "event_id")).alias("worst"))
 
 
+@query("""with e as (select *, user_id % 11 as site, hour(ts) as h from events where event_type = 'error'), ok as (select user_id, max(ts) as last from events where event_type <> 'error' group by 1)
+select count(*) as failures, floor(avg(cast(json_extract_string(props, '$.k') as double)) * 100 + 0.5) / 100 as avg_retries, floor(count(*) filter (where last > ts) * 10000.0 / count(*) + 0.5) / 10000 as recovery_rate,
+(select h from e group by 1 order by count(*) desc, h limit 1)::int as peak_hour, (select site from e group by 1 order by count(*) desc, site limit 1)::bigint as worst_site from e left join ok using (user_id)""")
+def e38_failure_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All failures in one row: retries, the share that the same user got over later, and the hour and site with most of them (ties to the smaller)."""
+    all_of = t(spark, sf_dir, "events")
+    ok = all_of.where("event_type <> 'error'").groupBy("user_id").agg(F.max("ts").alias("last"))
+    e = all_of.where("event_type = 'error'").join(ok, "user_id", "left")
+    # counts of each hour and site, never more rows than those
+    c = e.groupBy(F.hour("ts").alias("h"), (F.col("user_id") % 11).alias("site")).agg(F.count("*").alias("n"), F.sum(F.get_json_object("props", "$.k").cast("double")).alias("r"), F.count(F.get_json_object("props", "$.k").cast("double")).alias("rn"), F.count_if(F.col("last") > F.col("ts")).alias("over"))
+    most = lambda key: c.groupBy(key).agg(F.sum("n").alias("n")).agg(F.min_by(key, F.struct(-F.col("n"), F.col(key))))
+    total = c.agg(F.sum("n").alias("failures"), half_up(F.sum("r") / F.sum("rn")).alias("avg_retries"), half_up(F.sum("over") / F.sum("n"), 4).alias("recovery_rate"))
+    return total.crossJoin(most("h").toDF("peak_hour")).crossJoin(most("site").toDF("worst_site"))  # one row each
+
+
 @query("""select user_id, count(*) as attempts, floor(count(*) filter (where event_type <> 'error') * 10000.0 / count(*) + 0.5) / 10000 as rate, min(value) as fastest, max(value) as slowest,
 count(*) filter (where ts >= timestamp '2024-01-23') as recent from events group by 1""")
 def e39_selector_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
