@@ -78,6 +78,21 @@ def o13_consecutive_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("user_id", "failures", F.coalesce(F.col("first_ok") - 1, F.col("n")).cast("long").alias("consecutive"))
 
 
+@query("""with e as (select *, event_type = 'error' as bad, cast(json_extract_string(props, '$.k') as double) as k from events), h as (select user_id, hour(ts) as h, count(*) as n from e where bad group by 1, 2), p as (select user_id, h from h qualify row_number() over (partition by user_id order by n desc, h) = 1)
+select e.user_id, count(*) filter (where bad) as failures, count(*) filter (where bad and ts > timestamp '2024-01-31' - interval 24 hour) as last_day, floor(avg(k) filter (where bad) * 100 + 0.5) / 100 as retries, floor(count(*) filter (where not bad) * 10000.0 / count(*) + 0.5) / 10000 as success_rate, any_value(h)::int as peak_hour from e left join p on e.user_id = p.user_id group by 1""")
+def o13_failure_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures of each site: all and those of the day before the snapshot, mean retries, success rate and the hour with most of them (ties to the earlier)."""
+    bad = F.col("event_type") == "error"
+    e = t(spark, sf_dir, "events").withColumns({"bad": bad, "k": F.get_json_object("props", "$.k").cast("double")})
+    day = F.col("ts") > F.lit("2024-01-31").cast("timestamp") - F.expr("interval 24 hours")
+    failing = F.when(F.col("bad"), F.col("k"))
+    # one row for each hour of a site, then one for the site
+    c = e.groupBy("user_id", F.hour("ts").alias("h")).agg(F.count("*").alias("n"), F.count_if("bad").alias("f"), F.count_if(F.col("bad") & day).alias("d"), F.sum(failing).alias("k"), F.count(failing).alias("kn"))
+    peak = F.min_by(F.when(F.col("f") > 0, F.col("h")), F.struct(-F.col("f"), F.col("h")))
+    f, n = F.sum("f"), F.sum("n")
+    return c.groupBy("user_id").agg(f.alias("failures"), F.sum("d").alias("last_day"), half_up(F.try_divide(F.sum("k"), F.sum("kn"))).alias("retries"), half_up((n - f) / n, 4).alias("success_rate"), peak.alias("peak_hour"))
+
+
 @query("""with s as (select user_id, count(*) filter (where event_type <> 'error') * 1.0 / count(*) as ok, count(*) filter (where event_type = 'purchase') * 1.0 / count(*) as done, least(count(*), 20) / 20.0 as seen from events group by 1), h as (select user_id, floor((0.5 * ok + 0.3 * done + 0.2 * seen) * 10000 + 0.5) / 10000 as score from s)
 select user_id, score, case when score >= 0.85 then 'healthy' when score >= 0.6 then 'degraded' when score >= 0.3 then 'unhealthy' else 'critical' end as state from h""")
 def o14_health_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +108,14 @@ def o16_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "events").where(F.col("ts") >= F.lit("2024-01-31").cast("timestamp") - F.expr("interval 7 days")).select("event_id")
 
 
+@query("""with s as (select user_id, max(ts) as last, count(*) filter (where event_type = 'error') as recent from events group by 1) select user_id, case when timestamp '2024-01-31' - last > interval 2 hour then greatest(0, recent - 1) else recent end as recent from s""")
+def o16_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recent failures of each site as of a snapshot: one fewer, not below none, where nothing came for two hours."""
+    s = t(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("last"), F.count_if(F.col("event_type") == "error").alias("recent"))
+    idle = F.col("last") < F.lit("2024-01-31").cast("timestamp") - F.expr("interval 2 hours")
+    return s.select("user_id", F.when(idle, F.greatest(F.lit(0), F.col("recent") - 1)).otherwise(F.col("recent")).alias("recent"))
+
+
 @query("""with l as (select coalesce(json_extract_string(props, '$.k'), cast(event_id as varchar)) || '|' || event_type as key, * from events), m as (select key, max(ts) as ts, max(event_id) as event_id, count(*) as merged from l group by 1) select key, event_id, merged from m order by ts desc, key limit 100""")
 def o20_log_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.concat(F.coalesce(F.get_json_object("props", "$.k"), F.col("event_id").cast("string")), F.lit("|"), F.col("event_type"))

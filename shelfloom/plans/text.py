@@ -226,10 +226,12 @@ def l16_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.agg((F.min("value") != F.max("value")).alias("conflict"))
 
 
-@query("""with r as (select user_id as sku, event_type as field, value, event_id % 4 as source, ts, event_id from events where value >= 10)
-select sku, field, min_by(value, (source, ts, event_id)) as value, min_by(source, (source, ts, event_id)) as source from r group by 1, 2""")
+@query("""with r as (select user_id as sku, event_type as field, value, event_id % 4 as source, ts, event_id from events), f as (select sku, field, min_by(value, (source, ts, event_id)) as v, min_by(source, (source, ts, event_id)) as s from r where value >= 10 group by 1, 2), o as (select sku, field, max_by(value, (ts, event_id)) as o from r where value < 1 group by 1, 2)
+select coalesce(f.sku, o.sku) as sku, coalesce(f.field, o.field) as field, coalesce(o, v) as value, case when o is null then s end as source from f full join o on f.sku = o.sku and f.field = o.field""")
 def l17_golden_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each field's value from the first source that has one (amounts below 10 count as blank), with where it came from."""
-    e = t(spark, sf_dir, "events").select(F.col("user_id").alias("sku"), F.col("event_type").alias("field"), "value", (F.col("event_id") % 4).alias("source"), "ts", "event_id").where("value >= 10")
-    best = e.groupBy("sku", "field").agg(F.min(F.struct("source", "ts", "event_id", "value")).alias("b"))
-    return best.select("sku", "field", "b.value", "b.source")
+    """Each field's override if it has one (the last amount below 1), else its value from the first source that has one (amounts below 10 count as blank), with where it came from."""
+    e = t(spark, sf_dir, "events").select(F.col("user_id").alias("sku"), F.col("event_type").alias("field"), "value", (F.col("event_id") % 4).alias("source"), "ts", "event_id")
+    first = F.min(F.when(F.col("value") >= 10, F.struct("source", "ts", "event_id", "value")))
+    own = F.max(F.when(F.col("value") < 1, F.struct("ts", "event_id", "value")))
+    best = e.groupBy("sku", "field").agg(first.alias("b"), own.alias("o")).where("b is not null or o is not null")
+    return best.select("sku", "field", F.coalesce("o.value", "b.value").alias("value"), F.when(F.col("o").isNull(), F.col("b.source")).alias("source"))
