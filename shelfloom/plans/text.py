@@ -118,16 +118,6 @@ def m17_dedup_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("url").agg(F.min("page_id").alias("page_id"))
 
 
-@query("select page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') as title, cast(len(regexp_extract_all(html, '(?i)<a\\s')) as int) as links from pages")
-def n02_page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "pages").select("page_id", F.nullif(F.trim(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)), F.lit("")).alias("title"), F.size(F.regexp_extract_all("html", F.lit(r"(?i)<a\s"), F.lit(0))).alias("links"))
-
-
-@query("select page_id, regexp_replace(regexp_replace(html, '(?is)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g') as text from pages")
-def n07_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_replace("html", "(?is)<[^>]*>", " "), r"\s+", " ").alias("text"))
-
-
 def filtered(parts: DataFrame, brand: str | None = None, kind: str | None = None, least: float | None = None, most: float | None = None, search: str | None = None, sizes: list[int] | None = None) -> DataFrame:
     """Parts under every condition that is given; each reaches the scan."""
     for given, cond in (

@@ -272,40 +272,6 @@ def n04_page_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pg.products(own, wanted).select("page_id", "name", "brand", F.array_join("images", " ").alias("images"), "score", "confidence")
 
 
-def absolute(address: Column, base: Column) -> Column:
-    """An address as seen from a page: with a scheme as it is, from the host's root, or beside the page."""
-    v = F.trim(address)
-    root = F.regexp_extract(base, r"^([a-z]+://[^/?#]+)", 1)
-    folder = F.when(F.regexp_replace(base, "[?#].*$", "").rlike(r"://[^/]+/"), F.regexp_extract(F.regexp_replace(base, "[?#].*$", ""), r"^(.*/)", 1)).otherwise(F.concat(root, F.lit("/")))
-    return F.when(v.rlike("(?i)^[a-z][a-z0-9+.-]*:"), v).when(v.startswith("//"), F.concat(F.regexp_extract(base, "^([a-z]+:)", 1), v)).when(v.startswith("/"), F.concat(root, v)).otherwise(F.concat(folder, v))
-
-
-def page_images(images: Column, base: Column) -> Column:
-    """Absolute web addresses of images, each once, in order."""
-    return F.array_distinct(F.filter(F.transform(F.filter(images, lambda v: F.trim(v) != ""), lambda v: absolute(v, base)), lambda u: u.rlike("^https?://.")))
-
-
-@query(r"select page_id, regexp_extract(url, '^([a-z]+):', 1) || '://cdn.a.com/1.png ' || regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/x/2.png ' || regexp_extract(regexp_replace(url, '[?#].*$', ''), '^(.*/)', 1) || '3.png' as images from pages")
-def n06_page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.array(*map(F.lit, ("//cdn.a.com/1.png", " /x/2.png", "", "3.png", "data:image/png;base64,x", "//cdn.a.com/1.png")))
-    return t(spark, sf_dir, "pages").select("page_id", F.array_join(page_images(raw, F.col("url")), " ").alias("images"))
-
-
-def page_title(v: Column) -> Column:
-    """A page's title as a product's: no price or shop after it, slugs as words."""
-    text = F.regexp_replace(x.collapsed(v), r"\s*[-–|]\s*\$?\d[\d,]*(?:\.\d{2})\s*$", "")
-    bare = F.trim(F.regexp_replace(text, r"\s*[|–]\s*[^|–]+$", ""))
-    named = F.when(bare != "", bare).otherwise(text)
-    return F.when(named.rlike("^[a-z0-9]+([-_][a-z0-9]+)+$"), F.initcap(F.translate(named, "-_", "  "))).otherwise(named)
-
-
-@query("""select p_partkey, case p_partkey % 3 when 0 then p_name when 1 then p_brand || ' ' || p_name else array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') end as title from part""")
-def n08_page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.col("p_partkey") % 3
-    raw = F.when(kind == 0, F.concat(F.lit(" "), "p_name", F.lit(" - $1,200.50"))).when(kind == 1, F.concat("p_brand", F.lit("  "), "p_name", F.lit(" | Acme Shop"))).otherwise(F.replace("p_name", F.lit(" "), F.lit("-")))
-    return t(spark, sf_dir, "part").select("p_partkey", page_title(raw).alias("title"))
-
-
 def sanitized(title: Column, upc: Column, rating: Column, reviews: Column) -> tuple[Column, Column]:
     """Fields of a payload (struct) and the warnings of what was changed or thrown away (array)."""
     digits, labelled = F.regexp_replace(upc, r"\D", ""), F.regexp_extract(upc, r"(?i)(?:UPC|EA)[#:\sA-Z-]{0,20}(\d{8,14})\b", 1)
