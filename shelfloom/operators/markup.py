@@ -209,11 +209,18 @@ def numbered(page: Column) -> Column:
     return F.transform(page["elements"], lambda e, i: F.struct(i.alias("n"), e.alias("e")))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value worked out once: an expression within a lambda is worked out for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def selected(elements: Column, selector: str, within: Column | None = None) -> Column:
     """Elements (struct<n, e>) that a selector of descendant steps finds, inside of `within` (struct<n, e>), if given."""
+
     def found(holds, above: Column | None) -> Column:
-        inside = lambda x: F.exists(above, lambda a: (x["n"] > a["n"]) & (x["n"] <= a["e"]["last"]))
-        return F.filter(elements, lambda x: holds(x["e"]) & (F.lit(True) if above is None else inside(x)))
+        if above is None:
+            return F.filter(elements, lambda x: holds(x["e"]))
+        return bound(above, lambda own: F.filter(elements, lambda x: holds(x["e"]) & F.exists(own, lambda a: (x["n"] > a["n"]) & (x["n"] <= a["e"]["last"]))))
 
     scopes = None if within is None else F.array(within)
     for step in steps_of(selector):
@@ -229,13 +236,13 @@ def text_of(page: Column, e: Column) -> Column:
 
 def first_text(page: Column, selector: str) -> Column:
     """The text of the first element that a selector finds and that has one, else null."""
-    found = F.transform(selected(numbered(page), selector), lambda x: F.nullif(text_of(page, x["e"]), F.lit("")))
+    found = bound(numbered(page), lambda every: F.transform(selected(every, selector), lambda x: F.nullif(text_of(page, x["e"]), F.lit(""))))
     return F.get(F.array_compact(found), F.lit(0))
 
 
 def attributes_of(page: Column, selector: str, attribute: str) -> Column:
     """The values of an attribute, in order, of the elements that a selector finds; empty and missing ones are left out."""
-    found = F.transform(selected(numbered(page), selector), lambda x: F.nullif(F.trim(F.try_element_at(x["e"]["attributes"], F.lit(attribute))), F.lit("")))
+    found = bound(numbered(page), lambda every: F.transform(selected(every, selector), lambda x: F.nullif(F.trim(F.try_element_at(x["e"]["attributes"], F.lit(attribute))), F.lit(""))))
     return F.array_compact(found)
 
 
@@ -252,7 +259,8 @@ def absolute(address: Column, base: Column) -> Column:
     ended = F.when(F.element_at(parts, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
     dotted = path.rlike(r"(^|/)\.\.?(/|$)")
     clean = F.regexp_replace(F.concat(head, F.lit("/"), F.concat_ws("/", walked), ended, tail), r"(?<=[^:/])//$", "/")
-    return F.when((head != "") & dotted, clean).otherwise(whole)
+    own = v.rlike("^([a-zA-Z][a-zA-Z0-9+.-]*:|//)")  # whole addresses stay as they are
+    return F.when((head != "") & dotted & ~own, clean).otherwise(whole)
 
 
 def images(page: Column, base: Column) -> Column:
@@ -262,27 +270,29 @@ def images(page: Column, base: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(own, lambda v: absolute(v, base)), lambda u: u.rlike("^https?://.") & ~u.rlike(r"\{[^}]*\}")))
 
 
-def fields(page: Column, html: Column | None, schema: dict[str, tuple], within: Column | None = None) -> list[Column]:
+def fields(page: Column, html: Column | None, schema: dict[str, tuple]) -> list[Column]:
     """Columns by a schema: name: (selector, kind, ...).
 
     Kinds: text (of the first element found), html (its markup; html is the page's), attribute (name), list (texts of all),
     nested (schema, inside of the first), nested_list (schema, inside of each). What isn't found is null, or an empty list.
     """
-    every = numbered(page)
 
-    def one(selector: str, kind: str, *more) -> Column:
+    def of(every: Column, own: dict[str, tuple], within: Column | None) -> list[Column]:
+        return [one(every, within, *spec).alias(name) for name, spec in own.items()]
+
+    def one(every: Column, within: Column | None, selector: str, kind: str, *more) -> Column:
         found = selected(every, selector, within)
-        first = F.get(found, F.lit(0))
         if kind == "list":
             return F.transform(found, lambda x: text_of(page, x["e"]))
         if kind == "nested_list":
-            return F.transform(found, lambda x: F.struct(*fields(page, html, more[0], x)))
-        if kind == "nested":
-            return F.when(first.isNotNull(), F.struct(*fields(page, html, more[0], first)))
-        if kind == "attribute":
-            return F.try_element_at(first["e"]["attributes"], F.lit(more[0]))
-        if kind == "html":
-            return F.substring(html, first["e"]["source_begin"] + 1, first["e"]["source_until"] - first["e"]["source_begin"])
-        return F.nullif(text_of(page, first["e"]), F.lit(""))
-
-    return [one(*spec).alias(name) for name, spec in schema.items()]
+            return F.transform(found, lambda x: F.struct(*of(every, more[0], x)))
+        use = {
+            "nested": lambda x: F.struct(*of(every, more[0], x)), "attribute": lambda x: F.try_element_at(x["e"]["attributes"], F.lit(more[0] if more else "")),
+            "html": lambda x: F.substring(html, x["e"]["source_begin"] + 1, x["e"]["source_until"] - x["e"]["source_begin"]), "text": lambda x: F.nullif(text_of(page, x["e"]), F.lit("")),
+        }
+        return F.get(F.transform(F.slice(found, 1, 1), use[kind]), F.lit(0))
+
+    def top(spec: tuple) -> Column:
+        return bound(numbered(page), lambda every: one(every, None, *spec))
+
+    return [top(spec).alias(name) for name, spec in schema.items()]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import fresh_dir
+from ..session import saved
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column | str, n: int = 1) -> DataFrame:
@@ -117,15 +117,17 @@ def medians(df: DataFrame, key: str, value: str) -> DataFrame:
     return own.where(middle).groupBy(key).agg(F.avg(value).alias("median"))
 
 
-def ranked_globally(df: DataFrame, *order: Column | str) -> DataFrame:
-    """Rows with __rank from 0 in a total order, by sorted ranges instead of one window over all rows.
+def ranged(df: DataFrame, *order: Column | str) -> DataFrame:
+    """Rows in sorted ranges of bounded size: __id grows with the order, __part is the number of a row's range.
 
-    The ranges are written once to the shared folder: a second run of the same plan could draw other bounds.
+    Written once, as a second run of the same plan could draw other bounds.
     """
-    spark = df.sparkSession
-    path = fresh_dir(spark, "ranges")
-    df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()).write.parquet(path)
-    own = spark.read.parquet(path).withColumn("__part", F.shiftright("__id", 33)).withColumn("__local", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
+    return saved(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()), "ranges").withColumn("__part", F.shiftright("__id", 33))
+
+
+def ranked_globally(df: DataFrame, *order: Column | str) -> DataFrame:
+    """Rows with __rank from 0 in a total order, by sorted ranges instead of one window over all rows."""
+    own = ranged(df, *order).withColumn("__local", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
     counts = own.groupBy("__part").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
     return own.join(counts.select("__part", before.alias("__before")), "__part").withColumn("__rank", F.col("__before") + F.col("__local")).drop("__part", "__local", "__before", "__id")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scans import scanned
 from ..streaming import events as ev
 from .registry import half_up, query, t
 
@@ -34,8 +35,8 @@ select event_id, before is null or before = status or before || '>' || status in
 def o04_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*map(F.lit, _STATES))
     e = t(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.element_at(names, (F.col("event_id") % 7 + 1).cast("int")).alias("status"))
-    before = F.lag("status").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return e.withColumn("before", before).select("event_id", F.coalesce(ev.allowed(F.col("before"), F.col("status")), F.lit(True)).alias("allowed"))
+    own = scanned(e, "user_id", ["ts", "event_id"], previous={"before": F.col("status")})
+    return own.select("event_id", F.coalesce(ev.allowed(F.col("before"), F.col("status")), F.lit(True)).alias("allowed"))
 
 
 @query("""with q as (select o_custkey as job_id, o_orderkey as chunk_id, o_orderdate as created_at, case o_orderstatus when 'O' then 'pending' when 'P' then 'running' else 'done' end as status, o_orderdate + interval 30 day as lease_until, o_orderkey % 4 as attempts from orders),
@@ -61,21 +62,26 @@ def o10_cache_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")).join(last, "key", "left").select("key", state.alias("state"))
 
 
-@query()
+@query("""with recursive e as (select user_id % 20 as site, ts, event_type <> 'error' as ok, row_number() over (partition by user_id % 20 order by ts, event_id) as r from events),
+run as (select site, 0::bigint as r, 'closed' as state, 0 as failures, null::timestamp as opened from (select distinct site from e)
+union all select e.site, e.r, case when state = 'open' and e.ts - opened < interval 1 hour then 'open' when ok then 'closed' when state = 'open' or failures >= 2 then 'open' else 'closed' end,
+case when state = 'open' and e.ts - opened < interval 1 hour then failures when ok then 0 else failures + 1 end, case when state = 'open' and e.ts - opened < interval 1 hour then opened when ok then null when state = 'open' or failures >= 2 then e.ts end
+from run join e on e.site = run.site and e.r = run.r + 1)
+select site, state, failures, strftime(opened, '%Y-%m-%d %H:%M:%S.%f') as opened_at from run qualify row_number() over (partition by site order by r desc) = 1""")
 def o12_circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-dependent state: held against a plain replay in the tests."""
+    """Order-dependent state, from summaries of stretches that can be joined on."""
     e = t(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("site"), "ts", "event_id", (F.col("event_type") != "error").alias("ok"))
-    return ev.breaker_replay(e)
+    return ev.breaker_states(e).withColumn("opened_at", F.date_format("opened_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
 @query("""with o as (select *, event_type = 'error' as bad, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events where ts > timestamp '2024-01-20'), f as (select user_id, min(r) filter (where not bad) as first_ok, count(*) as n, count(*) filter (where bad) as failures from o group by 1)
 select user_id, failures, coalesce(first_ok - 1, n) as consecutive from f""")
 def o13_consecutive_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = t(spark, sf_dir, "events").where(F.col("ts") > F.lit("2024-01-20").cast("timestamp"))
-    r = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
-    bad = F.col("event_type") == "error"
-    f = e.withColumn("r", r).groupBy("user_id").agg(F.count_if(bad).alias("failures"), F.min(F.when(~bad, F.col("r"))).alias("first_ok"), F.count("*").alias("n"))
-    return f.select("user_id", "failures", F.coalesce(F.col("first_ok") - 1, F.col("n")).cast("long").alias("consecutive"))
+    bad, place = F.col("event_type") == "error", F.struct("ts", "event_id")
+    f = e.groupBy("user_id").agg(F.count_if(bad).alias("failures"), F.max(F.when(~bad, place)).alias("last_ok"))
+    after = e.where(bad).join(f.select("user_id", "last_ok"), "user_id").where(F.col("last_ok").isNull() | (place > F.col("last_ok"))).groupBy("user_id").agg(F.count("*").alias("n"))
+    return f.join(after, "user_id", "left").select("user_id", "failures", F.coalesce("n", F.lit(0)).cast("long").alias("consecutive"))
 
 
 @query("""with e as (select *, event_type = 'error' as bad, cast(json_extract_string(props, '$.k') as double) as k from events), h as (select user_id, hour(ts) as h, count(*) as n from e where bad group by 1, 2), p as (select user_id, h from h qualify row_number() over (partition by user_id order by n desc, h) = 1)

@@ -128,34 +128,3 @@ def i24_snake_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat(F.lit("$productName -- "), F.col("p_partkey").cast("string"), F.lit(")"))
     words = F.regexp_replace(F.regexp_replace(raw, "(?<=[a-z0-9])(?=[A-Z])", "_"), "[^A-Za-z0-9]+", "_")
     return t(spark, sf_dir, "part").select("p_partkey", F.lower(F.btrim(words, F.lit("_"))).alias("key"))
-
-
-#: Weights of the fields of a fuzzy search, and how far a hit may be off: fixed values.
-SEARCH_WEIGHTS = {"name": 2.0, "brand": 1.5, "description": 1.0}
-FARTHEST = 0.4
-
-
-def word_distance(field: Column, term: str) -> Column:
-    """The least edit distance of a field's words to a term, as a share of the longer one; 1 without words."""
-    words = F.filter(F.split(F.lower(F.coalesce(field, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
-    far = F.transform(words, lambda w: F.levenshtein(w, F.lit(term)) / F.greatest(F.length(w), F.lit(len(term))))
-    return F.coalesce(F.array_min(far), F.lit(1.0))
-
-
-def fuzzy_search(items: DataFrame, term: str) -> DataFrame:
-    """items with a field near the term, and distance: the least over fields, each stretched by how little its field weighs. Terms of one character find nothing."""
-    word, most = term.lower(), max(SEARCH_WEIGHTS.values())
-    near = {f: word_distance(F.col(f), word) for f in SEARCH_WEIGHTS}
-    best = F.least(*(F.when(d <= FARTHEST, d * (most / SEARCH_WEIGHTS[f])) for f, d in near.items()))
-    return items.withColumn("distance", best).where(F.col("distance").isNotNull() & F.lit(len(term) >= 2))
-
-
-_DISTANCE = "coalesce(list_min(list_transform(list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: levenshtein(w, 'widgat') / greatest(len(w), 6))), 1.0)"
-
-
-@query(f"""with d as (select p_partkey, {_DISTANCE.format('p_name')} as a, {_DISTANCE.format('p_brand')} as b, {_DISTANCE.format("'gadget ' || p_type")} as c from part), s as (select p_partkey, least(case when a <= 0.4 then a end, case when b <= 0.4 then b * (2.0 / 1.5) end, case when c <= 0.4 then c * 2.0 end) as s from d)
-select p_partkey, floor(s * 10000 + 0.5) / 10000 as distance from s where s is not null""")
-def m20_fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Products near a misspelt word; scores are this library's own, as an approximate search has no exact ones."""
-    items = t(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.concat(F.lit("gadget "), "p_type").alias("description"))
-    return fuzzy_search(items, "widgat").select("p_partkey", half_up(F.col("distance"), 4).alias("distance"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import tables as op
+from ..operators.scans import scanned
 from .registry import half_up, money, query, t
 
 
@@ -259,16 +260,20 @@ def f04_ordinality(spark: SparkSession, sf_dir: str) -> DataFrame:
 s as (select user_id, max(n) n, avg(case when r < n // 2 then ok::int end) as a, avg(case when r >= n // 2 then ok::int end) as b from h group by 1)
 select user_id, case when n < 4 then 'stable' when b - a > 0.1 then 'improving' when b - a < -0.1 then 'declining' else 'stable' end as trend from s""")
 def f06_half_split_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = t(spark, sf_dir, "events").select("user_id", (F.col("event_type") != "error").cast("int").alias("ok"), (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("r"), F.count("*").over(Window.partitionBy("user_id")).alias("n"))
+    """Success in the later half of a user's events against the earlier half."""
+    e = op.ranked_within(t(spark, sf_dir, "events").select("user_id", "ts", "event_id", (F.col("event_type") != "error").cast("int").alias("ok")), "user_id", "ts", "event_id")
     half = F.floor(F.col("n") / 2)
-    s = e.groupBy("user_id").agg(F.max("n").alias("n"), (F.avg(F.when(F.col("r") >= half, F.col("ok"))) - F.avg(F.when(F.col("r") < half, F.col("ok")))).alias("d"))
+    e = e.join(e.groupBy("user_id").agg(F.count("*").alias("n")), "user_id")
+    s = e.groupBy("user_id").agg(F.max("n").alias("n"), (F.avg(F.when(F.col("__rank") >= half, F.col("ok"))) - F.avg(F.when(F.col("__rank") < half, F.col("ok")))).alias("d"))
     return s.select("user_id", F.when(F.col("n") < 4, "stable").when(F.col("d") > 0.1, "improving").when(F.col("d") < -0.1, "declining").otherwise("stable").alias("trend"))
 
 
 @query("select event_id, floor(cast(sum(cast(value as decimal(18,6))) over w as double) / count(*) over w * 10000 + 0.5) / 10000 as running_avg from events window w as (partition by user_id order by ts, event_id rows unbounded preceding)")
 def f07_running_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t(spark, sf_dir, "events").select("event_id", half_up(F.sum(money("value", "decimal(18,6)")).over(w).cast("double") / F.count("*").over(w), 4).alias("running_avg"))
+    """Of each event and those before it of its user, however many they are."""
+    e = t(spark, sf_dir, "events").select("event_id", "user_id", "ts", money("value", "decimal(18,6)").alias("value"))
+    own = scanned(e, "user_id", ["ts", "event_id"], {"total": F.col("value"), "n": F.lit(1)})
+    return own.select("event_id", half_up(F.col("total").cast("double") / F.col("n"), 4).alias("running_avg"))
 
 
 @query("select user_id, max_by(event_id, (ts, event_id)) as event_id, max_by(event_type, (ts, event_id)) as event_type from events group by 1")

@@ -115,15 +115,21 @@ def size_metric(text: Column) -> Column:
     """
     flat = F.translate(x.collapsed(text), _OPEN + _SHUT, "  ")
     pieces = F.split(F.regexp_replace(flat, f"(?i){_SIZE}", f"{_OPEN}$1{_SHUT}$2{_OPEN}"), _OPEN)  # texts at even places, sizes at odd ones
-    ends = lambda i: F.transform(F.slice(pieces, F.greatest(i - 2 * REACH + 1, F.lit(1)), F.least(i, F.lit(2 * REACH))), lambda p: F.right(F.replace(p, F.lit(_SHUT), F.lit("")), F.lit(REACH)))
-    before = lambda i: F.lower(F.right(F.array_join(ends(i), ""), F.lit(REACH)))
     unit = lambda p: F.lower(F.regexp_extract(p, f"{_SHUT}(.*)", 1))
     kind = lambda p: F.coalesce(*(F.when(unit(p).rlike(f"^({units})$"), k) for k, units in MEASURES.items()))
     rank = lambda k: F.coalesce(*(F.when(k == name, n) for name, n in KIND_RANK.items()))
-    own = lambda i: F.when(before(i).rlike(rf"\b({'|'.join(OWN_WORDS)})\b"), 0).otherwise(1)
-    found = F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.struct(rank(kind(p)).alias("rank"), own(i).alias("own"), i.alias("place"), F.regexp_extract(p, f"^([^{_SHUT}]*)", 1).cast("double").alias("amount"), unit(p).alias("unit"), kind(p).alias("kind"))))
-    best = F.array_min(F.array_compact(found))
-    return F.when(best.isNotNull(), F.struct(best["amount"].alias("amount"), best["unit"].alias("unit"), best["kind"].alias("kind"), F.floor(best["place"] / 2).cast("int").alias("place")))
+
+    def found(own: Column) -> Column:
+        def before(i: Column) -> Column:
+            ends = F.transform(F.slice(own, F.greatest(i - 2 * REACH + 1, F.lit(1)), F.least(i, F.lit(2 * REACH))), lambda p: F.right(F.replace(p, F.lit(_SHUT), F.lit("")), F.lit(REACH)))
+            return F.lower(F.right(F.array_join(ends, ""), F.lit(REACH)))
+
+        said = lambda i: F.when(before(i).rlike(rf"\b({'|'.join(OWN_WORDS)})\b"), 0).otherwise(1)
+        one = lambda p, i: F.struct(rank(kind(p)).alias("rank"), said(i).alias("own"), i.alias("place"), F.regexp_extract(p, f"^([^{_SHUT}]*)", 1).cast("double").alias("amount"), unit(p).alias("unit"), kind(p).alias("kind"))
+        return F.array_min(F.array_compact(F.transform(own, lambda p, i: F.when(i % 2 == 1, one(p, i)))))
+
+    told = lambda b: F.when(b.isNotNull(), F.struct(b["amount"].alias("amount"), b["unit"].alias("unit"), b["kind"].alias("kind"), F.floor(b["place"] / 2).cast("int").alias("place")))
+    return mk.bound(mk.bound(pieces, found), told)
 
 
 _UNITS_SQL = "|".join(MEASURES.values())

@@ -63,22 +63,6 @@ def b15_session_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("sku")).agg(F.count_distinct("l_suppkey").alias("scrapers"), F.count("*").alias("results"), F.max("l_shipdate").alias("last_seen"))
 
 
-_OPTIONS = ("SMALL", "MEDIUM PLATED", "PROMO BRASS", "ECONOMY", "STANDARD COPER")
-
-
-@query(f"""with o as (select unnest([{", ".join(f"'{v}'" for v in _OPTIONS)}]) as o), v as (select distinct p_type as v from part), s as (select v, o, case when lower(v) = lower(o) then 1 when contains(lower(v), lower(o)) or contains(lower(o), lower(v)) then 2 when len(list_intersect(string_split(lower(v), ' '), string_split(lower(o), ' '))) > 0 then 3 when 1 - levenshtein(lower(v), lower(o)) * 1.0 / greatest(length(v), length(o)) >= 0.6 then 4 end as stage from v cross join o)
-select v as value, stage, o as option from s where stage is not null qualify row_number() over (partition by v order by stage, o) = 1""")
-def d18_closest_by_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The option of the first stage that fits: equal, contained, a word in common, or an edit distance below 0.4. Options are a short fixed list, values are distinct."""
-    v, o = F.lower("value"), F.lower("option")
-    words = F.size(F.array_intersect(F.split(v, " "), F.split(o, " "))) > 0
-    close = 1 - F.levenshtein(v, o) / F.greatest(F.length(v), F.length(o)) >= 0.6
-    stage = F.when(v == o, 1).when(F.contains(v, o) | F.contains(o, v), 2).when(words, 3).when(close, 4)
-    values = t(spark, sf_dir, "part").select(F.col("p_type").alias("value")).distinct()
-    each = values.select("value", F.explode(F.array(*map(F.lit, _OPTIONS))).alias("option")).withColumn("stage", stage).where("stage is not null")
-    return op.first_by(each, ["value"], "stage", "option").select("value", "stage", "option")
-
-
 @query("select p_partkey, case when p_size % 2 = 0 then left(lpad(cast(p_partkey * 7919 as varchar), 12, '0'), 6) else lower(p_brand) || ' ' || array_to_string(list_filter(string_split(lower(p_name), ' '), lambda w: not regexp_matches(w, '[0-9]'))[1:4], ' ') end as cohort from part")
 def m21_cohort_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A code's prefix, or without a code the brand and the first four words of the name that hold no number, in their order."""

@@ -93,15 +93,6 @@ def m06_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "part").select("p_partkey", (F.contains(a, b) | F.contains(b, a) | (share >= 0.35)).alias("matched"))
 
 
-@query("""with o as (select r_name from region) select distinct on (n_name) n_name, r_name as closest, floor((1 - levenshtein(lower(n_name), lower(r_name)) * 1.0 / greatest(length(n_name), length(r_name))) * 10000 + 0.5) / 10000 as similarity from nation cross join o order by n_name, similarity desc, r_name""")
-def m08_closest_option(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The closest of a bounded option list (five names) for each value, by length-normalised edit distance."""
-    o = t(spark, sf_dir, "region").select("r_name")
-    s = half_up(1 - F.levenshtein(F.lower("n_name"), F.lower("r_name")) / F.greatest(F.length("n_name"), F.length("r_name")), 4)
-    j = t(spark, sf_dir, "nation").select("n_name").crossJoin(F.broadcast(o)).withColumn("similarity", s)
-    return op.first_by(j, ["n_name"], F.desc("similarity"), "r_name").select("n_name", F.col("r_name").alias("closest"), "similarity")
-
-
 @query("""with d as (select page_id, string_split(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '.') as p from pages), s as (select page_id, array_to_string(p[i:], '.') as suffix from d, range(1, 10) r(i) where i <= len(p))
 select page_id, count(*) filter (where suffix in ('example.com', 'example.org', 'com')) as matches from s group by 1""")
 def d19_domain_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

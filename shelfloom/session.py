@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def workers_find_library(spark: SparkSession) -> None:
@@ -31,5 +31,17 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A folder of its own in the shared one."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder, where nothing is yet. What is written there goes when the driver ends."""
+    parent = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(parent)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(folder)
+    system.deleteOnExit(folder)
+    return f"{parent}/data"
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet to the shared folder and read again: later jobs neither recompute it nor depend on executors."""
+    path = fresh_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

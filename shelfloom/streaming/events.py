@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..session import saved
+
 #: Allowed transitions of the workflow: fixed values.
 TRANSITIONS = {
     "imported": ("scraping",),
@@ -90,7 +93,7 @@ def circuit_breaker(stream: DataFrame, threshold: int = 3, cool_s: float = 3600)
 
 
 def breaker_replay(events: DataFrame, threshold: int = 3, cool_s: float = 3600) -> DataFrame:
-    """The same over a snapshot: each site's events in order, as batches of one sorted partition; no site's rows are held."""
+    """The same over a snapshot, an event at a time: each site's events in order, as batches of one sorted partition."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         site, now, failures, opened = None, "closed", 0, None
@@ -109,6 +112,107 @@ def breaker_replay(events: DataFrame, threshold: int = 3, cool_s: float = 3600)
     return events.select("site", "ts", "event_id", "ok").repartition("site").sortWithinPartitions("site", "ts", "event_id").mapInPandas(run, BREAKER)
 
 
+class Stretch:
+    """What a stretch of one site's events makes of any state that it begins with.
+
+    closed: the end for each number of failures in a row before the stretch. For a breaker that was opened before: tries, the
+    end by which event is the first one let through, as a step function of time (until, in microseconds). An end is (open?,
+    failures, counted on from what came before?, opened at, or None).
+    """
+
+    def __init__(self, at: list[int], ok: list[bool], threshold: int, cool: int) -> None:
+        n = len(at)
+        after = [max(j + 1, k) for j, k in enumerate(np.searchsorted(at, np.array(at, np.int64) + cool).tolist())]
+        closed = [(False, f, False, None) for f in range(threshold)]
+        tries: list = [None] * n
+        for j in range(n - 1, -1, -1):
+            if ok[j]:
+                tries[j] = closed[0]
+                closed = [closed[0]] * threshold
+            else:
+                k = after[j]
+                then = (True, 0, True, at[j]) if k >= n else tries[k]
+                opened = lambda f, then=then: (then[0], then[1] + f, then[2], then[3]) if then[2] else then
+                tries[j] = opened(1)
+                whole = opened(threshold)
+                closed = [*closed[1:], (whole[0], whole[1], False, whole[3])]
+        self.closed, self.until, self.tries = closed, [], []
+        for j in range(n):
+            if self.tries and self.tries[-1] == tries[j]:
+                self.until[-1] = at[j]
+            else:
+                self.until.append(at[j])
+                self.tries.append(tries[j])
+            if at[j] >= at[0] + cool:  # a breaker opened before the stretch lets this one through at the latest
+                break
+
+    def row(self) -> tuple:
+        flat = lambda ends: [[int(e[0]), e[1], int(e[2]), -1 if e[3] is None else e[3]] for e in ends]
+        return flat(self.closed), self.until, flat(self.tries)
+
+
+def follow(state: tuple[bool, int, int], closed, until, tries, cool: int) -> tuple[bool, int, int]:
+    """The state (open?, failures, opened at or -1) after a stretch."""
+    is_open, failures, opened = state
+    if not is_open:
+        o, f, _, at = closed[failures]
+        return bool(o), int(f), int(at)
+    k = int(np.searchsorted(np.asarray(until), opened + cool))
+    if k == len(until):
+        return state
+    o, f, on, at = tries[k]
+    return bool(o), int(f) + (failures if on else 0), int(at)
+
+
+def breaker_states(events: DataFrame, threshold: int = 3, cool_s: float = 3600, stretch: int = 200_000) -> DataFrame:
+    """State of each site's breaker after a snapshot of events (site, ts, event_id, ok): breaker_replay for sites of any size.
+
+    Events are ranged by (site, ts, event_id), so a busy site lies in many tasks. Each task sums its stretches up, of at most
+    `stretch` events, without knowing the state before; then each site's summaries, a few rows, are followed in order.
+    """
+    cool = round(cool_s * 1_000_000)
+    kind = "array<array<long>>"
+
+    def sum_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def done() -> pd.DataFrame:
+            f = pd.concat(held)
+            closed, until, tries = Stretch(f.at_us.tolist(), f.ok.tolist(), threshold, cool).row()
+            held.clear()
+            return pd.DataFrame({"site": [f.site.iloc[0]], "at_us": [f.at_us.iloc[0]], "event_id": [f.event_id.iloc[0]], "closed": [closed], "until": [until], "tries": [tries]})
+
+        for frame in frames:
+            for _, f in frame.groupby("site", sort=False):
+                if held and (held[-1].site.iloc[0] != f.site.iloc[0] or sum(map(len, held)) >= stretch):
+                    yield done()
+                held.append(f)
+        if held:
+            yield done()
+
+    def chain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        site, state = None, (False, 0, -1)
+
+        def end() -> tuple:
+            return site, "open" if state[0] else "closed", state[1], pd.Timestamp(state[2], unit="us") if state[0] else None
+
+        for f in frames:
+            out = []
+            for r in f.itertuples():
+                if r.site != site:
+                    out += [end()] if site is not None else []
+                    site, state = r.site, (False, 0, -1)
+                state = follow(state, r.closed, r.until, r.tries, cool)
+            yield pd.DataFrame(out, columns=["site", "state", "failures", "opened_at"]).astype({"opened_at": "datetime64[ns]"})
+        if site is not None:
+            yield pd.DataFrame([end()], columns=["site", "state", "failures", "opened_at"]).astype({"opened_at": "datetime64[ns]"})
+
+    own = events.select("site", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), "event_id", "ok").where("site is not null and ts is not null")
+    order = ["site", "at_us", "event_id"]
+    parts = own.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(sum_up, f"site long, at_us long, event_id long, closed {kind}, until array<long>, tries {kind}")
+    return saved(parts, "stretches").repartition("site").sortWithinPartitions(*order).mapInPandas(chain, BREAKER)
+
+
 def claimable(chunks: DataFrame, as_of: str, attempts: int, cap: int) -> DataFrame:
     """The next chunk of each job under its cap of running ones: pending, or running with a lease that has run out."""
     now = F.lit(as_of).cast("timestamp")
