@@ -9,6 +9,8 @@ is by the number of sets that hold an element, rarest first, so most sets' first
    returns entries of columns with two sets or more. The bound needs one order of all elements for both sets of a pair.
 3. First elements: per node, the rarest of the returned entries, as far as the bound goes beyond the elements of its own.
    Nodes sharing one fall in a cluster, by links to the least node of each column. No linked pair is outside a cluster.
+   A large cluster that is rather a chain of small columns than a group of copies is taken apart again: its columns become
+   clusters of their own, so that documents that share passages without being near copies cost no product of all with all.
 4. Product: each cluster's nodes meet with their whole sets, in blocks of nodes (clusters over a block in pairs of blocks);
    overlap counts accumulate row by row, pairs below the size-derived bound are dropped, and each block returns links to the
    least node that it can reach, never its pairs.
@@ -114,6 +116,7 @@ def dealt(docs: DataFrame, blocks: int, hot: np.ndarray, words: int, percent: in
     a node's first elements.
     """
     bits = int(blocks).bit_length() - 1
+    mask = np.uint64((1 << (32 + bits)) - 1)  # what of a hash names a column
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -147,6 +150,8 @@ def dealt(docs: DataFrame, blocks: int, hot: np.ndarray, words: int, percent: in
                 need = int(slack(np.int64(len(own)), percent)) + 1
                 common = np.isin(own, hot, assume_unique=True)
                 rare = own[~common]
+                # n-grams of one set on one column count once, here as in the blocks: a linked set then lacks as few columns as elements
+                rare = rare[np.unique(rare & mask, return_index=True)[1]]
                 if len(rare) < need:
                     direct.append((node, own[common][: need - len(rare)]))
                 held[node] = rare
@@ -203,14 +208,24 @@ def first_elements(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["node", "col"])
 
 
-def clusters(docs: DataFrame, blocks: int, hot: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(node, cluster): nodes that share a first element, directly or through others; nodes without company are left out."""
+def clusters(docs: DataFrame, blocks: int, hot: np.ndarray, words: int, percent: int, block_nodes: int = BLOCK_NODES) -> DataFrame:
+    """(node, cluster): nodes that share a first element, directly or through others; nodes without company are left out.
+
+    In a cluster of more nodes than a block, whose columns together have fewer pairs than it has, each column is a cluster.
+    """
     entries = dealt(docs, blocks, hot, words, percent).groupBy("block").applyInPandas(lambda rows: shared_entries(rows, blocks), "part int, entries binary, meta binary, direct binary")
     first = saved(entries.groupBy("part").applyInPandas(lambda rows: first_elements(rows, percent), "node long, col long"), "first")
     entries = first.select(F.col("col").alias("u"), F.col("node").alias("v"))
-    least = entries.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).where("n > 1")
-    links = attached(entries, least, entries.count()).where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-    return components(links).withColumnRenamed("component", "cluster")
+    total = entries.count()
+    least = saved(entries.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).where("n > 1"), "columns")
+    links = attached(entries, least, total).where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    found = saved(components(links).withColumnRenamed("component", "cluster"), "clusters")
+    large = found.groupBy("cluster").agg(F.count("*").alias("k")).where(F.col("k") > block_nodes)
+    columns = least.join(found.withColumnRenamed("node", "m"), "m").join(large, "cluster")
+    chains = columns.groupBy("cluster").agg((F.sum(F.col("n").cast("double") * F.col("n")) < F.max("k").cast("double") * F.max("k")).alias("chain")).where("chain").select("cluster")
+    apart = saved(columns.join(chains, "cluster").select("u", F.col("m"), "n", "cluster"), "apart")
+    whole = found.join(apart.select("cluster").distinct(), "cluster", "left_anti").select("node", "cluster")
+    return whole.union(attached(entries, apart.select("u", F.xxhash64(F.lit("column"), "u").alias("m"), "n"), total).select(F.col("v").alias("node"), F.col("m").alias("cluster")))
 
 
 def linked(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int, cells: int = 4_000_000) -> list[tuple[int, int]]:
@@ -253,18 +268,26 @@ def linked(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent:
 def product(docs: DataFrame, members: DataFrame, words: int, percent: int, block_nodes: int = BLOCK_NODES, block_elements: int = BLOCK_ELEMENTS) -> DataFrame:
     """Links (a, b) of the blocked product. members: doc_id (of a node's first document), node, n_shingles, cluster."""
     sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / block_nodes), F.ceil(F.sum("n_shingles") / block_elements)).cast("int").alias("blocks"))
-    wanted = members.join(sizes, "cluster").select("doc_id", "node", "cluster", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("own"))
+    places = F.struct("cluster", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("own"))
+    # a text is read and cut once for all its clusters, of which it has no more than first elements
+    wanted = members.join(sizes, "cluster").groupBy("doc_id", "node").agg(F.collect_list(places).alias("places"))
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for s, node, cluster, blocks, own in zip(shingle_sets([t or "" for t in column(batch, "text")], words), *(column(batch, c) for c in ("node", "cluster", "blocks", "own")), strict=True):
-                if len(s) and digest(s) == node:  # another row may have the same doc_id
-                    rows += [(cluster, min(own, j), max(own, j), 0 if own == j else 1 + (own > j), node, s.astype("<u8").tobytes()) for j in range(blocks)]
-                if sum(len(x[-1]) for x in rows[-64:]) > 1 << 22 or len(rows) > 4096:
-                    yield batch_of(rows)
-                    rows = []
+            rows, size = [], 0
+            for s, node, places in zip(shingle_sets([t or "" for t in column(batch, "text")], words), *(column(batch, c) for c in ("node", "places")), strict=True):
+                if not len(s) or digest(s) != node:  # another row may have the same doc_id
+                    continue
+                raw = s.astype("<u8").tobytes()
+                for place in places:
+                    cluster, blocks, own = place["cluster"], place["blocks"], place["own"]
+                    for j in range(blocks):
+                        rows.append((cluster, min(own, j), max(own, j), 0 if own == j else 1 + (own > j), node, raw))
+                        size += len(raw)
+                        if size > 1 << 24 or len(rows) > 4096:
+                            yield batch_of(rows)
+                            rows, size = [], 0
             if rows:
                 yield batch_of(rows)
 
@@ -289,11 +312,11 @@ def product(docs: DataFrame, members: DataFrame, words: int, percent: int, block
         out = done()
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    rows = texts.select("text", "node", "cluster", "blocks", "own").mapInArrow(sets, "cluster long, i int, j int, side int, node long, elements binary")
+    rows = texts.select("text", "node", "places").mapInArrow(sets, "cluster long, i int, j int, side int, node long, elements binary")
     return rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(multiply, "a long, b long").distinct()
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_entries: int = 1_500_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_entries: int = 1_500_000, block_nodes: int = BLOCK_NODES) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every row of docs (doc_id, text).
 
     Null and empty texts have no shingles and link with nothing. Rows are judged each by its own text: rows of one doc_id with
@@ -306,9 +329,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     total = docs_sets.agg(F.sum("n_shingles")).first()[0] or 0
     blocks = 1 << max(3, int(np.ceil(np.log2(max(1, total / block_entries)))))
     nodes = docs_sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.max("n_shingles").alias("n_shingles"))
-    cluster = clusters(docs, blocks, np.sort(hot), words, percent)
+    cluster = clusters(docs, blocks, np.sort(hot), words, percent, block_nodes)
     members = nodes.join(cluster, "node").select(F.col("first_doc").alias("doc_id"), "node", "n_shingles", "cluster")
-    found = components(product(docs, members, words, percent))
+    found = components(product(docs, members, words, percent, block_nodes))
     least = found.join(nodes, "node").groupBy("component").agg(F.min("first_doc").alias("least"))
     named = nodes.join(found.join(least, "component").select("node", "least"), "node", "left").select("node", F.coalesce("least", "first_doc").alias("component_id"))
     named = saved(named, "named")  # a plain side, so that a node with very many documents can be split
