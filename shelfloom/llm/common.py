@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import fresh_dir, shared_root, workers_find_library
+from ..session import fresh_dir, saved, shared_root, workers_find_library  # noqa: F401  for the operators
 
 #: Rows in an Arrow batch that goes to Python: whole texts are long, so batches are short.
 BATCH_ROWS = 512
@@ -23,14 +23,6 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: later jobs neither recompute it nor depend on executors."""
-    spark = df.sparkSession
-    path = fresh_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import prepared, saved, table
-from .hamming import usable
+from .hamming import scaled, usable
 
 #: Trees of a forest, bits of a string, and the share of a shard that the ranges hold when the ascent ends.
 TREES, BITS, SHARE = 16, 32, 1.1
@@ -68,46 +68,56 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float =
     Scores are inner products of original vectors in double precision; ties go to the smaller vec_id; a query (query_id,
     embedding) never finds the row of its own id. Unusable vectors (null, zero, or with null or non-finite components) and
     rows without an id take no part, as rows or as queries; repeated rows count once; other columns are ignored; no rows give
-    none; vectors of several dimensions are an error. Fewer candidates than k give fewer rows. `share`: of the sum
+    none; vectors of several dimensions are an error. Finite vectors may have any size: products are of scaled ones, so a score
+    beyond the range of double precision is infinite (or 0), and such scores stand in the order of the scaled products. Fewer candidates than k give fewer rows. `share`: of the sum
     over trees of their ranges, in units of the shard's rows; more gives more recall.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(usable("embedding") & F.col("vec_id").isNotNull()).distinct()
     by = Window.partitionBy("embedding").orderBy("vec_id")
     own = saved(rows.withColumn("n", F.row_number().over(by)).where(F.col("n") <= k + 1).groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "vectors")
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(usable("embedding") & F.col("query_id").isNotNull()).distinct()
-    count, longest, *wide = own.agg(F.count("*"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)), F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    count, largest, *wide = own.agg(F.count("*"), F.max(F.array_max(F.transform("embedding", F.abs))), F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
     wide += asked.agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
     if len({n for n in wide if n}) > 1:
         raise ValueError(f"vectors of several dimensions: {sorted({n for n in wide if n})}")
     shards, blocks = max(1, -(-count // shard)), max(1, -(-asked.count() // block))
-    longest = float(np.sqrt(longest or 0.0))
+    # rows times one power of two, so that the largest component is near one and no product leaves the range of numbers
+    power = int(np.frexp(largest or 1.0)[1])
+    halves = [2.0 ** (-power // 2), 2.0 ** (-power - -power // 2)]
+    longest = float(np.sqrt(own.agg(F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + (x * halves[0] * halves[1]) ** 2))).first()[0] or 0.0))
     a = own.withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     b = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            x, q = np.array(left.embedding.tolist()), np.array(right.embedding.tolist())
+            given, asking = np.array(left.embedding.tolist()), np.array(right.embedding.tolist())
+            exponent = np.frexp(np.abs(given).max(1))[1]
+            x, rows, q = given * halves[0] * halves[1], scaled(given), scaled(asking)
+            powers = np.frexp(np.abs(asking).max(1))[1]
             ids, short = left["ids"].tolist(), x.astype(np.float32)
             sizes = np.array([len(i) for i in ids])
+            dims = x.shape[1]
             # enough: a share of the rows, but never fewer than could fill a result in every tree
             found = Forest(x, longest).candidates(q, max(int(share * len(x)), min(len(x), k + 1) * TREES))
-            for query, vector, own in zip(right.query_id, q, found, strict=True):
+            for query, vector, up, own in zip(right.query_id, q, powers.tolist(), found, strict=True):
                 if len(own) > k + 1:  # rough products leave out what is clearly below the last that can count
                     rough = short[own] @ vector.astype(np.float32)
                     least = np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1]
-                    own = own[rough >= least - 1e-5 * longest * float(np.sqrt((vector * vector).sum()))]
-                score = (x[own] * vector).sum(1)
+                    own = own[rough >= least - (dims + 4) * 2.0**-22 * longest * float(np.sqrt((vector * vector).sum()))]
+                with np.errstate(over="ignore", under="ignore"):
+                    score = np.ldexp(np.ldexp((rows[own] * vector).sum(1), exponent[own]), up)
+                near = (x[own] * vector).sum(1)
                 vec = np.concatenate([ids[i] for i in own]).astype(np.int64)
-                score = np.repeat(score, sizes[own])
+                score, near = np.repeat(score, sizes[own]), np.repeat(near, sizes[own])
                 other = vec != query
-                vec, score = vec[other], score[other]
-                best = np.lexsort((vec, -score))[:k]
-                out.append(pd.DataFrame({"query_id": query, "vec_id": vec[best], "score": score[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+                vec, score, near = vec[other], score[other], near[other]
+                best = np.lexsort((vec, -near, -score))[:k]
+                out.append(pd.DataFrame({"query_id": query, "vec_id": vec[best], "score": score[best], "near": near[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "near": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64", "near": "float64"})
 
-    found = a.groupBy("shard", "block").cogroup(b.groupBy("shard", "block")).applyInPandas(search, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = a.groupBy("shard", "block").cogroup(b.groupBy("shard", "block")).applyInPandas(search, "query_id long, vec_id long, score double, near double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("near"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

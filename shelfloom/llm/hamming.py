@@ -129,7 +129,8 @@ def linked_vectors(vectors: DataFrame, cosine: float = COSINE, per_key: int = PE
     Rows link when their labels are equal and not null and their cosine in double precision is at least `cosine`. Unusable
     vectors (null, zero, or with null or non-finite components) and rows without a vec_id link with nothing. Equal vectors of
     one label are one vector to the tables and count as links of each other; so do rows of one vec_id, which keep a result
-    each. Other columns are ignored; no rows give no rows; vectors of several dimensions are an error.
+    each. Other columns are ignored; no rows give no rows; vectors of several dimensions are an error. Finite
+    vectors may have any size, as each is scaled by a power of two before norms and codes.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
     good = usable("embedding") & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
@@ -143,13 +144,13 @@ def linked_vectors(vectors: DataFrame, cosine: float = COSINE, per_key: int = PE
         raise ValueError(f"vectors of several dimensions: {sizes[0]} to {sizes[1]}")
     if not len(sample):
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    x = np.array(sample.embedding.tolist())
+    x = scaled(np.array(sample.embedding.tolist()))
     turn, angle = rotation(x / np.linalg.norm(x, axis=1, keepdims=True)), float(np.arccos(cosine))
     chosen, near = pick(BITS, key_bits(per_label, per_key), angle), radius(BITS, angle)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = vectors_of(batch)
+            v = scaled(vectors_of(batch))
             code = np.packbits(v @ turn >= 0, axis=1) if len(v) else np.zeros((0, BITS // 8), np.uint8)
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("label", "node")), pa.array([r.tobytes() for r in code], pa.binary())], names=["label", "node", "code"])
 
@@ -224,8 +225,18 @@ def vectors_of(rows: pa.Table | pa.RecordBatch) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1) if rows.num_rows else np.zeros((0, 0))
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, their largest component between a half and one: cosines stay, and no norm leaves the range of numbers."""
+    if not v.size:
+        return v
+    # in two steps, as the least numbers are further from one than a power of two can go
+    down = -np.frexp(np.abs(v).max(1, keepdims=True))[1]
+    return np.ldexp(np.ldexp(v, down // 2), down - down // 2)
+
+
 def cosines(v: np.ndarray) -> np.ndarray:
     """All cosines of rows in double precision."""
+    v = scaled(v)
     norm = np.sqrt((v * v).sum(1))
     return (v @ v.T) / (norm[:, None] * norm[None, :])
 
