@@ -377,7 +377,7 @@ def test_viterbi_and_skipping():
         paths = np.stack(np.meshgrid(*[range(5)] * n, indexing="ij"), -1).reshape(-1, n)
         score = e[0, np.arange(n), paths].sum(1) + t[paths[:, :-1], paths[:, 1:]].sum(1)
         assert pii.viterbi(e, np.array([n]), t)[0].tolist() == paths[score.argmax()].tolist()
-    held = [(toks, y) for toks, y in pii.labelled()]
+    held = pii.labelled()
     wrong = sum((pii.tagged(" ".join(toks).encode(), (w, t))[2] != np.array(y)).sum() for toks, y in held)
     assert wrong <= 0.01 * sum(len(y) for _, y in held)
 
