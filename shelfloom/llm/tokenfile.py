@@ -9,6 +9,7 @@ files whose range can hold the documents asked for from the manifest, fetches th
 frames wanted, neighbours together, and checks each by its checksum. Frames are made where texts are read, so only compressed
 ids are shuffled; the files of a lost executor are written again under a new name and moved into place. More data make more
 files, not larger ones: ranges are of (doc_id, a hash of the text), so that many rows of one doc_id, or without one, are split.
+There are at most MOST_RANGES ranges, so their bounds stay small at any size; a task cuts its range into as many files as it needs.
 """
 
 from __future__ import annotations
@@ -34,17 +35,19 @@ NULL_ID, NARROW = 1, 2
 MANIFEST = "shard int, file string, n_docs long, n_ids long, first_id long, last_id long"
 
 
+#: Ranges that rows are dealt to, at most; files of a range, at most.
+MOST_RANGES, MOST_FILES = 4096, 1 << 18
 #: Bytes that one read takes together, at most, unless a single frame is longer.
 READ = 8 << 20
 
 
 def bounds_of(docs: DataFrame, shards: int) -> np.ndarray:
-    """Least (doc_id, hash) of each shard but the first, in order: rows of (is there a doc_id, doc_id, hash)."""
+    """Least (doc_id, hash) of each range but the first, in order: rows of (is there a doc_id, doc_id, hash)."""
     if shards < 2:
         return np.zeros((0, 3), np.int64)
     keys = docs.select(F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("doc_id").isNotNull().cast("long").alias("there"), "h")
     parts = keys.repartitionByRange(shards, "there", "d", "h").select(F.spark_partition_id().alias("part"), F.struct("there", "d", "h").alias("k"))
-    least = parts.groupBy("part").agg(F.min("k").alias("k")).orderBy("k").select("k.*").toPandas()  # a row for each file
+    least = parts.groupBy("part").agg(F.min("k").alias("k")).orderBy("k").select("k.*").toPandas()  # a row for each range
     return least.to_numpy(np.int64)[1:]
 
 
@@ -60,7 +63,7 @@ def shards_of(doc_ids: list[int | None], hashes: np.ndarray, bounds: np.ndarray)
 
 
 def token_frames(docs: DataFrame, tokenizer: str, kind: str, end_id: int, bounds: np.ndarray, level: int = 1) -> DataFrame:
-    """A row for each row of docs (doc_id, h, text): shard, doc_id, h, n_ids, crc32, flags, frame. A null text is empty."""
+    """A row for each row of docs (doc_id, h, text): shard (number of the range), doc_id, h, chars, n_ids, crc32, flags, frame. A null text is empty."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -69,51 +72,56 @@ def token_frames(docs: DataFrame, tokenizer: str, kind: str, end_id: int, bounds
         for batch in batches:
             docs_, texts, hashes = column(batch, "doc_id"), [t or "" for t in column(batch, "text")], np.array(column(batch, "h"), np.int64)
             rows = []
-            for d, h, shard, ids in zip(docs_, hashes.tolist(), shards_of(docs_, hashes, bounds).tolist(), enc.ids(texts), strict=True):
+            for d, h, text, shard, ids in zip(docs_, hashes.tolist(), texts, shards_of(docs_, hashes, bounds).tolist(), enc.ids(texts), strict=True):
                 ids = np.append(ids, np.uint32(end_id))
                 narrow = int(ids.max()) < 1 << 16
-                rows.append((shard, d, h, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), NARROW * narrow + NULL_ID * (d is None), pack.compress(ids.astype("<u2" if narrow else "<u4").tobytes())))
+                rows.append((shard, d, h, len(text), len(ids), zlib.crc32(ids.astype("<u4").tobytes()), NARROW * narrow + NULL_ID * (d is None), pack.compress(ids.astype("<u2" if narrow else "<u4").tobytes())))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["shard", "doc_id", "h", "n_ids", "crc32", "flags", "frame"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["shard", "doc_id", "h", "chars", "n_ids", "crc32", "flags", "frame"])
 
-    return docs.mapInArrow(encode, "shard int, doc_id long, h long, n_ids long, crc32 long, flags int, frame binary")
+    return docs.mapInArrow(encode, "shard int, doc_id long, h long, chars long, n_ids long, crc32 long, flags int, frame binary")
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id: int = 1, shard_chars: int = 32 << 20) -> DataFrame:
     """Write docs (doc_id, text) to path and return the manifest (shard, file, n_docs, n_ids, first_id, last_id), which is saved beside the files.
 
     Ids are those of the tokenizers library without special tokens, then end_id. Documents lie in ascending order of doc_id
-    (null first; equal ids by a hash of the text), null texts as empty ones. A file holds about shard_chars characters, more
-    only where copies of one row do. Other columns are ignored; an empty table gives an empty manifest.
+    (null first; equal ids by a hash of the text), null texts as empty ones. A file holds about shard_chars characters, and
+    half as many more at the most, or one document. Other columns are ignored; an empty table gives an empty manifest.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.xxhash64("text"))
     size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    shards = max(1, -(-size // shard_chars))
-    frames = token_frames(rows, tokenizer, kind, end_id, bounds_of(rows, shards))
+    ranges = max(1, min(MOST_RANGES, -(-size // shard_chars)))
+    frames = token_frames(rows, tokenizer, kind, end_id, bounds_of(rows, ranges))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(path)
-        done, sink, shard = [], None, None
+        done, sink, range_, number = [], None, None, 0
 
         def close() -> None:
+            shard = range_ * MOST_FILES + number
             index = np.array(entries, ENTRY).tobytes()
             sink.write(index + struct.pack(TRAILER, MAGIC, VERSION, len(entries), len(index), zlib.crc32(index)))
             sink.close()
-            name = f"shard-{shard:07d}.ztok"
+            name = f"shard-{shard:010d}.ztok"
             store.move(draft, f"{root}/{name}")
             known = [e[0] for e in entries if not e[5] & NULL_ID]
             done.append((shard, name, len(entries), sum(e[3] for e in entries), known[0] if known else None, known[-1] if known else None))
 
         for batch in batches:
-            for s, d, n, crc, flags, frame in zip(*(column(batch, c) for c in ("shard", "doc_id", "n_ids", "crc32", "flags", "frame")), strict=True):
-                if s != shard:
+            for s, d, chars, n, crc, flags, frame in zip(*(column(batch, c) for c in ("shard", "doc_id", "chars", "n_ids", "crc32", "flags", "frame")), strict=True):
+                if s != range_ or (entries and held + chars > 1.5 * shard_chars):
                     if sink:
                         close()
                     store.create_dir(root, recursive=True)
-                    draft, shard, entries, at = f"{root}/.draft-{uuid.uuid4().hex}", s, [], 0
+                    number = number + 1 if s == range_ else 0
+                    if number >= MOST_FILES:
+                        raise ValueError(f"a range needs over {MOST_FILES} files; raise shard_chars")
+                    draft, range_, entries, at, held = f"{root}/.draft-{uuid.uuid4().hex}", s, [], 0, 0
                     sink = store.open_output_stream(draft)
+                held += chars
                 sink.write(frame)
                 entries.append((d or 0, at, len(frame), n, crc, flags))
                 at += len(frame)
@@ -121,7 +129,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, kind: str, end
             close()
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.int32(), pa.string(), *[pa.int64()] * 4), strict=True)], names=["shard", "file", "n_docs", "n_ids", "first_id", "last_id"])
 
-    own = frames.repartitionById(int(shards), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "h", "n_ids", "crc32")
+    own = frames.repartitionById(int(ranges), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "h", "n_ids", "crc32")
     manifest = own.drop("h").mapInArrow(write, MANIFEST)
     manifest.write.parquet(f"{path}/manifest")
     return docs.sparkSession.read.schema(manifest.schema).parquet(f"{path}/manifest")
