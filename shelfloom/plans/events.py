@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators.scans import scanned
 from ..streaming import events as ev
-from .registry import half_up, query, t
+from ..session import fresh_dir
+from .registry import QUERIES, half_up, query, t
 
 
 @query("select user_id, event_id from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) <= 5")
@@ -127,3 +128,36 @@ def o20_log_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.concat(F.coalesce(F.get_json_object("props", "$.k"), F.col("event_id").cast("string")), F.lit("|"), F.col("event_type"))
     m = t(spark, sf_dir, "events").groupBy(key.alias("key")).agg(F.max("ts").alias("ts"), F.max("event_id").alias("event_id"), F.count("*").alias("merged"))
     return m.orderBy(F.desc("ts"), "key").limit(100).select("key", "event_id", "merged")
+
+
+def streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files, in the batches in which they are found."""
+    return spark.readStream.schema(t(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parquet*")
+
+
+def run_to_end(stream: DataFrame, sink, spark: SparkSession) -> None:
+    stream.writeStream.outputMode("update").option("checkpointLocation", fresh_dir(spark, "stream")).trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
+
+
+@query("select user_id, event_type, count(*) as n, cast(sum(cast(value as decimal(18,6))) as double) as total from events group by 1, 2")
+def b03_stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums by user and type kept by a stream: a batch that is replayed replaces its own sums."""
+    sink = ev.RollupSink(fresh_dir(spark, "rollup"), ["user_id", "event_type"], {"n": F.lit(1), "total": F.col("value").cast("decimal(18,6)")})
+    run_to_end(streamed(spark, sf_dir, "events"), sink, spark)
+    sink.compact(spark)
+    return sink.table(spark).withColumn("total", F.col("total").cast("double"))
+
+
+@query(QUERIES["o12_circuit_breaker"][1])
+def o12_breaker_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The breakers' states after a stream of the events has been read to its end, from state with timers."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before, path = spark.conf.get(name), fresh_dir(spark, "states")
+    ev.with_rocksdb(spark)
+    try:
+        e = streamed(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("site"), "ts", "event_id", (F.col("event_type") != "error").alias("ok"))
+        run_to_end(ev.circuit_breaker(e, idle_s=3650 * 86400), lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}"), spark)
+    finally:
+        spark.conf.set(name, before)
+    last = spark.read.parquet(path).groupBy("site").agg(F.max_by(F.struct("state", "failures", "opened_at"), "batch").alias("x"))
+    return last.select("site", "x.state", "x.failures", F.date_format("x.opened_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("opened_at"))

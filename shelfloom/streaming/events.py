@@ -6,9 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..session import saved
 
@@ -78,18 +78,93 @@ def breaker_step(state: str, failures: int, opened, ok: bool, at, threshold: int
     return state, failures, opened
 
 
-def circuit_breaker(stream: DataFrame, threshold: int = 3, cool_s: float = 3600) -> DataFrame:
-    """State of each site's breaker after each batch. stream: site, ts, event_id, ok; events of a batch are taken in (ts, event_id) order."""
+class BreakerOfSite(StatefulProcessor):
+    """A site's breaker as state with a timer: sites that stay idle give their state back."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, failures, opened = state.get if state.exists else ("closed", 0, None)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for at, ok in zip(rows.ts, rows.ok, strict=True):
-            now, failures, opened = breaker_step(now, failures, opened, bool(ok), at, threshold, cool_s)
-        state.update((now, failures, opened))
-        yield pd.DataFrame({"site": [key[0]], "state": [now], "failures": [failures], "opened_at": [opened]}).astype({"opened_at": "datetime64[ns]"})
+    def __init__(self, threshold: int, cool_s: float, idle_s: float) -> None:
+        self.threshold, self.cool_s, self.idle_s = threshold, cool_s, idle_s
 
-    return stream.groupBy("site").applyInPandasWithState(step, BREAKER, "state string, failures int, opened_at timestamp", "update", GroupStateTimeout.NoTimeout)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.own = handle.getValueState("breaker", "state string, failures int, opened_us long, last_us long")
+
+    def row(self, site: int, state: str, failures: int, opened: int, last: int) -> pd.DataFrame:
+        at = lambda us: pd.Series([None if us < 0 else pd.Timestamp(us, unit="us")], dtype="datetime64[ns]")
+        return pd.DataFrame({"site": [site], "state": [state], "failures": np.array([failures], np.int32), "opened_at": at(opened), "last_at": at(last)})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        state, failures, opened, last = self.own.get() if self.own.exists() else ("closed", 0, -1, -1)
+        opened_at = None if opened < 0 else pd.Timestamp(opened, unit="us")
+        events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        for at, ok in zip(events.ts, events.ok, strict=True):
+            state, failures, opened_at = breaker_step(state, failures, opened_at, bool(ok), at, self.threshold, self.cool_s)
+        us = lambda t: -1 if t is None else int(t.value // 1000)
+        last = max(last, us(pd.Timestamp(events.ts.max())))
+        self.own.update((state, int(failures), us(opened_at), last))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int(last // 1000 + self.idle_s * 1000))
+        yield self.row(key[0], state, failures, us(opened_at), last)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        _, _, _, last = self.own.get()
+        self.own.clear()
+        yield self.row(key[0], "idle", 0, -1, last)
+
+    def close(self) -> None:
+        pass
+
+
+def circuit_breaker(stream: DataFrame, threshold: int = 3, cool_s: float = 3600, late: str = "1 hour", idle_s: float = 7 * 86400) -> DataFrame:
+    """site, state, failures, opened_at, last_at of each site's breaker after each batch. stream: site, ts, event_id, ok.
+
+    Events of a batch are taken in (ts, event_id) order, batches in turn: an event that comes a batch late, but within `late`,
+    counts as if it came after the others; later ones are dropped by the watermark. A site without events for idle_s of event
+    time is told once as idle and forgotten, so state is bounded by the sites of that time. Needs the RocksDB state store.
+    """
+    own = timed(stream).withWatermark("ts", late).groupBy("site")
+    return own.transformWithStateInPandas(BreakerOfSite(threshold, cool_s, idle_s), "site long, state string, failures int, opened_at timestamp, last_at timestamp", "update", "eventtime")
+
+
+def with_rocksdb(spark: SparkSession) -> None:
+    """The state store that timers need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class RollupSink:
+    """Sums by key of a stream, in files: each batch's sums lie in a folder of its own number, so a batch that is replayed after a failure replaces what it wrote before.
+
+    path is in a shared or remote folder. sums: name of the sum: column or expression. A batch is one aggregation and one
+    write; `compact` brings the folders of many batches together.
+    """
+
+    def __init__(self, path: str, keys: list[str], sums: dict[str, Column]) -> None:
+        self.path, self.keys, self.sums = path, keys, sums
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        part = batch.groupBy(*self.keys).agg(*(F.sum(v).alias(c) for c, v in self.sums.items()))
+        part.write.mode("overwrite").parquet(f"{self.path}/batches/batch={number}")
+
+    def _folders(self, spark: SparkSession, kind: str) -> list[int]:
+        """Numbers of the folders of a kind that were written to the end."""
+        root = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
+        store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in store.listStatus(root) if store.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))] if store.exists(root) else []
+        return sorted(int(n.split("=")[1]) for n in names)
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """keys and sums over all batches: the last compacted state and the batches after it."""
+        upto = max(self._folders(spark, "states"), default=-1)
+        paths = [f"{self.path}/batches/batch={n}" for n in self._folders(spark, "batches") if n > upto] + [f"{self.path}/states/upto={upto}"] * (upto >= 0)
+        if not paths:
+            raise ValueError(f"{self.path}: nothing was written yet")
+        return spark.read.parquet(*paths).groupBy(*self.keys).agg(*(F.sum(c).alias(c) for c in self.sums))
+
+    def compact(self, spark: SparkSession) -> None:
+        """Writes the state of all batches so far. Batches that it holds are passed over from then on, even if they stay."""
+        done = self._folders(spark, "batches")
+        if done:
+            self.table(spark).write.mode("overwrite").parquet(f"{self.path}/states/upto={done[-1]}")
 
 
 def breaker_replay(events: DataFrame, threshold: int = 3, cool_s: float = 3600) -> DataFrame:

@@ -140,6 +140,7 @@ def plain_breaker(rows, threshold, cool):
 
 
 def test_breaker_batch_and_stream(spark, tmp_path):
+    ev.with_rocksdb(spark)
     rng = np.random.default_rng(3)
     start = datetime(2024, 1, 1)
     rows = [(int(rng.integers(3)), start + timedelta(minutes=10 * i), i, bool(rng.random() < 0.5)) for i in range(200)]
