@@ -204,18 +204,35 @@ def m07_brand_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "part").select("p_partkey", brand_prefix(F.concat(lead, "p_name"), F.col("p_name")).alias("brand"))
 
 
-def source_class(tier: Column, path: Column, host: Column, identified: Column, variant: Column, overlap: Column, wanted: Column) -> Column:
-    """Class of a search result: its tier, and how surely it is the product's page.
+#: Classes of search results: the first row whose tier is the result's, whose signals it all shows and whose bars it shows none of.
+SOURCE_CLASSES = (
+    ("official_root", "official", ("root",), ()),
+    ("official_family", "official", ("line", "related"), ()),
+    ("official_exact", "official", ("certain",), ("line",)),
+    ("official_generic", "official", (), ()),
+    ("major_retailer_exact", "major_retailer", ("related",), ("listing",)),
+    ("major_retailer", "major_retailer", (), ()),
+    ("secondary_retailer_exact", "secondary_retailer", ("related",), ("listing",)),
+    ("secondary_retailer", "secondary_retailer", (), ()),
+    ("marketplace_exact", "marketplace", ("identified",), ()),
+    ("marketplace", "marketplace", (), ()),
+)
+
+
+def signals(path: Column, host: Column, identified: Column, variant: Column, overlap: Column, wanted: Column) -> Column:
+    """What a search result shows: kinds of its path; identified (names the sku); related (or a variant's size, or a wanted word); certain (or all of the wanted words).
 
-    identified: it names the sku; variant: a variant's size agrees; overlap: number of the wanted words it has; wanted: number
-    of the name's words beside the brand's. Listings of shops are never exact.
+    overlap: how many of the wanted words it has; wanted: how many there are.
     """
-    family = se.product_line(path, host)
-    full = F.when(wanted > 0, overlap == wanted).otherwise(overlap > 0)
-    official = F.when(F.size(se.segments(path)) == 0, "official_root").when(family, F.when(identified | variant | (overlap > 0), "official_family").otherwise("official_generic")).when(identified | variant | full, "official_exact").otherwise("official_generic")
-    exact = ~se.category_like(path) & (identified | variant | (overlap > 0))
-    shop = lambda name: F.when(exact, f"{name}_exact").otherwise(name)
-    return F.when(tier == "official", official).when(tier == "major_retailer", shop("major_retailer")).when(tier == "secondary_retailer", shop("secondary_retailer")).when(tier == "marketplace", F.when(identified, "marketplace_exact").otherwise("marketplace")).otherwise("unknown")
+    told = {"identified": identified, "related": identified | variant | (overlap > 0), "certain": identified | variant | F.when(wanted > 0, overlap == wanted).otherwise(overlap > 0)}
+    return F.concat(se.path_kinds(path, host), F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in told.items()))))
+
+
+def source_class(tier: Column, shown: Column) -> Column:
+    """Class of a search result by SOURCE_CLASSES; unknown outside of the tiers."""
+    words = lambda v: F.array(*map(F.lit, v)).cast("array<string>")
+    has = lambda needs: F.size(F.array_intersect(words(needs), shown)) == len(needs)
+    return F.coalesce(*(F.when((tier == of) & has(needs) & ~F.arrays_overlap(shown, words(bars)), name) for name, of, needs, bars in SOURCE_CLASSES), F.lit("unknown"))
 
 
 _OVERLAP_SQL = "len(list_filter(['dog', 'bulk'], lambda w: list_contains(regexp_extract_all(path, '[a-z0-9]+'), w)))"
@@ -230,7 +247,7 @@ def m11_source_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     overlap = F.size(F.array_intersect(F.array(F.lit("dog"), F.lit("bulk")), words))
     path, host = F.col("path"), F.col("host")
     own = se.results(spark, sf_dir).withColumn("tier", se.tier(host, F.lit("Acme")))
-    return own.select("page_id", source_class(F.col("tier"), path, host, F.contains(path, F.lit("pea")), F.lit(False), overlap, F.lit(2)).alias("class"))
+    return own.select("page_id", source_class(F.col("tier"), signals(path, host, F.contains(path, F.lit("pea")), F.lit(False), overlap, F.lit(2))).alias("class"))
 
 
 def selected(candidates: DataFrame, picks: DataFrame, keys: list[str], candidate: str, *order: Column | str) -> DataFrame:
@@ -272,32 +289,61 @@ def n04_page_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pg.products(own, wanted).select("page_id", "name", "brand", F.array_join("images", " ").alias("images"), "score", "confidence")
 
 
+#: Ways of reading a field from text, tried in order: field, way, most characters, pattern of the value. "whole" takes the digits of a text that is little but its value; "only" takes a value that is the only one, however often it occurs.
+READINGS = (
+    ("upc", "whole", 24, r"^([^0-9]*[0-9]){8,14}[^0-9]*$"),
+    ("upc", "labelled", None, r"(?i)\b(?:UPC|EA)[#:\sA-Z-]{0,20}([0-9]{8,14})\b"),
+    ("upc", "only", None, r"\b([0-9]{8,14})\b"),
+    ("rating", "first", None, r"([0-9]+(?:\.[0-9]+)?)"),
+    ("reviews", "first", None, r"([0-9][0-9,]*)"),
+)
+
+
+def reading(text: Column, field: str) -> Column:
+    """struct<value, way> of the first way that reads a field from a text, else null."""
+    out = []
+    for _, way, most, pattern in (r for r in READINGS if r[0] == field):
+        if way == "whole":
+            value = F.when(text.rlike(pattern), F.regexp_replace(text, "[^0-9]", ""))
+        elif way == "only":
+            every = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
+            value = F.when(F.size(every) == 1, F.get(every, F.lit(0)))
+        else:
+            value = F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+        value = value if most is None else F.when(F.length(text) <= most, value)
+        out.append(F.when(value.isNotNull(), F.struct(value.alias("value"), F.lit(way).alias("way"))))
+    return F.coalesce(*out)
+
+
 def sanitized(title: Column, upc: Column, rating: Column, reviews: Column) -> tuple[Column, Column]:
-    """Fields of a payload (struct) and the warnings of what was changed or thrown away (array)."""
-    digits, labelled = F.regexp_replace(upc, r"\D", ""), F.regexp_extract(upc, r"(?i)(?:UPC|EA)[#:\sA-Z-]{0,20}(\d{8,14})\b", 1)
-    direct = (F.length(upc) <= 24) & F.length(digits).between(8, 14)
-    code = F.when(direct, digits).when(labelled != "", labelled)
-    stars, count = F.regexp_extract(rating, r"(\d+(?:\.\d+)?)", 1), F.regexp_extract(reviews, r"(\d[\d,]*)", 1)
-    value = stars.try_cast("double")
-    name = x.collapsed(title)
-    fields = F.struct(F.when(F.length(name) <= 300, F.nullif(name, F.lit(""))).alias("title"), code.alias("upc"), F.when(value.between(0, 5), value).alias("rating"), F.replace(count, F.lit(","), F.lit("")).try_cast("int").alias("reviews"))
-    told = (
-        F.when(~direct & (labelled != ""), "Normalized upc from noisy extracted text").when(code.isNull() & (F.trim(upc) != ""), "Discarded suspicious upc value"),
-        F.when((stars == "") & (F.trim(rating) != ""), "Discarded unparseable rating value").when(value > 5, "Discarded out-of-range rating value").when(rating != stars, "Normalized rating from formatted text"),
-        F.when((count == "") & (F.trim(reviews) != ""), "Discarded unparseable reviews_count value").when(reviews != count, "Normalized reviews_count from formatted text"),
-    )
-    return fields, F.array_compact(F.array(*told))
-
-
-@query("""select p_partkey, p_name as title, case p_partkey % 3 when 0 then lpad(cast(p_partkey as varchar), 12, '0') when 1 then lpad(cast(p_partkey as varchar), 12, '0') end as upc, case when p_size <= 5 then cast(p_size as double) end as rating, p_size * 1000 as reviews,
-array_to_string(list_filter([case p_partkey % 3 when 1 then 'Normalized upc from noisy extracted text' when 2 then 'Discarded suspicious upc value' end, case when p_size > 5 then 'Discarded out-of-range rating value' else 'Normalized rating from formatted text' end, 'Normalized reviews_count from formatted text'], lambda s: s is not null), '; ') as warnings from part""")
+    """Fields of a payload (struct) and what was done to them (array of notes: field and read, dropped or range).
+
+    A title over 300 characters and a rating above 5 are dropped; a field that no way reads is dropped if it held anything.
+    """
+    name, given = x.collapsed(title), {"upc": upc, "rating": rating, "reviews": reviews}
+    own = {f: reading(text, f) for f, text in given.items()}
+    stars = own["rating"]["value"].try_cast("double")
+    notes = []
+    for f, r in own.items():
+        beyond = stars > 5 if f == "rating" else F.lit(False)
+        notes.append(F.when(r.isNull(), F.when(F.trim(given[f]) != "", F.lit(f"{f} dropped"))).when(beyond, F.lit(f"{f} range")).when((r["way"] != "whole") & (r["value"] != given[f]), F.lit(f"{f} read")))
+    fields = F.struct(F.when(F.length(name) <= 300, F.nullif(name, F.lit(""))).alias("title"), own["upc"]["value"].alias("upc"), F.when(stars <= 5, stars).alias("rating"), F.replace(own["reviews"]["value"], F.lit(","), F.lit("")).try_cast("int").alias("reviews"))
+    return fields, F.array_compact(F.array(*notes))
+
+
+@query(r"""with d as (select doc_id, text, trim(regexp_replace(split_part(text, chr(10), 1), '\s+', ' ', 'g')) as name, regexp_replace(text, '[^0-9]', '', 'g') as digits, regexp_extract(text, '(?i)\b(?:UPC|EA)[#:\sA-Z-]{0,20}([0-9]{8,14})\b', 1) as labelled, list_distinct(regexp_extract_all(text, '\b([0-9]{8,14})\b', 1)) as codes,
+regexp_extract(text, '([0-9]+(?:\.[0-9]+)?)', 1) as stars, regexp_extract(text, '([0-9][0-9,]*)', 1) as counted from (select doc_id, coalesce(text, '') as text from documents)),
+u as (select *, case when length(text) <= 24 and length(digits) between 8 and 14 then 'whole' when labelled <> '' then 'labelled' when len(codes) = 1 then 'only' end as way, try_cast(nullif(stars, '') as double) as rated from d)
+select doc_id, case when length(name) <= 300 then nullif(name, '') end as title, case way when 'whole' then digits when 'labelled' then labelled when 'only' then codes[1] end as upc, case when rated <= 5 then rated end as rating, try_cast(replace(nullif(counted, ''), ',', '') as int) as reviews,
+array_to_string(list_filter([case when way is null and trim(text) <> '' then 'upc dropped' when way in ('labelled', 'only') and text <> case way when 'labelled' then labelled else codes[1] end then 'upc read' end,
+case when stars = '' then case when trim(text) <> '' then 'rating dropped' end when rated > 5 then 'rating range' when stars <> text then 'rating read' end,
+case when counted = '' then case when trim(text) <> '' then 'reviews dropped' end when counted <> text then 'reviews read' end], lambda s: s is not null), '; ') as notes from u""")
 def c19_sanitized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code, kind = F.lpad(F.col("p_partkey").cast("string"), 12, "0"), F.col("p_partkey") % 3
-    upc = F.when(kind == 0, code).when(kind == 1, F.concat(F.lit("see the box for the UPC#: BAG: "), code, F.lit(" and more"))).otherwise("none at all")
-    n = F.col("p_size").cast("string")
-    fields, warnings = sanitized(F.concat(F.lit(" "), "p_name", F.lit(" ")), upc, F.concat(n, F.lit(" out of 5")), F.concat(F.lit("("), n, F.lit(",000 reviews)")))
-    own = t(spark, sf_dir, "part").select("p_partkey", fields.alias("f"), warnings.alias("w"))
-    return own.select("p_partkey", "f.title", "f.upc", "f.rating", "f.reviews", F.array_join("w", "; ").alias("warnings"))
+    """Every document as if it were a payload's fields: its first line a title, its whole text a code, a rating and a number of reviews."""
+    text = F.coalesce("text", F.lit(""))
+    fields, notes = sanitized(F.substring_index(text, "\n", 1), text, text, text)
+    own = t(spark, sf_dir, "documents").select("doc_id", fields.alias("f"), notes.alias("w"))
+    return own.select("doc_id", "f.title", "f.upc", "f.rating", "f.reviews", F.array_join("w", "; ").alias("notes"))
 
 
 @query("select p_partkey, p_retailprice as price, p_size as quantity, 0.0::double as weight from part")
