@@ -1,4 +1,4 @@
-"""Supplier feeds brought to one product shape: CSV, fixed width, JSON pages, XML, register rows, workbooks."""
+"""Supplier feeds brought to one product shape: CSV, fixed width, JSON pages, XML, register rows."""
 
 from __future__ import annotations
 
