@@ -66,17 +66,6 @@ def m18_dominant_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.first_by(d.where("n >= 6"), ["cohort"], F.desc("n"), "domain")
 
 
-@query("""select p_partkey, round((case when p_size > 25 then 5 else 0 end + case when contains(lower(p_name), 'a') then 3 else 0 end + least(4, len(string_split(p_name, ' '))) - case when p_retailprice > 1500 then 2 else 0 end)::double, 2) as score, row_number() over (partition by p_brand order by (case when p_size > 25 then 5 else 0 end + case when contains(lower(p_name), 'a') then 3 else 0 end + least(4, len(string_split(p_name, ' '))) - case when p_retailprice > 1500 then 2 else 0 end) desc, p_partkey) as rank from part""")
-def m12_additive_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A score of named terms, ranked within a brand with the key as the tie-break."""
-    terms = {
-        "size": F.when(F.col("p_size") > 25, 5).otherwise(0), "name": F.when(F.contains(F.lower("p_name"), F.lit("a")), 3).otherwise(0),
-        "words": F.least(F.lit(4), F.size(F.split("p_name", " "))), "price": F.when(F.col("p_retailprice") > 1500, -2).otherwise(0),
-    }
-    s = t(spark, sf_dir, "part").withColumn("score", sum(terms.values(), F.lit(0)).cast("double"))
-    return s.select("p_partkey", "score", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("score"), "p_partkey")).cast("long").alias("rank"))
-
-
 @query("""with c as (select p_partkey, left(lpad(cast(p_partkey * 7919 as varchar), 12, '0'), 6) as prefix from part), n as (select *, count(*) over (partition by prefix) as size, row_number() over (partition by prefix order by p_partkey) as r from c)
 select p_partkey, case when size < 2 then null else prefix || '::' || cast((r + 4) // 5 as varchar) end as cohort from n""")
 def m22_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,14 +141,6 @@ def m14_success_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("user_id", (rate > 0.8).alias("trusted"), F.when(rate > 0.8, 3.0).when(rate < 0.3, -3.0).otherwise(0.0).alias("bonus"))
 
 
-@query(f"""with {RESULTS_SQL}, r as (select page_id, host, case when contains(host, 'acme.') then 3.0 else 0.0 end + case when path like '/p%' then 1.0 else 0.0 end as score from results)
-select host, page_id, score from r qualify row_number() over (partition by host order by score desc, page_id) = 1""")
-def m13_ranked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best candidate of each host by score, ties in the order of the input."""
-    score = F.when(F.contains(F.col("host"), F.lit("acme.")), 3.0).otherwise(0.0) + F.when(F.col("path").startswith("/p"), 1.0).otherwise(0.0)
-    return op.first_by(results(spark, sf_dir).select("host", "page_id", score.alias("score")), ["host"], F.desc("score"), "page_id")
-
-
 def weight_in_pounds(v: Column) -> Column:
     """The first number of a text with its unit, in pounds with two decimals (pounds without a unit); a text without a number stays."""
     p = r"(?i)(\d+(?:\.\d+)?)\s*(lbs|lb|oz|kg|g)?"
