@@ -23,7 +23,7 @@ def linked_data(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
     blocks = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(_BLOCK), F.lit(1))).alias("block", "raw")).select(key, "block", F.try_parse_json(F.trim("raw")).alias("v"))
     tops = blocks.select(key, "block", F.posexplode(F.coalesce(listed(F.col("v"), "$"), F.array("v"))).alias("top", "v"))
     nodes = tops.select(key, "block", "top", F.posexplode(F.coalesce(listed(F.col("v"), '$["@graph"]'), F.array("v"))).alias("n", "node"))
-    return nodes.where("node is not null").select(key, (F.col("block") * 1_000_000 + F.col("top") * 1000 + F.col("n")).alias("ordinal"), "node")
+    return nodes.where("node is not null").select(key, F.struct("block", "top", "n").alias("ordinal"), "node")
 
 
 def text_at(path: str, node: str = "node") -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import saved
 
@@ -79,12 +80,20 @@ def price_history(old: DataFrame, new: DataFrame, key: str, price: str) -> DataF
 
 
 def merged_sources(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Map columns `sources` of both sides merged by key; the new side's entries win."""
+    """Map columns `sources` of both sides merged by key; the new side's entries win. Entries that are maps themselves are merged field by field."""
+    kind = old.schema["sources"].dataType
     both = old.select(key, F.col("sources").alias("__a")).join(new.select(key, F.col("sources").alias("__b")), key, "full_outer")
-    none = F.create_map().cast(old.schema["sources"].dataType)
-    a, b = F.coalesce("__a", none), F.coalesce("__b", none)
-    kept = F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k))
-    return both.select(key, F.map_concat(kept, b).alias("sources"))
+    none = F.create_map().cast(kind)
+
+    def merged(a: Column, b: Column) -> Column:
+        return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
+
+    def entries(a: Column, b: Column) -> Column:
+        empty = F.create_map().cast(kind.valueType)
+        return F.map_zip_with(a, b, lambda _, x, y: F.when(x.isNull(), y).when(y.isNull(), x).otherwise(merged(F.coalesce(x, empty), F.coalesce(y, empty))))
+
+    merge = entries if isinstance(kind.valueType, T.MapType) else merged
+    return both.select(key, merge(F.coalesce("__a", none), F.coalesce("__b", none)).alias("sources"))
 
 
 def balanced_slices(df: DataFrame, size: int, *order: Column | str) -> DataFrame:

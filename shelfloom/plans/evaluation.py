@@ -86,9 +86,13 @@ def r19_weekly_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.join(b, ["week", "field"], "full_outer").select("week", "field", zero("current").alias("current"), zero("previous").alias("previous"), (zero("current") - zero("previous")).alias("change"))
 
 
-@query("select cast(ceil(power(1.959963984540054 * sqrt(2 * 0.525 * 0.475) + 0.8416212335729143 * sqrt(0.5 * 0.5 + 0.55 * 0.45), 2) / power(0.05, 2)) as bigint) as n")
+@query("""with b as (select event_type, count(*) * 1.0::double / (select count(*) from events) as p from events group by 1)
+select event_type, cast(ceil(power(1.959963984540054 * sqrt(2 * (p + 0.025) * (1 - (p + 0.025))) + 0.8416212335729143 * sqrt(p * (1 - p) + (p + 0.05) * (1 - (p + 0.05))), 2) / power(0.05, 2)) as bigint) as n from b""")
 def r22_sample_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1).select(st.sample_size(F.lit(0.5), F.lit(0.05)).alias("n"))
+    """Events to watch in each arm to see five points more on the rate of each type."""
+    c = t(spark, sf_dir, "events").groupBy("event_type").count()
+    rate = F.col("count") / F.sum("count").over(Window.partitionBy())  # over a row for each type
+    return c.withColumn("rate", rate).select("event_type", st.sample_size(F.col("rate"), F.lit(0.05)).alias("n"))
 
 
 @query("select event_type, case when r <= 0.2 then 'pass' when r <= 0.22 then 'warn' else 'fail' end as status from (select event_type, count(*) * 1.0 / (select count(*) from events) as r from events group by 1)")

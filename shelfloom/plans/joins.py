@@ -40,6 +40,24 @@ def b04_merge_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("sku", F.sort_array(F.map_keys("sources")).alias("names"), F.array_max(F.map_values("sources")).alias("newest"))
 
 
+@query("""with v as (select user_id as sku, event_type as source, json_extract_string(props, '$.k') as field, max_by(event_id, (ts >= timestamp '2024-01-15', event_id)) as value from events group by all), s as (select sku, source, string_agg(field || '=' || value, ',' order by field) as entry from v group by all)
+select sku, string_agg(source || ':' || entry, ';' order by source) as sources from s group by 1""")
+def l03_merged_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each source said before and after a day, merged field by field: a source's older fields stay where the newer entry lacks them."""
+    e, cut = t(spark, sf_dir, "events").withColumn("field", F.get_json_object("props", "$.k")), F.lit("2024-01-15").cast("timestamp")
+
+    def maps(d: DataFrame) -> DataFrame:
+        fields = d.groupBy(F.col("user_id").alias("sku"), "event_type", "field").agg(F.max("event_id").alias("v"))
+        entry = fields.groupBy("sku", "event_type").agg(F.map_from_entries(F.collect_list(F.struct("field", "v"))).alias("entry"))
+        return entry.groupBy("sku").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "entry"))).alias("sources"))
+
+    m = op.merged_sources(maps(e.where(F.col("ts") < cut)), maps(e.where(F.col("ts") >= cut)), "sku")
+    said = lambda entry: F.array_join(F.transform(F.array_sort(F.map_entries(entry)), lambda f: F.concat_ws("=", f["key"], f["value"].cast("string"))), ",")
+    # maps have no order of their own: entries are told by their names
+    names = F.array_sort(F.map_keys("sources"))
+    return m.select("sku", F.array_join(F.transform(names, lambda n: F.concat_ws(":", n, said(F.element_at("sources", n)))), ";").alias("sources"))
+
+
 @query("select o_orderkey as sku, true as known from orders join customer on c_custkey = o_custkey where c_acctbal >= 0")
 def b06_partial_persist(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sku"), F.col("o_custkey").alias("c"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as x
@@ -149,3 +149,54 @@ def n05_size_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat("p_name", F.lit(" "), "p_type", F.lit(", "), size, unit((key % 8).cast("int")), F.lit(" "), F.when(F.col("p_size") % 2 == 0, "net ").otherwise(""), F.col("p_retailprice").cast("string"), F.lit("  "), unit(F.col("p_size") % 8), F.expr("repeat(' x', p_size)"), F.lit(" box of "), size, F.lit(" "), unit((key % 7 + 1).cast("int")))
     own = t(spark, sf_dir, "part").select("p_partkey", size_metric(text).alias("s"))
     return own.select("p_partkey", "s.amount", "s.unit", "s.kind", "s.place")
+
+
+# -- addresses of variants -----------------------------------------------------------------------------------------------
+
+#: Points of a candidate for each word and measure in common with the product wanted, and for measures of another variant: fixed values.
+WORD_POINTS, MEASURE_POINTS, OTHER_POINTS = 5.0, 4.0, -8.0
+
+
+def variant_addresses(pages: DataFrame) -> DataFrame:
+    """page_id, rank, address, color, size, score of the variants that pages point to, best first.
+
+    pages: page_id, page (parsed), base (the page's address), expected (the name wanted). An element's data-url or value that
+    asks for a variation is a candidate; color and size are the values of its parameters whose names end so, or what the page
+    shows for a value (data-attr-value with aria-label "Select ..."). Equal addresses count once, the first; ties stay in order.
+    """
+    page = F.col("page")
+    variation = '[{0}*="Product-Variation"]'
+    raw = F.concat(*(mk.attributes_of(page, variation.format(a), a) for a in ("data-url", "value")))
+    shown = mk.bound(mk.numbered(page), lambda every: F.transform(mk.selected(every, "[data-attr-value][aria-label]"), lambda x: F.struct(F.try_element_at(x["e"]["attributes"], F.lit("data-attr-value")).alias("k"), F.regexp_extract(F.try_element_at(x["e"]["attributes"], F.lit("aria-label")), "^Select (.+)$", 1).alias("v"))))
+    labels = mk.bound(F.filter(shown, lambda s: s["v"] != ""), lambda s: F.map_from_entries(F.filter(s, lambda e, i: ~F.exists(F.slice(s, 1, i), lambda b: b["k"] == e["k"]))))
+    one = pages.select("page_id", "base", "expected", labels.alias("labels"), F.posexplode(F.array_distinct(raw)).alias("place", "raw"))
+    address = mk.absolute(F.col("raw"), F.col("base"))
+    pairs = F.transform(F.split(F.regexp_extract("address", r"\?([^#]*)", 1), "&"), lambda p: F.struct(F.lower(F.substring_index(p, "=", 1)).alias("k"), F.coalesce(F.try_url_decode(F.regexp_extract(p, "=(.*)$", 1)), F.lit("")).alias("v")))
+    value = lambda end: F.get(F.filter(F.col("pairs"), lambda p: p["k"].endswith(end) & (p["v"] != "")), F.lit(0))["v"]
+    own = one.withColumn("address", address).withColumn("pairs", pairs).withColumns({"color": value("_color"), "size": value("_size")}).where("color is not null or size is not null")
+    named = own.withColumns({c: F.coalesce(F.try_element_at("labels", F.col(c)), F.col(c)) for c in ("color", "size")}).withColumn("said", F.concat_ws(" ", "color", "size"))
+    named = named.withColumns({"words": x.keywords("said"), "wanted": x.keywords("expected"), "has": x.variant_tokens(F.col("said")), "asked": x.variant_tokens(F.col("expected"))})
+    common = lambda a, b: F.size(F.array_intersect(a, b))
+    score = WORD_POINTS * common("words", "wanted") + MEASURE_POINTS * common("has", "asked") + F.when(x.variants_conflict(F.col("asked"), F.col("has")), OTHER_POINTS).otherwise(0.0)
+    scored = named.withColumn("score", score)
+    first = scored.groupBy("page_id", "address").agg(F.min_by(F.struct("place", "color", "size", "score"), "place").alias("x")).select("page_id", "address", "x.*")
+    rank = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "place"))
+    return first.select("page_id", rank.alias("rank"), "address", "color", "size", "score")
+
+
+_KEYWORDS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: length(w) >= 3 and w not in (" + ", ".join(f"'{w}'" for w in x.STOP_WORDS) + ")))"
+
+
+@query(f"""with l as (select page_id, {_ROOT} as root, {_TITLE} as title, unnest({_LINKS}) as href, generate_subscripts({_LINKS}, 1) as n from pages),
+c as (select page_id, root || '/on/Product-Variation?pid=' || page_id || '&dwvar_' || page_id || '_color=' || href[2:] || '&dwvar_' || page_id || '_size=' || (length(href) % 3 + 1) || 'lb' as address, href[2:] as color, (length(href) % 3 + 1) || 'lb' as size, title, page_id % 3 + 1 as want, length(href) % 3 + 1 as has, n from l where href <> '/'),
+s as (select *, 5.0 * len(list_intersect({_KEYWORDS.format("color || ' ' || size")}, {_KEYWORDS.format("title || ' ' || want || ' lb'")})) + case when want = has then 4.0 else -8.0 end as score from c),
+f as (select page_id, address, color, size, score, min(n) as n from s group by all)
+select page_id, cast(row_number() over (partition by page_id order by score desc, n) as int) as rank, address, color, size, score from f""")
+def n09_variant_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' links, turned into buttons that ask for variants, against the pages' titles with a weight."""
+    html = F.regexp_replace("html", r'<a href="/([^"]+)">', '<button data-url="/on/Product-Variation?pid=#&amp;dwvar_#_color=$1&amp;dwvar_#_size=%$1%">')
+    sized = F.aggregate(F.regexp_extract_all(html, F.lit("%([^%]*)%\">"), F.lit(1)), html, lambda h, v: F.replace(h, F.concat(F.lit("%"), v, F.lit('%">')), F.concat(((F.length(v) + 1) % 3 + 1).cast("string"), F.lit('lb">'))))
+    key = F.col("page_id").cast("string")
+    own = mk.parsed(t(spark, sf_dir, "pages").select("page_id", "url", F.replace(sized, F.lit("#"), key).alias("html")))
+    title = F.coalesce(mk.first_text(F.col("page"), "title"), F.lit(""))
+    return variant_addresses(own.select("page_id", "page", F.col("url").alias("base"), F.concat(title, F.lit(" "), (F.col("page_id") % 3 + 1).cast("string"), F.lit(" lb")).alias("expected")))

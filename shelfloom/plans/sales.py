@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.tables import medians, ranked_globally
+from ..operators.tables import medians, ranked_globally, ranked_within
 from .registry import half_up, money, query, t
 
 DONE = ("F", "O")
@@ -299,6 +299,15 @@ def e48_floor_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("event_type").agg(F.max(F.when(F.col("r") == F.floor((F.col("n") - 1) * 0.95), F.col("value"))).alias("p95_floor"), F.max(F.when((F.col("n") >= 20) & (F.col("r") == F.floor(F.col("n") * 0.95)), F.col("value"))).alias("p95_index"))
 
 
+@query("""with r as (select event_type, value, row_number() over (partition by event_type order by value) - 1 as r, count(*) over (partition by event_type) as n from events where value is not null)
+select event_type, value as p95 from r where n >= 20 and r = cast(floor(n * 0.95) as bigint)""")
+def e49_rank_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The value at place floor(0.95 n) of each type's sorted values, from 20 values on; no task holds a whole type."""
+    ranked = ranked_within(t(spark, sf_dir, "events").where("value is not null").select("event_type", "value", "event_id"), "event_type", "value", "event_id")
+    n = ranked.groupBy("event_type").agg(F.count("*").alias("n")).where("n >= 20")
+    return ranked.join(n, "event_type").where(F.col("__rank") == F.floor(F.col("n") * 0.95)).select("event_type", F.col("value").alias("p95"))
+
+
 @query("select p_brand, floor(avg(p_retailprice) * 10000 + 0.5) / 10000 as mean, min(p_retailprice) as least, max(p_retailprice) as most, median(p_retailprice) as median, floor(stddev_samp(p_retailprice) * 10000 + 0.5) / 10000 as stdev from part group by 1")
 def e50_benchmark_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("p_retailprice")

@@ -285,7 +285,7 @@ def p07_format_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the median of distinct lengths with their numbers: the state of a group is its lengths, not its rows
     mid = d.groupBy("lang", "words").count().groupBy("lang").agg(F.expr("percentile(words, 0.5, count)").alias("mid"))
     g = mode.join(mid, mode["lang"].eqNullSafe(mid["lang"])).select(mode["lang"].alias("g"), "mode", "mid")
-    return d.join(F.broadcast(g), F.col("lang").eqNullSafe(F.col("g"))).select("doc_id", (F.col("structure") != F.col("mode")).alias("other_structure"), (F.abs(F.col("words") - F.col("mid")) > 0.5 * F.col("mid")).alias("off_median"))
+    return d.join(g, F.col("lang").eqNullSafe(F.col("g"))).select("doc_id", (F.col("structure") != F.col("mode")).alias("other_structure"), (F.abs(F.col("words") - F.col("mid")) > 0.5 * F.col("mid")).alias("off_median"))
 
 
 def paired(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
