@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import evaluation, events, exchange, extra, feeds, intake, joins, likeness, more, reading, registry, relevance, rules, sales, search, stores, text, traits, trials  # noqa: F401  register their queries
+from .plans import evaluation, events, exchange, extra, feeds, intake, joins, likeness, more, reading, registry, relevance, rules, sales, search, steps, stores, text, traits, trials  # noqa: F401  register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -264,3 +264,32 @@ def test_traits(spark):
     assert [tuple(r) for r in df.select(traits.traits(F.col("v"), traits.PET_TYPES), least, most).collect()] == [(["Dog"], None, 7), (["Cat"], 9, None), ([], None, None)]
     names = spark.createDataFrame([("Purina Pro Chow dog", "chow"), ("chow", "chow"), ("9 dog chow", "chow"), ("x 2 chow", "chow"), ("acme thing", None)], "c string, n string")
     assert [r[0] for r in names.select(traits.brand_prefix(F.col("c"), F.col("n"))).collect()] == ["Purina Pro", None, None, None, None]
+
+
+def test_readings_of_fields(spark):
+    from shelfloom.plans import traits
+
+    rows = [("0 12345-67890", "4.5", "12"), ("see UPC#: 123456789012 and 999999999999 there, a long text", "4.5 of 5", "(1,200 reviews)"), ("code 12345678 and once more 12345678, nothing else at all", "9", "x"), ("12345678 or 87654321, which of them", "", " "), (None, None, None)]
+    fields, notes = traits.sanitized(F.lit(" a  b "), F.col("u"), F.col("r"), F.col("n"))
+    got = spark.createDataFrame(rows, "u string, r string, n string").select(fields.alias("f"), notes.alias("notes")).collect()
+    assert [(g.f.upc, g.f.rating, g.f.reviews, g.notes) for g in got] == [
+        ("01234567890", 4.5, 12, []), ("123456789012", 4.5, 1200, ["upc read", "rating read", "reviews read"]), ("12345678", None, None, ["upc read", "rating range", "reviews dropped"]),
+        (None, None, None, ["upc dropped"]), (None, None, None, []),
+    ]
+
+
+def test_classes_of_results(spark):
+    from shelfloom.plans import search, traits
+
+    rows = [("/Products/Dog//Food/", "acme.com", "official", 1), ("/products/dog/food", "chewy.com", "major_retailer", 1), ("/collections/dog", "chewy.com", "major_retailer", 1), ("//", "acme.com", "official", 0), (None, "ebay.com", "marketplace", 0), ("/a/b/c/d", "acme.com", "official", 2), ("/c/x", "acme.com", "official", 0), ("/S", "x.com", "unknown", 3)]
+    df = spark.createDataFrame(rows, "path string, host string, tier string, overlap int")
+    shown = traits.signals(F.col("path"), F.col("host"), F.lit(False), F.lit(False), F.col("overlap"), F.lit(2))
+    got = df.select(search.path_kinds(F.col("path"), F.col("host")).alias("k"), traits.source_class(F.col("tier"), shown).alias("c")).collect()
+    assert [(r.k, r.c) for r in got] == [(["line"], "official_family"), ([], "major_retailer_exact"), (["listing"], "major_retailer"), (["root"], "official_root"), (["root"], "marketplace"), (["listing"], "official_exact"), ([], "official_generic"), (["listing"], "unknown")]
+
+
+def test_entries_of_sources_are_merged_field_by_field(spark):
+    a = spark.createDataFrame([(1, {"x": {"p": "1", "q": "1"}, "y": {"p": "2"}}), (2, {"x": {"p": "1"}}), (4, None)], "k int, sources map<string, map<string, string>>")
+    b = spark.createDataFrame([(1, {"x": {"q": "9", "r": None}, "z": {}}), (3, {"x": {"p": "3"}}), (4, {"x": None})], "k int, sources map<string, map<string, string>>")
+    got = {r.k: r.sources for r in op.merged_sources(a, b, "k").collect()}
+    assert got == {1: {"x": {"p": "1", "q": "9", "r": None}, "y": {"p": "2"}, "z": {}}, 2: {"x": {"p": "1"}}, 3: {"x": {"p": "3"}}, 4: {"x": None}}
