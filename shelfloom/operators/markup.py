@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
+
 #: Elements without content, elements whose content is not markup, and what an opening tag ends: fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -209,11 +211,6 @@ def numbered(page: Column) -> Column:
     return F.transform(page["elements"], lambda e, i: F.struct(i.alias("n"), e.alias("e")))
 
 
-def bound(value: Column, use) -> Column:
-    """use(value), with value worked out once: an expression within a lambda is worked out for each element."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def selected(elements: Column, selector: str, within: Column | None = None) -> Column:
     """Elements (struct<n, e>) that a selector of descendant steps finds, inside of `within` (struct<n, e>), if given."""
 

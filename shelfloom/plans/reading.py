@@ -129,7 +129,7 @@ def size_metric(text: Column) -> Column:
         return F.array_min(F.array_compact(F.transform(own, lambda p, i: F.when(i % 2 == 1, one(p, i)))))
 
     told = lambda b: F.when(b.isNotNull(), F.struct(b["amount"].alias("amount"), b["unit"].alias("unit"), b["kind"].alias("kind"), F.floor(b["place"] / 2).cast("int").alias("place")))
-    return mk.bound(mk.bound(pieces, found), told)
+    return x.bound(x.bound(pieces, found), told)
 
 
 _UNITS_SQL = "|".join(MEASURES.values())
@@ -167,8 +167,8 @@ def variant_addresses(pages: DataFrame) -> DataFrame:
     page = F.col("page")
     variation = '[{0}*="Product-Variation"]'
     raw = F.concat(*(mk.attributes_of(page, variation.format(a), a) for a in ("data-url", "value")))
-    shown = mk.bound(mk.numbered(page), lambda every: F.transform(mk.selected(every, "[data-attr-value][aria-label]"), lambda x: F.struct(F.try_element_at(x["e"]["attributes"], F.lit("data-attr-value")).alias("k"), F.regexp_extract(F.try_element_at(x["e"]["attributes"], F.lit("aria-label")), "^Select (.+)$", 1).alias("v"))))
-    labels = mk.bound(F.filter(shown, lambda s: s["v"] != ""), lambda s: F.map_from_entries(F.filter(s, lambda e, i: ~F.exists(F.slice(s, 1, i), lambda b: b["k"] == e["k"]))))
+    shown = x.bound(mk.numbered(page), lambda every: F.transform(mk.selected(every, "[data-attr-value][aria-label]"), lambda x: F.struct(F.try_element_at(x["e"]["attributes"], F.lit("data-attr-value")).alias("k"), F.regexp_extract(F.try_element_at(x["e"]["attributes"], F.lit("aria-label")), "^Select (.+)$", 1).alias("v"))))
+    labels = x.bound(F.filter(shown, lambda s: s["v"] != ""), lambda s: F.map_from_entries(F.filter(s, lambda e, i: ~F.exists(F.slice(s, 1, i), lambda b: b["k"] == e["k"]))))
     one = pages.select("page_id", "base", "expected", labels.alias("labels"), F.posexplode(F.array_distinct(raw)).alias("place", "raw"))
     address = mk.absolute(F.col("raw"), F.col("base"))
     pairs = F.transform(F.split(F.regexp_extract("address", r"\?([^#]*)", 1), "&"), lambda p: F.struct(F.lower(F.substring_index(p, "=", 1)).alias("k"), F.coalesce(F.try_url_decode(F.regexp_extract(p, "=(.*)$", 1)), F.lit("")).alias("v")))
