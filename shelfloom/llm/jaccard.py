@@ -208,10 +208,11 @@ def first_elements(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["node", "col"])
 
 
-def clusters(docs: DataFrame, blocks: int, hot: np.ndarray, words: int, percent: int, block_nodes: int = BLOCK_NODES) -> DataFrame:
+def clusters(docs: DataFrame, blocks: int, hot: np.ndarray, words: int, percent: int, block_nodes: int = BLOCK_NODES) -> tuple[DataFrame, bool]:
     """(node, cluster): nodes that share a first element, directly or through others; nodes without company are left out.
 
-    In a cluster of more nodes than a block, whose columns together have fewer pairs than it has, each column is a cluster.
+    In a cluster of more nodes than a block, whose columns together have fewer pairs than it has, each column is a cluster:
+    then, and only then, a node can be in several, and the second result is true.
     """
     entries = dealt(docs, blocks, hot, words, percent).groupBy("block").applyInPandas(lambda rows: shared_entries(rows, blocks), "part int, entries binary, meta binary, direct binary")
     first = saved(entries.groupBy("part").applyInPandas(lambda rows: first_elements(rows, percent), "node long, col long"), "first")
@@ -220,12 +221,16 @@ def clusters(docs: DataFrame, blocks: int, hot: np.ndarray, words: int, percent:
     least = saved(entries.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).where("n > 1"), "columns")
     links = attached(entries, least, total).where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
     found = saved(components(links).withColumnRenamed("component", "cluster"), "clusters")
-    large = found.groupBy("cluster").agg(F.count("*").alias("k")).where(F.col("k") > block_nodes)
+    large = saved(found.groupBy("cluster").agg(F.count("*").alias("k")).where(F.col("k") > block_nodes), "large")
+    if large.isEmpty():
+        return found.select("node", "cluster"), False
     columns = least.join(found.withColumnRenamed("node", "m"), "m").join(large, "cluster")
     chains = columns.groupBy("cluster").agg((F.sum(F.col("n").cast("double") * F.col("n")) < F.max("k").cast("double") * F.max("k")).alias("chain")).where("chain").select("cluster")
     apart = saved(columns.join(chains, "cluster").select("u", F.col("m"), "n", "cluster"), "apart")
+    if apart.isEmpty():
+        return found.select("node", "cluster"), False
     whole = found.join(apart.select("cluster").distinct(), "cluster", "left_anti").select("node", "cluster")
-    return whole.union(attached(entries, apart.select("u", F.xxhash64(F.lit("column"), "u").alias("m"), "n"), total).select(F.col("v").alias("node"), F.col("m").alias("cluster")))
+    return whole.union(attached(entries, apart.select("u", F.xxhash64(F.lit("column"), "u").alias("m"), "n"), total).select(F.col("v").alias("node"), F.col("m").alias("cluster"))), True
 
 
 def linked(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int, cells: int = 4_000_000) -> list[tuple[int, int]]:
@@ -265,12 +270,13 @@ def linked(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent:
     return list(zip(nodes[moved].tolist(), nodes[label[moved]].tolist(), strict=True))
 
 
-def product(docs: DataFrame, members: DataFrame, words: int, percent: int, block_nodes: int = BLOCK_NODES, block_elements: int = BLOCK_ELEMENTS) -> DataFrame:
-    """Links (a, b) of the blocked product. members: doc_id (of a node's first document), node, n_shingles, cluster."""
+def product(docs: DataFrame, members: DataFrame, words: int, percent: int, block_nodes: int = BLOCK_NODES, block_elements: int = BLOCK_ELEMENTS, several: bool = True) -> DataFrame:
+    """Links (a, b) of the blocked product. members: doc_id (of a node's first document), node, n_shingles, cluster; several: can a node be in several clusters?"""
     sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / block_nodes), F.ceil(F.sum("n_shingles") / block_elements)).cast("int").alias("blocks"))
     places = F.struct("cluster", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("own"))
     # a text is read and cut once for all its clusters, of which it has no more than first elements
-    wanted = members.join(sizes, "cluster").groupBy("doc_id", "node").agg(F.collect_list(places).alias("places"))
+    wanted = members.join(sizes, "cluster")
+    wanted = wanted.groupBy("doc_id", "node").agg(F.collect_list(places).alias("places")) if several else wanted.select("doc_id", "node", F.array(places).alias("places"))
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,9 +335,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     total = docs_sets.agg(F.sum("n_shingles")).first()[0] or 0
     blocks = 1 << max(3, int(np.ceil(np.log2(max(1, total / block_entries)))))
     nodes = docs_sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.max("n_shingles").alias("n_shingles"))
-    cluster = clusters(docs, blocks, np.sort(hot), words, percent, block_nodes)
+    cluster, several = clusters(docs, blocks, np.sort(hot), words, percent, block_nodes)
     members = nodes.join(cluster, "node").select(F.col("first_doc").alias("doc_id"), "node", "n_shingles", "cluster")
-    found = components(product(docs, members, words, percent, block_nodes))
+    found = components(product(docs, members, words, percent, block_nodes, several=several))
     least = found.join(nodes, "node").groupBy("component").agg(F.min("first_doc").alias("least"))
     named = nodes.join(found.join(least, "component").select("node", "least"), "node", "left").select("node", F.coalesce("least", "first_doc").alias("component_id"))
     named = saved(named, "named")  # a plain side, so that a node with very many documents can be split
