@@ -13,7 +13,11 @@ from shelfloom.llm import common, jaccard, packing, pii, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, fitted on the labelled ones among docs, does not predict as toxic; their columns stay, whatever their names."""
+    """Documents that the toxicity model, fitted on the labelled ones among docs, does not predict as toxic.
+
+    Their columns stay, whatever their names. Null and empty texts score as low as a text without sentences and stay; long ones
+    are scored whole; repeated rows are judged alike; no rows give none.
+    """
     common.prepared(spark)
     model = toxicity.learned(docs, toxicity.training_labels(spark, sf_dir))
     aside = {c: f"__own_{c}" for c in docs.columns if c in toxicity.ADDED}
@@ -37,14 +41,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind, and n_chars of the new text."""
+    """Documents with personal data replaced by its kind, and n_chars of the new text.
+
+    Every row stays, null texts too; long texts are masked whole; repeated rows are masked alike; no rows give none.
+    """
     common.prepared(spark)
     masked = pii.redacted(docs)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token ids in sequences of 2048, a row for each piece."""
+    """The documents' token ids in sequences of 2048, a row for each piece.
+
+    A null or empty text is its end id alone; long texts are cut into pieces; repeated rows are packed each; no rows give none.
+    """
     import public_tokenizers
 
     common.prepared(spark)
