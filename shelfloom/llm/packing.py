@@ -91,7 +91,8 @@ def packed(docs: DataFrame, tokenizer: str, kind: str = "byte", size: int = SIZE
     """Pieces of the documents' ids (the library's, then end_id) in sequences of at most size tokens.
 
     Rows: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (32-bit integers). Null texts are empty and
-    give one piece with the end id; equal and null doc_ids are packed like others; no documents give no rows.
+    give one piece with the end id; equal and null doc_ids are packed like others; long texts are cut into pieces; other
+    columns are ignored, whatever their names; no documents give no rows.
     sequence_id: the task's number times 2^40, plus the sequence's number in the task.
     """
 
