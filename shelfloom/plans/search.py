@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as x
-from ..operators import tables as op
 from .registry import half_up, query, t
 
 #: Shops by tier: fixed values.
