@@ -122,9 +122,9 @@ def i10_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "part").select("p_partkey", x.written(F.concat(n, F.lit(" Pounds and "), n, F.lit(".50 ounces of 3 liters"))).alias("units"), x.sized(F.concat(F.lit("2in x4 × "), n, F.lit(" in"))).alias("sizes"))
 
 
-@query("select p_partkey, 'product_name_' || p_partkey as key from part")
+@query(r"select page_id, lower(trim(regexp_replace(regexp_replace(url || ' ' || left(html, 400), '([a-z0-9])([A-Z])', '\1_\2', 'g'), '[^A-Za-z0-9]+', '_', 'g'), '_')) as key from pages")
 def i24_snake_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys of payloads in snake case: humps and signs are borders, none stay at the ends."""
-    raw = F.concat(F.lit("$productName -- "), F.col("p_partkey").cast("string"), F.lit(")"))
+    """Keys in snake case: humps and signs are borders, none stay at the ends. The beginnings of pages have signs of all kinds."""
+    raw = F.concat("url", F.lit(" "), F.left("html", F.lit(400)))
     words = F.regexp_replace(F.regexp_replace(raw, "(?<=[a-z0-9])(?=[A-Z])", "_"), "[^A-Za-z0-9]+", "_")
-    return t(spark, sf_dir, "part").select("p_partkey", F.lower(F.btrim(words, F.lit("_"))).alias("key"))
+    return t(spark, sf_dir, "pages").select("page_id", F.lower(F.btrim(words, F.lit("_"))).alias("key"))

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import payload as pl
 from ..functions import text as x
 from ..functions.workflow import parse_table
+from ..operators import markup as mk
 from ..operators import pages as pg
 from ..operators import tables as op
 from ..sources.feeds import leading_number
 from . import search as se
+from .reading import _LINKS, _NAV, _TITLE
 from .registry import query, t
 
 #: Words of each trait: fixed values.
@@ -198,10 +200,17 @@ def brand_prefix(candidate: Column, name: Column) -> Column:
     return F.when(good, F.array_join(F.transform(head, F.initcap), " "))
 
 
-@query("""select p_partkey, case p_partkey % 4 when 0 then 'Acme' when 1 then case when not contains(p_name, 'blue') then 'Blue River Farm' end end as brand from part""")
+_TOKENS = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
+
+
+@query(f"""with p as (select page_id, {_TITLE} as title from pages), w as (select page_id, {_TOKENS.format('title')} as w, list_filter({_TOKENS.format("split_part(title, ' ', 3) || ' ' || split_part(title, ' ', 4)")}, lambda v: not regexp_full_match(v, '[0-9]+')) as e from p),
+k as (select page_id, w, list_position(list_transform(w, lambda v: list_contains(e, v)), true) as k from w), h as (select page_id, string_split(regexp_replace(array_to_string(case when k > 1 then w[1:k - 1] else [] end, ' '), '^([0-9]+( |$))+', ''), ' ') as head from k)
+select page_id, case when len(head) between 1 and 3 and head[1] <> '' and len(list_filter(head, lambda v: regexp_full_match(v, '[0-9]+'))) = 0 and len(list_filter(head, lambda v: v not in ({", ".join(f"'{v}'" for v in NO_BRAND)}))) > 0 then array_to_string(list_transform(head, lambda v: upper(v[1]) || v[2:]), ' ') end as brand from h""")
 def m07_brand_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lead = F.element_at(F.array(*map(F.lit, ("ACME ", "12 blue river farm ", "new best ", "one two three four "))), (F.col("p_partkey") % 4 + 1).cast("int"))
-    return t(spark, sf_dir, "part").select("p_partkey", brand_prefix(F.concat(lead, "p_name"), F.col("p_name")).alias("brand"))
+    """What stands before the third and fourth words of each page's title, if it can be a brand."""
+    own = mk.parsed(t(spark, sf_dir, "pages")).select("page_id", F.coalesce(mk.first_text(F.col("page"), "title"), F.lit("")).alias("title"))
+    words = F.split("title", " ")
+    return own.select("page_id", brand_prefix(F.col("title"), F.concat_ws(" ", F.get(words, F.lit(2)), F.get(words, F.lit(3)))).alias("brand"))
 
 
 #: Classes of search results: the first row whose tier is the result's, whose signals it all shows and whose bars it shows none of.
@@ -346,18 +355,31 @@ def c19_sanitized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("doc_id", "f.title", "f.upc", "f.rating", "f.reviews", F.array_join("w", "; ").alias("notes"))
 
 
-@query("select p_partkey, p_retailprice as price, p_size as quantity, 0.0::double as weight from part")
+_LAST = "regexp_extract(url, '([^/]*)$', 1)"
+_LEADING = "coalesce(try_cast(nullif(regexp_extract(trim({0}), '^[+-]?\\d*\\.?\\d+'), '') as double), 0)"
+
+
+@query(f"select page_id, {_LEADING.format(_LAST)} as price, cast(floor({_LEADING.format('html')}) as int) as quantity, {_LEADING.format(_TITLE)} as weight from pages")
 def a03_typed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers that a text begins with, 0 where it begins with none."""
+    """Numbers that a text begins with, 0 where it begins with none: the last part of an address, the markup and the title of each page."""
     number = lambda c: F.coalesce(leading_number(c), F.lit(0.0))
-    own = t(spark, sf_dir, "part").select("p_partkey", F.concat(F.col("p_retailprice").cast("string"), F.lit(" USD")).alias("a"), F.concat(F.col("p_size").cast("string"), F.lit(".7 each")).alias("b"), F.lit("n/a").alias("c"))
-    return own.select("p_partkey", number(F.col("a")).alias("price"), F.floor(number(F.col("b"))).cast("int").alias("quantity"), number(F.col("c")).alias("weight"))
+    own = mk.parsed(t(spark, sf_dir, "pages").withColumn("source", F.col("html"))).select("page_id", F.regexp_extract("url", "([^/]*)$", 1).alias("a"), F.col("source").alias("b"), mk.first_text(F.col("page"), "title").alias("c"))
+    return own.select("page_id", number(F.col("a")).alias("price"), F.floor(number(F.col("b"))).cast("int").alias("quantity"), number(F.col("c")).alias("weight"))
+
+
+_MENU = "list_transform(" + _NAV + ", lambda w: trim(w))"
 
 
-@query("select p_partkey, case when p_size > 25 then p_brand else 'Own' end as brand, p_type || '|x' as category, '' as weight, 'a.png b.png' as images from part")
+@query(f"""with p as (select page_id, {_MENU} as menu, nullif({_TITLE}, '') as title, regexp_extract(url, '://([^/]*)', 1) as host, {_LINKS} as links from pages),
+l as (select page_id, list_filter(list_transform(menu || menu, lambda w: w), lambda w: w <> '') as w from p), d as (select page_id, list_filter(w, lambda v, i: list_position(list_transform(w, lambda z: lower(z)), lower(v)) = i) as w from l)
+select page_id, coalesce(case when page_id % 3 = 0 then title end, host) as brand, array_to_string(d.w, '|') as category, '' as weight, array_to_string(list_filter(p.links[1:3], lambda v: v <> ''), ' ') as images from p join d using (page_id)""")
 def a16_field_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first filled alias of each field; lists between pipes without repeats; required fields empty where none is filled; all images in order."""
-    own = t(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") > 25, F.col("p_brand")).otherwise("").alias("ProductField16"), F.lit("Own").alias("Brand"), F.concat("p_type", F.lit(" | x ||"), "p_type").alias("ProductField24"), F.lit("a.png").alias("Graphic"), F.lit("None").alias("MoreInfoImage1"), F.lit("b.png").alias("MoreInfoImage2"))
+    """The first filled alias of each field; lists between pipes without repeats; required fields empty where none is filled; all images in order. A page's title, host, menu and links are the fields."""
+    page = F.col("page")
+    menu = x.bound(mk.numbered(page), lambda every: F.transform(mk.selected(every, "nav a"), lambda e: mk.text_of(page, e["e"])))
+    raw = mk.parsed(t(spark, sf_dir, "pages")).select("page_id", F.when(F.col("page_id") % 3 == 0, mk.first_text(page, "title")).alias("ProductField16"), F.regexp_extract("url", "://([^/]*)", 1).alias("Brand"), menu.alias("menu"), mk.attributes_of(page, "nav a", "href").alias("links"))
+    image = lambda k: F.coalesce(F.get("links", F.lit(k)), F.lit("None"))
+    own = raw.select("page_id", "ProductField16", "Brand", F.array_join(F.concat("menu", "menu"), " | ").alias("ProductField24"), image(0).alias("Graphic"), F.lit(" ").alias("MoreInfoImage1"), image(1).alias("MoreInfoImage2"), image(2).alias("MoreInfoImage3"))
     filled = lambda *names: F.coalesce(*(F.nullif(F.trim(F.col(n)), F.lit("")) for n in names if n in own.columns), F.lit(""))
     images = F.filter(F.array(*(F.trim(F.col(n)) for n in own.columns if n == "Graphic" or n.startswith("MoreInfoImage"))), lambda v: (v != "") & (F.lower(v) != "none"))
-    return own.select("p_partkey", filled("ProductField16", "Brand").alias("brand"), F.array_join(x.pipe_values("ProductField24"), "|").alias("category"), filled("Weight").alias("weight"), F.array_join(images, " ").alias("images"))
+    return own.select("page_id", filled("ProductField16", "Brand").alias("brand"), F.array_join(x.pipe_values("ProductField24"), "|").alias("category"), filled("Weight").alias("weight"), F.array_join(images, " ").alias("images"))
