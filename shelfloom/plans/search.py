@@ -24,6 +24,8 @@ LOW_QUALITY = (
     "upc database", "barcode search", "gtin search", "product lookup", "where to buy", "find a store", "store locator", "find a retailer", "find a dealer", r"\d+ best", r"picks for \d{4}",
 )
 POOR_WORDS = rf"\b(?:{'|'.join(LOW_QUALITY)})\b"
+#: The same for Spark, whose \b takes é or ß for a part of a word: borders are those of ASCII words, as in SQL.
+_POOR = rf"(?<!\w)(?:{'|'.join(LOW_QUALITY)})(?!\w)"
 #: Words of which one rules out the others: fixed values.
 LEXICAL_GROUPS = ({"bulk": "bulk", "packet": "packet", "packets": "packet"}, {"dog": "dog", "cat": "cat"})
 #: Misspelt product types: fixed values.
@@ -106,12 +108,17 @@ def m10_url_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results(spark, sf_dir).select("page_id", F.array_contains(kinds, "listing").alias("category_like"), F.array_contains(kinds, "line").alias("product_line"))
 
 
+def poor_words(text: Column, listing: Column, line: Column) -> Column:
+    """Is a result poor? Listings are, product lines are not, others by the words of their text, hyphens as blanks."""
+    return F.when(listing, True).when(line, False).otherwise(F.regexp_replace(text, "-", " ").rlike(_POOR))
+
+
 @query(f"with {RESULTS_SQL}, r as (select *, {_SEG} as s from results) select page_id, case when {_CATEGORY_SQL} then true when {_LINE_SQL} then false else regexp_matches(replace(path, '-', ' '), '{POOR_WORDS}') end as low_quality from r")
 def m16_low_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings are poor results, product lines are not, others are if their words say so."""
     path, host = F.col("path"), F.col("host")
     kinds = path_kinds(path, host)
-    poor = F.when(F.array_contains(kinds, "listing"), True).when(F.array_contains(kinds, "line"), False).otherwise(F.regexp_replace(path, "-", " ").rlike(POOR_WORDS))
+    poor = poor_words(path, F.array_contains(kinds, "listing"), F.array_contains(kinds, "line"))
     return results(spark, sf_dir).select("page_id", poor.alias("low_quality"))
 
 
