@@ -34,7 +34,7 @@ def same(spark, tmp_path):
     return run
 
 
-@pytest.mark.parametrize("name", ["m12_additive_score"])
+@pytest.mark.parametrize("name", ["m12_additive_score", "m13_ranked_candidates"])
 def test_words_beside_letters_of_other_scripts(same, name):
     """é and ß are no part of a word, so that one of the poor results' words may stand right beside them."""
     page = '<!DOCTYPE html><html><head><title>dog food</title></head><body><div class="ad">{}</div><article><h1>x</h1></article></body></html>'
