@@ -53,8 +53,8 @@ def n06_page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select page_id, {_TEXT} as text from pages")
 def n07_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each page shows: no scripts, styles and comments, entities as characters, blanks drawn together."""
-    return pages(spark, sf_dir).select("page_id", "page.text")
+    """What each page shows: no scripts, styles and comments, entities (with their semicolon, but for a cut page's last) as characters, blanks drawn together."""
+    return mk.parsed(t(spark, sf_dir, "pages"), signed=True).select("page_id", "page.text")
 
 
 def page_title(v: Column) -> Column:

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from shelfloom import catalog
+from shelfloom.operators import markup as mk
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,3 +42,16 @@ def test_words_beside_letters_of_other_scripts(same, name):
     ads = ("plain", "éreview", "bestß", "ñvsñ", "reviews", "_best", "best", "9 bestê")
     rows = same(name, [(2 + 10 * k, "https://a.example.com/x", page.format(ad)) for k, ad in enumerate(ads)])
     assert len(rows) == len(ads)
+
+
+def test_references_without_their_sign(same):
+    """Within a page's text they stay as they are; at its end they are the rest of a cut one."""
+    page = "<html><head><title>t&amp</title></head><body><h1>a &copy;&amp</h1><p>b&amp;amp &middot; c&copy d</p>"
+    ends = ("", "e&amp", "e &quot <b></b> ", "e&amp</p></body></html>", "e&amp;", "e&amp;copy", "e&amp;&copy")
+    rows = same("n07_clean_text", [(k, "https://a.example.com/x", f"{page}{end}") for k, end in enumerate(ends)])
+    assert rows[1][1] == "a ©&amp b&amp · c&copy d e&"
+
+
+def test_stretches_end_with_a_completed_reference():
+    page = mk.Page("<div><p>a&amp</p><p>b <i>c&amp", signed=True).row()
+    assert page["text"] == "a&amp b c&" and [page["text"][e["begin"] : e["until"]] for e in page["elements"]] == ["a&amp b c&", "a&amp", "b c&", "c&"]
