@@ -194,9 +194,11 @@ f as (select page_id, address, color, size, score, min(n) as n from s group by a
 select page_id, cast(row_number() over (partition by page_id order by score desc, n) as int) as rank, address, color, size, score from f""")
 def n09_variant_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages' links, turned into buttons that ask for variants, against the pages' titles with a weight."""
-    html = F.regexp_replace("html", r'<a href="/([^"]+)">', '<button data-url="/on/Product-Variation?pid=#&amp;dwvar_#_color=$1&amp;dwvar_#_size=%$1%">')
-    sized = F.aggregate(F.regexp_extract_all(html, F.lit("%([^%]*)%\">"), F.lit(1)), html, lambda h, v: F.replace(h, F.concat(F.lit("%"), v, F.lit('%">')), F.concat(((F.length(v) + 1) % 3 + 1).cast("string"), F.lit('lb">'))))
-    key = F.col("page_id").cast("string")
-    own = mk.parsed(t(spark, sf_dir, "pages").select("page_id", "url", F.replace(sized, F.lit("#"), key).alias("html")))
+    key, link = F.col("page_id").cast("string"), F.lit('<a href="/')
+    asks = lambda p, v: F.concat(F.lit('<button data-url="/on/Product-Variation?pid='), key, F.lit("&amp;dwvar_"), key, F.lit("_color="), v, F.lit("&amp;dwvar_"), key, F.lit("_size="), ((F.length(v) + 1) % 3 + 1).cast("string"), F.lit("lb"), F.substr(p, F.length(v) + 1))
+    button = lambda p: F.when(p.rlike('^[^"]+">'), asks(p, F.substring_index(p, '"', 1))).otherwise(F.concat(link, p))
+    parts = F.split("html", r'\Q<a href="/\E', -1)  # what each link's address begins, after what stands before all of them
+    html = x.bound(parts, lambda own: F.concat(F.get(own, F.lit(0)), F.array_join(F.transform(F.slice(own, 2, F.size(own)), button), "")))
+    own = mk.parsed(t(spark, sf_dir, "pages").select("page_id", "url", html.alias("html")))
     title = F.coalesce(mk.first_text(F.col("page"), "title"), F.lit(""))
     return variant_addresses(own.select("page_id", "page", F.col("url").alias("base"), F.concat(title, F.lit(" "), (F.col("page_id") % 3 + 1).cast("string"), F.lit(" lb")).alias("expected")))

@@ -55,3 +55,11 @@ def test_references_without_their_sign(same):
 def test_stretches_end_with_a_completed_reference():
     page = mk.Page("<div><p>a&amp</p><p>b <i>c&amp", signed=True).row()
     assert page["text"] == "a&amp b c&" and [page["text"][e["begin"] : e["until"]] for e in page["elements"]] == ["a&amp b c&", "a&amp", "b c&", "c&"]
+
+
+def test_signs_of_titles_and_links_stay(same):
+    """Signs within a page's title or a link are the page's own, not marks of where the query puts something."""
+    page = '<html><head><title>{}</title></head><body><a href="/{}">x</a><a href="/">root</a><a href="/red">y</a><p>%z%"></p></body></html>'
+    odd = (("red### ink", "inkê"), ("5% red", "a.b"), ("#", "ink"), ("red $1", "inkß."), ("% red", "ink"), ("\\red", "ink$1"))
+    rows = same("n09_variant_addresses", [(k, "https://a.example.com/x", page.format(*o)) for k, o in enumerate(odd)])
+    assert len(rows) == 2 * len(odd) and any(r[5] > 4 for r in rows)
