@@ -17,6 +17,11 @@ def workers_find_library(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [own, env.get("PYTHONPATH", "")]))
 
 
+def batches_by_size(spark: SparkSession, most: int = 1 << 22) -> None:
+    """Arrow batches to Python of `most` bytes, or one row, rather than Spark's 64 MB, each of which a worker holds several times over."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which the cluster names; in a local session without one (tests), a fresh folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
