@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import collapsed, leading_zero_free, title_words
+from .text import bound, collapsed, leading_zero_free, title_words
 
 Fields = dict[str, Column]
 ACTIONS: dict[str, Callable[[Fields, dict], Fields]] = {}
@@ -107,8 +107,8 @@ def parse_table(fields: Fields, p: dict) -> Fields:
     clean = lambda c: collapsed(F.regexp_replace(c, "<[^>]+>", " "))
     cells = F.transform(rows, lambda r: F.regexp_extract_all(r, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)))
     pairs = F.transform(F.filter(cells, lambda c: F.size(c) >= 2), lambda c: F.struct(clean(c[0]).alias("key"), clean(c[1]).alias("value")))
-    last = F.filter(pairs, lambda q, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda o: o["key"] == q["key"]))
-    return {p["target"]: F.map_from_entries(last)}
+    last = lambda own: F.filter(own, lambda q, i: F.array_position(own["key"], q["key"]) == i + 1)  # noqa: E731  from the last row to the first
+    return {p["target"]: F.map_from_entries(F.reverse(bound(F.reverse(pairs), last)))}
 
 
 @action("conditional")

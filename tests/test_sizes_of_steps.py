@@ -1,8 +1,11 @@
 """Steps whose cost has to stay in proportion to the rows."""
 
+import time
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from shelfloom.functions.workflow import parse_table
 from shelfloom.operators import markup as mk
 
 
@@ -17,3 +20,15 @@ def test_pages_go_to_python_by_size(spark):
             yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
 
     assert 1 << 20 < pages.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] < 1 << 23
+
+
+def test_tables_of_many_rows(spark):
+    """Cells are read once, not once for every row; the last of equal keys stays."""
+    rows = "".join(f"<tr><td>k{k % 1500}</td><td>{k}</td></tr>" for k in range(2000))
+    df = spark.createDataFrame([(f"<table>{rows}</table>",), ("<tr><td>a</td><td>1</td></tr><tr><td>b</td><td>2</td></tr><tr><td>a</td><td>3</td></tr>",), ("",), (None,)], "html string").repartition(1)
+    began = time.time()
+    got = df.select(parse_table({"html": F.col("html")}, {"field": "html", "target": "m"})["m"].alias("m")).collect()
+    assert time.time() - began < 20
+    assert sorted((len(r.m) if r.m is not None else -1) for r in got) == [-1, 0, 2, 1500]
+    big, small = (next(r.m for r in got if r.m and len(r.m) == n) for n in (1500, 2))
+    assert small == {"a": "3", "b": "2"} and all(int(v) == int(k[1:]) + (1500 if int(k[1:]) < 500 else 0) for k, v in big.items())
