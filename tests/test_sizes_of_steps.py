@@ -5,6 +5,7 @@ import time
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from shelfloom import catalog
 from shelfloom.functions.workflow import parse_table
 from shelfloom.operators import markup as mk
 
@@ -32,3 +33,10 @@ def test_tables_of_many_rows(spark):
     assert sorted((len(r.m) if r.m is not None else -1) for r in got) == [-1, 0, 2, 1500]
     big, small = (next(r.m for r in got if r.m and len(r.m) == n) for n in (1500, 2))
     assert small == {"a": "3", "b": "2"} and all(int(v) == int(k[1:]) + (1500 if int(k[1:]) < 500 else 0) for k, v in big.items())
+
+
+def test_fields_of_an_order_are_read_once(spark):
+    """Below the step that makes a row for each line, not above it."""
+    plan = catalog.queries()["a15_shop_orders"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above, _, below = plan.partition("Generate explode")
+    assert "<FullName" in below and "<FullName" not in above
